@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.catalog import quality
+from plumbline.catalog import fairness, quality
 from plumbline.catalog.views import Query
 
-REGISTRY: dict[str, tuple[Query, str | None]] = {**quality.QUERIES}
+REGISTRY: dict[str, tuple[Query, str | None]] = {**quality.QUERIES, **fairness.QUERIES}
