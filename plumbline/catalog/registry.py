@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from plumbline.catalog import fairness, quality
+from plumbline.catalog import anomaly, fairness, models, quality, repairs
 from plumbline.catalog.views import Query
 
-REGISTRY: dict[str, tuple[Query, str | None]] = {**quality.QUERIES, **fairness.QUERIES}
+REGISTRY: dict[str, tuple[Query, str | None]] = {
+    **quality.QUERIES,
+    **fairness.QUERIES,
+    **models.QUERIES,
+    **repairs.QUERIES,
+    **anomaly.QUERIES,
+}
