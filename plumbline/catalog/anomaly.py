@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.catalog.views import PARTS, VITALS, VITALS_NUMBERS, table
 from plumbline.config import QualityConfig
-from plumbline.functions.storage import shared_folder
+from plumbline.functions.storage import pin, shared_folder, spread
 from plumbline.operators import anomalies
 from plumbline.operators.isolation import isolation_scores
 from plumbline.operators.repair import Fix, apply_fixes
@@ -36,7 +36,7 @@ def isolation_forest(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events").select("event_id", *numbers)
     rows, sizes = anomalies.present_counts(events, numbers)
     filled, names = anomalies.fill_for_anomalies(events, "event_id", numbers, sizes)
-    scored = isolation_scores(filled, names, "event_id", rows, CONFIG)
+    scored = pin(isolation_scores(spread(filled, rows), names, "event_id", rows, CONFIG))
     return anomalies.flag_lowest(scored, ["iso_score"], rows, CONFIG.anomaly_contamination)
 
 

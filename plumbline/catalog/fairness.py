@@ -10,6 +10,7 @@ from plumbline.config import FairnessConfig
 from plumbline.functions.columns import col
 from plumbline.functions.values import bands
 from plumbline.operators import groups, sensitive
+from plumbline.plans.audit import audit
 
 CONFIG = FairnessConfig()
 STRICT = FairnessConfig(small_groups="strict")
@@ -263,8 +264,7 @@ def bias_interpretation(spark: SparkSession, folder: str) -> DataFrame:
 _TITLE = """array_to_string(list_transform(
   regexp_extract_all(lower(lowest_rate_group), '\\p{L}+|\\P{L}+'),
   lambda x: upper(x[1]) || x[2:]), '')"""
-INTERPRETATION_SQL = f"""WITH {VIOLATIONS_SQL}
-SELECT metric, attribute, CASE metric
+_SENTENCE = f"""CASE metric
   WHEN 'demographic_parity_ratio' THEN {_TITLE} || ' patients flagged as high-risk ' ||
     printf('%.0f', (1 - value) * 100) || '% less often than ' || highest_rate_group || ' patients'
   WHEN 'demographic_parity_difference' THEN 'Prediction rate differs by ' ||
@@ -275,7 +275,13 @@ SELECT metric, attribute, CASE metric
     ' groups; TPR and/or FPR are unequal'
   ELSE 'Model misses ' || printf('%.0f', value * 100) ||
     '% more actual high-risk cases in ' || lowest_tpr_group || ' patients (lower sensitivity)'
-  END AS interpretation FROM violations"""
+  END AS interpretation"""
+INTERPRETATION_SQL = f"""WITH {VIOLATIONS_SQL}
+SELECT metric, attribute, {_SENTENCE} FROM violations"""
+AUDIT_SQL = f"""WITH {VIOLATIONS_SQL}
+SELECT metric, attribute, value, CAST(threshold AS DOUBLE) AS threshold,
+  CASE WHEN size > 0.2 THEN 'HIGH' WHEN size > 0.1 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+  {_SENTENCE} FROM violations"""
 
 
 def violation_groups(spark: SparkSession, folder: str) -> DataFrame:
@@ -299,6 +305,21 @@ INFO_SQL = f"""SELECT count(*) AS total_samples, count_if(y_true = 1) AS positiv
   count_if(y_true = 0) AS negative_count, avg(y_true) AS positive_rate,
   avg(y_pred) AS prediction_positive_rate FROM ({DECISIONS.sql})"""
 
+
+def audit_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Detection, preparation and full audit of the decisions, as one call."""
+    decisions = DECISIONS.frame(spark, folder)
+    detected = sensitive.detect_sensitive(decisions, exclude=["row_key", "y_true", "y_pred"])
+    prepared = sensitive.prepare_sensitive(decisions, detected)
+    report = audit(
+        prepared.data, "y_true", "y_pred", prepared.attributes, CONFIG,
+        diagnostics=prepared.diagnostics,
+    )
+    return report.violations.select(
+        "metric", "attribute", "value", "threshold", "severity", "interpretation"
+    )
+
+
 # --- natural groups, some attributes with small groups only ------------------
 
 LABELS_SQL = """labelled AS (SELECT l.doc_id AS row_key, l.quality AS y_true,
@@ -346,5 +367,6 @@ QUERIES = {
     "bias_interpretation": (bias_interpretation, INTERPRETATION_SQL),
     "violation_groups": (violation_groups, VIOLATION_GROUPS_SQL),
     "bias_dataset_info": (bias_dataset_info, INFO_SQL),
+    "audit_orders": (audit_orders, AUDIT_SQL),
     "label_metrics": (label_metrics, LABEL_METRICS_SQL),
 }

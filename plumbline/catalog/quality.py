@@ -13,7 +13,7 @@ from plumbline.catalog.views import (
 )
 from plumbline.config import QualityConfig
 from plumbline.functions.columns import nan_to_null, text_columns
-from plumbline.functions.counts import distinct_counts
+from plumbline.functions.counts import distinct_counts, value_counts
 from plumbline.functions.storage import shared_folder
 from plumbline.functions.values import parse_number
 from plumbline.operators import checks, duplicates, evidence, facts, profile
@@ -98,7 +98,7 @@ DROP_EMPTY_SQL = f"SELECT * EXCLUDE (bmi) FROM ({VITALS.sql})"
 def insufficient_rows(spark: SparkSession, folder: str) -> DataFrame:
     small = checks.too_few_rows(table(spark, folder, "region"), CONFIG)
     large = checks.too_few_rows(table(spark, folder, "nation"), CONFIG)
-    return small.unionByName(large).select("severity", "issue_type", "affected_rows")
+    return small.unionByName(large)
 
 
 INSUFFICIENT_SQL = """
@@ -194,11 +194,9 @@ def type_inconsistency(spark: SparkSession, folder: str) -> DataFrame:
     parts = []
     for frame in (VITALS.frame(spark, folder), documents):
         names = text_columns(frame, frame.columns)
-        parts.append(
-            checks.type_issues(
-                facts.column_facts(frame, names, CONFIG), distinct_counts(frame, names), CONFIG
-            )
-        )
+        known = facts.text_facts(value_counts(frame, names, "string"))
+        rows = facts.missing_counts(frame, names)
+        parts.append(checks.type_issues(rows.join(known, "column"), CONFIG))
     return parts[0].unionByName(parts[1])
 
 
@@ -239,10 +237,9 @@ def zscore_outliers(spark: SparkSession, folder: str) -> DataFrame:
     for name, numbers in (("events", ["value", "user_id"]), ("lineitem", LINEITEM_NUMBERS)):
         frame = table(spark, folder, name)
         measured = facts.column_facts(frame, numbers, CONFIG).collect()
-        # One row per column of the table.
-        fact_frame = spark.createDataFrame(measured)
-        outliers = facts.outlier_counts(frame, measured, CONFIG)
-        parts.append(checks.outlier_issues(fact_frame, outliers))
+        rows = measured[0]["n_rows"]
+        found = facts.outlier_counts(frame, measured, CONFIG)
+        parts.append(checks.outlier_issues(found.withColumn("n_rows", F.lit(rows))))
     return parts[0].unionByName(parts[1])
 
 

@@ -1,9 +1,13 @@
-"""Where intermediate results are kept."""
+"""Running actions, and where intermediate results are kept."""
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,3 +28,31 @@ def pin(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def together(spark: SparkSession, *actions: Callable[[], Any]) -> list[Any]:
+    """Start independent Spark actions at once, so that small ones share the cluster."""
+    with ThreadPoolExecutor(len(actions)) as pool:
+        started = [pool.submit(inheritable_thread_target(spark)(action)) for action in actions]
+        return [job.result() for job in started]
+
+
+def spread(df: DataFrame, rows: int, rows_per_task: int = 5_000) -> DataFrame:
+    """Give a small table to all cores before Python works on it.
+
+    A file of a few megabytes is one input split, that is one task. Tables with
+    more rows have splits enough and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if rows > cores * 50 * rows_per_task:
+        return df
+    return df.repartition(max(1, min(cores, rows // rows_per_task)))
+
+
+def python_tasks(df: DataFrame, groups: int) -> int:
+    """Number of tasks for grouped Python work.
+
+    Grouped data of a few megabytes would be merged into one task by size,
+    although the work per byte is heavy; a stated number is kept.
+    """
+    return max(1, min(groups, 4 * df.sparkSession.sparkContext.defaultParallelism))

@@ -12,7 +12,7 @@ from plumbline.functions.columns import (
     RowKey, col, data_columns, key_columns, key_struct, key_text, nan_to_null, number_columns,
 )
 from plumbline.functions.quantiles import medians, percentiles
-from plumbline.functions.storage import pin
+from plumbline.functions.storage import pin, spread
 from plumbline.operators.isolation import isolation_scores
 from plumbline.operators.neighbours import LEAF_ROWS, local_outlier_factor
 
@@ -85,7 +85,7 @@ def anomaly_scores(df: DataFrame, row_key: RowKey, config: QualityConfig) -> Dat
     ``iso_score`` is relative to its cut-off here: negative means flagged.
     """
     filled, names, rows = anomaly_input(df, row_key)
-    filled = pin(filled)
+    filled = pin(spread(filled, rows))
     both = lof_scores(
         isolation_scores(filled, names, row_key, rows, config), names, rows, config
     )

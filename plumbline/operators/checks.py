@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from itertools import chain
 
@@ -23,16 +23,6 @@ ISSUE_FIELDS = ("severity", "issue_type", "column", "affected_rows", "fraction")
 _NO_HEADER = re.compile(r"Unnamed|^_c\d+$")
 
 
-def _issues(df: DataFrame, severity: Column, issue_type: Column) -> DataFrame:
-    return df.select(
-        severity.alias("severity"),
-        issue_type.alias("issue_type"),
-        "column",
-        F.col("affected_rows").cast("bigint").alias("affected_rows"),
-        F.try_divide("affected_rows", "n_rows").alias("fraction"),
-    )
-
-
 def repeated_names(columns: Sequence[str]) -> list[str]:
     """Column names beyond their first use, in order."""
     seen: Counter = Counter()
@@ -50,59 +40,92 @@ def unnamed_columns(columns: Sequence[str]) -> list[str]:
 
 def too_few_rows(df: DataFrame, config: QualityConfig) -> DataFrame:
     """INSUFFICIENT_ROWS where the table is smaller than the minimum."""
-    size = df.agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") < config.min_rows)
-    table = size.select(
-        "n_rows", F.col("n_rows").alias("affected_rows"), F.lit(None).cast("string").alias("column")
+    size = df.agg(F.count(F.lit(1)).alias("affected_rows"))
+    return size.filter(F.col("affected_rows") < config.min_rows).select(
+        F.lit("warning").alias("severity"),
+        F.lit("INSUFFICIENT_ROWS").alias("issue_type"),
+        "affected_rows",
     )
-    return _issues(table, F.lit("warning"), F.lit("INSUFFICIENT_ROWS"))
 
 
-def completeness_issues(facts: DataFrame, config: QualityConfig) -> DataFrame:
-    """Missing-value issues, graded by the share of missing cells."""
+Kind = tuple[Column, Column, Column]
+
+
+def _missing(config: QualityConfig) -> list[Kind]:
     share = F.col("null_count") / F.col("n_rows")
-    issue_type = (
+    grade = (
         F.when(F.col("null_count") == F.col("n_rows"), "EMPTY_COLUMN")
         .when(share >= config.null_threshold_critical, "HIGH_NULL_RATE")
         .when(share >= config.null_threshold_warning, "MODERATE_NULL_RATE")
         .when(F.col("null_count") > 0, "LOW_NULL_RATE")
     )
     severity = (
-        F.when(issue_type.isin("EMPTY_COLUMN", "HIGH_NULL_RATE"), "critical")
-        .when(issue_type == "MODERATE_NULL_RATE", "warning")
+        F.when(grade.isin("EMPTY_COLUMN", "HIGH_NULL_RATE"), "critical")
+        .when(grade == "MODERATE_NULL_RATE", "warning")
         .otherwise("info")
     )
-    found = facts.withColumn("affected_rows", F.col("null_count"))
-    return _issues(found, severity, issue_type).filter("issue_type is not null")
+    return [(grade, severity, F.col("null_count"))]
 
 
-def range_issues(facts: DataFrame) -> DataFrame:
-    """Values outside the configured range of their column."""
-    sides = facts.select(
+def _out_of_range() -> list[Kind]:
+    return [
+        (F.lit("VALUE_BELOW_RANGE"), F.lit("critical"), F.col("below")),
+        (F.lit("VALUE_ABOVE_RANGE"), F.lit("critical"), F.col("above")),
+    ]
+
+
+def _mixed_types(config: QualityConfig) -> list[Kind]:
+    many = F.col("unique_count") / F.col("n_rows") >= config.type_check_min_unique_fraction
+    return [(F.lit("TYPE_INCONSISTENCY"), F.lit("warning"), F.when(many, F.col("unparsable")))]
+
+
+def _outliers() -> list[Kind]:
+    return [(F.lit("STATISTICAL_OUTLIER"), F.lit("warning"), F.col("outliers"))]
+
+
+def _issues(facts: DataFrame, kinds: Sequence[Kind]) -> DataFrame:
+    cells = [cell for kind in kinds for cell in kind]
+    long = facts.select(
         "column",
         "n_rows",
-        F.stack(
-            F.lit(2), F.lit("VALUE_BELOW_RANGE"), "below", F.lit("VALUE_ABOVE_RANGE"), "above"
-        ).alias("issue_type", "affected_rows"),
-    ).filter("affected_rows > 0")
-    return _issues(sides, F.lit("critical"), F.col("issue_type"))
-
-
-def type_issues(facts: DataFrame, distinct: DataFrame, config: QualityConfig) -> DataFrame:
-    """Text columns with many distinct values, some of which are not numbers."""
-    found = (
-        facts.filter("unparsable > 0")
-        .join(distinct, "column")
-        .filter(
-            F.col("unique_count") / F.col("n_rows") >= config.type_check_min_unique_fraction
-        )
-        .withColumn("affected_rows", F.col("unparsable"))
+        F.stack(F.lit(len(kinds)), *cells).alias("issue_type", "severity", "affected_rows"),
     )
-    return _issues(found, F.lit("warning"), F.lit("TYPE_INCONSISTENCY"))
+    return long.filter("affected_rows > 0").select(
+        "severity",
+        "issue_type",
+        "column",
+        "affected_rows",
+        F.try_divide("affected_rows", "n_rows").alias("fraction"),
+    )
+
 
+def completeness_issues(facts: DataFrame, config: QualityConfig) -> DataFrame:
+    """Missing-value issues, graded by the share of missing cells."""
+    return _issues(facts, _missing(config))
+
+
+def range_issues(facts: DataFrame) -> DataFrame:
+    """Values outside the configured range of their column."""
+    return _issues(facts, _out_of_range())
 
-def outlier_issues(facts: DataFrame, outliers: DataFrame) -> DataFrame:
-    found = facts.join(outliers.filter("affected_rows > 0"), "column")
-    return _issues(found, F.lit("warning"), F.lit("STATISTICAL_OUTLIER"))
+
+def type_issues(facts: DataFrame, config: QualityConfig) -> DataFrame:
+    """Text columns with many distinct values, some of which are not numbers.
+
+    Needs the columns of ``text_facts`` besides ``n_rows``.
+    """
+    return _issues(facts, _mixed_types(config))
+
+
+def outlier_issues(facts: DataFrame) -> DataFrame:
+    """Needs the column ``outliers`` besides ``n_rows``."""
+    return _issues(facts, _outliers())
+
+
+def column_issues(facts: DataFrame, config: QualityConfig) -> DataFrame:
+    """All issues of single columns from one frame of facts."""
+    kinds = [*_missing(config), *_mixed_types(config), *_out_of_range(), *_outliers()]
+    return _issues(facts, kinds)
 
 
 def status_of(issues: DataFrame) -> DataFrame:
@@ -115,25 +138,15 @@ def status_of(issues: DataFrame) -> DataFrame:
     )
 
 
-def advice(issues: DataFrame) -> DataFrame:
-    """(rule, recommendation) in rule order; one closing line when no rule applies."""
-    rules = issues.sparkSession.createDataFrame(
-        [
-            (number, kind, text)
-            for number, (kinds, text) in enumerate(QUALITY_ADVICE, 1)
-            for kind in kinds
-        ],
-        "rule int, issue_type string, recommendation string",
-    )
-    present = issues.filter(F.col("severity").isin("critical", "warning")).select("issue_type")
-    fired = rules.join(present, "issue_type", "left_semi").select("rule", "recommendation")
-    fired = fired.distinct()
-    nothing = fired.agg(F.count(F.lit(1)).alias("n")).filter("n = 0")
-    closing = nothing.select(
-        F.lit(len(QUALITY_ADVICE) + 1).alias("rule"),
-        F.lit(QUALITY_ADVICE_NONE).alias("recommendation"),
-    )
-    return fired.unionByName(closing)
+def advice(issue_types: Iterable[str]) -> list[tuple[int, str]]:
+    """(rule, recommendation) in rule order for the critical and warning issue types."""
+    present = set(issue_types)
+    fired = [
+        (rule, text)
+        for rule, (kinds, text) in enumerate(QUALITY_ADVICE, 1)
+        if present.intersection(kinds)
+    ]
+    return fired or [(len(QUALITY_ADVICE) + 1, QUALITY_ADVICE_NONE)]
 
 
 @dataclass(frozen=True)

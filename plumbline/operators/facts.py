@@ -6,44 +6,44 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plumbline.config import QualityConfig
-from plumbline.functions.columns import col, numeric_columns, text_columns
+from plumbline.functions.columns import col, numeric_columns
 from plumbline.functions.longform import stack
 from plumbline.functions.values import not_a_number
 
 
+def named(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Add ``column`` for the integer ``position`` that measurements are grouped by."""
+    column = F.element_at(F.array(*[F.lit(c) for c in names]), F.col("position") + 1)
+    return df.withColumn("column", column)
+
+
 def column_facts(df: DataFrame, names: Sequence[str], config: QualityConfig) -> DataFrame:
-    """One row per column from one scan: missing, moments, range and parse failures.
+    """One row per column from one scan: missing cells, moments and values out of range.
 
-    ``value`` is null for columns without numbers, so their moments are null.
+    Columns without numbers have null moments.
     """
     numeric = set(numeric_columns(df, names))
-    text = set(text_columns(df, names))
     no_number = F.lit(None).cast("double")
     entries = []
-    for place, name in enumerate(names):
+    for position, name in enumerate(names):
         low, high = config.ranges.get(name, (None, None)) if name in numeric else (None, None)
         entries.append(
             [
-                F.lit(place),
-                F.lit(name),
+                F.lit(position),
                 col(name).cast("double") if name in numeric else no_number,
                 col(name).isNull(),
-                not_a_number(col(name)) if name in text else F.lit(False),
                 F.lit(low).cast("double"),
                 F.lit(high).cast("double"),
             ]
         )
-    fields = ["position", "column", "value", "missing", "unparsable", "low", "high"]
-    return (
-        stack(df, entries, fields)
-        .groupBy("position", "column")
+    measured = (
+        stack(df, entries, ["position", "value", "missing", "low", "high"])
+        .groupBy("position")
         .agg(
             F.count(F.lit(1)).alias("n_rows"),
             F.count_if("missing").alias("null_count"),
-            F.count_if("unparsable").alias("unparsable"),
             F.avg("value").alias("mean"),
             F.stddev_samp("value").alias("std"),
             F.min("value").alias("min_val"),
@@ -52,11 +52,18 @@ def column_facts(df: DataFrame, names: Sequence[str], config: QualityConfig) ->
             F.count_if(F.col("value") > F.col("high")).alias("above"),
         )
     )
+    return named(measured, names)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Compute a frame bounded by the number of columns once and keep its rows."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+def text_facts(seen: DataFrame) -> DataFrame:
+    """(column, unique_count, unparsable) from text value counts.
+
+    Each distinct value is parsed once, however often it occurs.
+    """
+    bad = F.when(not_a_number(F.col("value")), F.col("n")).otherwise(0)
+    return seen.groupBy("column").agg(
+        F.count(F.lit(1)).alias("unique_count"), F.sum(bad).alias("unparsable")
+    )
 
 
 def missing_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -108,19 +115,17 @@ def scorable(facts: Sequence, config: QualityConfig) -> list[tuple[str, float, f
 
 
 def outlier_counts(df: DataFrame, facts: Sequence, config: QualityConfig) -> DataFrame:
-    """(column, affected_rows) for |z| above the threshold; second scan, no join."""
+    """(column, outliers) for |z| above the threshold; second scan, no join."""
     scored = scorable(facts, config)
     if not scored:
-        empty = T.StructType(
-            [T.StructField("column", T.StringType()), T.StructField("affected_rows", T.LongType())]
-        )
-        return df.sparkSession.createDataFrame([], empty)
+        return df.sparkSession.createDataFrame([], "column string, outliers bigint")
     entries = [
-        [F.lit(c), F.abs(z_score(c, m, s)) > config.outlier_zscore_threshold]
-        for c, m, s in scored
+        [F.lit(i), F.abs(z_score(c, m, s)) > config.outlier_zscore_threshold]
+        for i, (c, m, s) in enumerate(scored)
     ]
-    return (
-        stack(df, entries, ["column", "hit"])
-        .groupBy("column")
-        .agg(F.count_if("hit").alias("affected_rows"))
+    found = (
+        stack(df, entries, ["position", "hit"])
+        .groupBy("position")
+        .agg(F.count_if("hit").alias("outliers"))
     )
+    return named(found, [c for c, _, _ in scored]).select("column", "outliers")

@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.config import QualityConfig
 from plumbline.functions.columns import RowKey, col, key_columns
+from plumbline.functions.storage import python_tasks
+
+# Tasks get the functions below with their code, so workers need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _expected_depth(n):
@@ -73,6 +79,7 @@ def tree_samples(
         F.sequence(F.lit(0), F.lit(config.anomaly_trees - 1)), lambda t: draw(t) <= ceiling
     )
     drawn = data.select(*keys, *[col(c) for c in names], F.explode(trees).alias("__tree"))
+    drawn = drawn.repartition(python_tasks(data, config.anomaly_trees), "__tree")
     place = F.row_number().over(
         Window.partitionBy("__tree").orderBy(draw(F.col("__tree")), *keys)
     )

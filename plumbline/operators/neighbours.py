@@ -14,15 +14,20 @@ is copied to several tasks.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import col
-from plumbline.functions.storage import pin
+from plumbline.functions.storage import pin, python_tasks
+
+# Tasks get the functions below with their code, so workers need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LEAF_ROWS = 2048
 SAMPLE_PER_LEAF = 64
@@ -173,7 +178,9 @@ def nearest_locations(places: DataFrame, k: int, leaf_rows: int = LEAF_ROWS) ->
         "loc long, m long, " + ", ".join(f"{x} double" for x in axes) + ", leaf long, "
         "near array<long>, near_m array<long>, d2 array<double>, visits array<long>, radius double"
     )
-    first = pin(treed.groupBy("leaf").applyInPandas(within_leaf, schema))
+    tasks = python_tasks(places, len(box_leaf))
+    leaves = treed.repartition(tasks, "leaf").groupBy("leaf")
+    first = pin(leaves.applyInPandas(within_leaf, schema))
     own = first.select("loc", "m", F.inline(F.arrays_zip("near", "near_m", "d2")))
 
     asked = first.select("loc", "m", *axes, "radius", F.explode("visits").alias("leaf"))
@@ -208,8 +215,8 @@ def nearest_locations(places: DataFrame, k: int, leaf_rows: int = LEAF_ROWS) ->
         return pd.concat(parts, ignore_index=True)
 
     other = (
-        copied.groupBy("leaf", "copy")
-        .cogroup(asked.groupBy("leaf", "copy"))
+        copied.repartition(tasks, "leaf", "copy").groupBy("leaf", "copy")
+        .cogroup(asked.repartition(tasks, "leaf", "copy").groupBy("leaf", "copy"))
         .applyInPandas(across, "loc long, m long, near long, near_m long, d2 double")
     )
     order = Window.partitionBy("loc").orderBy("d2", "near")

@@ -35,18 +35,22 @@ def number_profile(facts: DataFrame) -> DataFrame:
     return facts.filter("mean is not null").select("column", "mean", "std", "min_val", "max_val")
 
 
-def top_values(df: DataFrame, names: Sequence[str], limit: int) -> DataFrame:
-    """(column, rank, value, n): most frequent text values, smaller value first on ties."""
+def most_frequent(seen: DataFrame, limit: int) -> DataFrame:
+    """(column, rank, value, n) from value counts: most frequent first, smaller value on ties."""
     order = [F.col("n").desc(), F.col("value")]
     rank = F.row_number().over(Window.partitionBy("column").orderBy(*order))
     return (
-        value_counts(df, names, "string")
-        .withColumn("rank", rank)
+        seen.withColumn("rank", rank)
         .filter(F.col("rank") <= limit)
         .select("column", F.col("rank").cast("int").alias("rank"), "value", "n")
     )
 
 
+def top_values(df: DataFrame, names: Sequence[str], limit: int) -> DataFrame:
+    """Most frequent texts of each column."""
+    return most_frequent(value_counts(df, names, "string"), limit)
+
+
 def _first_values(df: DataFrame, row_key: RowKey, names: Sequence[str], limit: int) -> DataFrame:
     entries = [[F.lit(c), col(c).cast("string")] for c in names]
     rank = F.row_number().over(Window.partitionBy("column").orderBy("__key"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -17,7 +18,7 @@ from plumbline.functions.columns import (
 from plumbline.functions.counts import modes
 from plumbline.functions.longform import stack
 from plumbline.functions.quantiles import medians
-from plumbline.functions.storage import pin
+from plumbline.functions.storage import pin, spread
 from plumbline.operators.facts import drop_empty_columns
 
 # Target texts (upper case, trimmed) that mean "negative".
@@ -54,12 +55,14 @@ def _mode_type(kind: T.DataType) -> str:
 def impute_most_frequent(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Fill the gaps of each column with its most frequent value, the smallest on ties."""
     kinds = {c: df.schema[c].dataType for c in names}
-    found = {}
+    parts = []
     for family in ("bigint", "double", "string"):
         members = [c for c in names if _mode_type(kinds[c]) == family]
         if members:
-            rows = modes(df, members, family).collect()
-            found.update({r["column"]: r["mode"] for r in rows})
+            common = modes(df, members, family)
+            parts.append(common.select("column", F.col("mode").cast("string").alias("mode")))
+    rows = reduce(DataFrame.unionByName, parts).collect() if parts else []
+    found = {r["column"]: r["mode"] for r in rows}
     cells = [
         F.coalesce(col(c), F.lit(found[c]).cast(kinds[c])).alias(c) if c in found else col(c)
         for c in df.columns
@@ -193,7 +196,9 @@ def score_proxy(
     assembled = VectorAssembler(
         inputCols=[f"f{i}" for i in range(len(names))], outputCol="features"
     ).transform(ready)
-    assembled = pin(assembled.select("__row", "__label", "__test", "features"))
+    # Training passes over the data many times: once on disk, on all cores.
+    assembled = assembled.select("__row", "__label", "__test", "features")
+    assembled = pin(spread(assembled, sum(classes.values())))
     forest = RandomForestClassifier(
         labelCol="__label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed
     )

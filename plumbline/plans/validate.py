@@ -7,16 +7,16 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.config import QualityConfig
 from plumbline.functions.columns import (
-    RowKey, data_columns, groupable_columns, nan_to_null, number_columns,
-    text_columns, with_file_position,
+    RowKey, col, data_columns, groupable_columns, nan_to_null, number_columns, text_columns,
+    with_file_position,
 )
-from plumbline.functions.counts import distinct_counts
-from plumbline.functions.storage import pin
+from plumbline.functions.counts import distinct_counts, value_counts
+from plumbline.functions.storage import pin, together
 from plumbline.operators import anomalies as anomaly
 from plumbline.operators import checks, duplicates, evidence, facts, profile
 from plumbline.sources.readers import read_table
@@ -101,7 +101,7 @@ def _example(**cells) -> Row:
     return Row(*fields)(*[cells.get(f) for f in fields])
 
 
-def _shape_issues(df: DataFrame, names: Sequence[str], rows: int, config: QualityConfig) -> list:
+def _shape_issues(names: Sequence[str], rows: int, config: QualityConfig) -> list:
     """Issues visible from row count and column names alone."""
     found = []
     repeated = checks.repeated_names(names)
@@ -120,29 +120,32 @@ def _shape_issues(df: DataFrame, names: Sequence[str], rows: int, config: Qualit
     return found
 
 
-def _duplicate_issues(
-    df: DataFrame, names: Sequence[str], row_key: RowKey, rows: int, config: QualityConfig
-) -> tuple[list, int]:
-    found = []
+def _repeats(
+    df: DataFrame, columns: Sequence[str], row_key: RowKey, config: QualityConfig,
+    value: Column | None = None,
+) -> tuple[int, list]:
+    """Number of repeating rows and the first of them."""
+    repeats = duplicates.repeat_count(df, columns).first()["affected_rows"]
+    if not repeats:
+        return 0, []
+    top = duplicates.first_repeats(df, columns, row_key, config.max_examples, value).collect()
+    return repeats, [_example(row_key=r["row_key"], value=r["value"]) for r in top]
 
-    def examples(columns, value=None) -> list:
-        top = duplicates.first_repeats(df, columns, row_key, config.max_examples, value)
-        return [_example(row_key=r["row_key"], value=r["value"]) for r in top.collect()]
 
+def _duplicate_rows(
+    df: DataFrame, names: Sequence[str], row_key: RowKey, config: QualityConfig
+) -> tuple[int, list]:
     compared = groupable_columns(df, names)
-    repeats = duplicates.repeat_count(df, compared).first()["affected_rows"] if compared else 0
-    if repeats:
-        shown = examples(compared)
-        found.append(_issue("warning", "DUPLICATE_ROWS", repeats, rows, examples=shown))
+    return _repeats(df, compared, row_key, config) if compared else (0, [])
+
+
+def _duplicate_ids(
+    df: DataFrame, names: Sequence[str], row_key: RowKey, config: QualityConfig
+) -> tuple[str | None, int, list]:
     identifier = next((c for c in config.id_columns if c in names), None)
-    if identifier is not None:
-        again = duplicates.repeat_count(df, [identifier]).first()["affected_rows"]
-        if again:
-            shown = examples([identifier], F.col(f"`{identifier}`"))
-            found.append(
-                _issue("critical", "DUPLICATE_IDS", again, rows, identifier, examples=shown)
-            )
-    return found, repeats
+    if identifier is None:
+        return None, 0, []
+    return identifier, *_repeats(df, [identifier], row_key, config, col(identifier))
 
 
 def _anomaly_issues(
@@ -207,18 +210,6 @@ def _limit_text(kind: str, column: str, config: QualityConfig) -> Any:
     return config.outlier_zscore_threshold
 
 
-def _empty_report(
-    df: DataFrame, names: Sequence[str], issue: dict, started: float
-) -> ValidationReport:
-    spark = df.sparkSession
-    issues = spark.createDataFrame([_as_row(0, issue)], ISSUE_SCHEMA)
-    summary = _summary(df, names, 0, 0, 0, [issue])
-    return ValidationReport(
-        "FAIL", summary, issues, spark.createDataFrame([], PROFILE_SCHEMA),
-        checks.advice(issues), [], time.time() - started,
-    )
-
-
 def _as_row(position: int, issue: dict) -> tuple:
     return (
         position, issue["severity"], issue["issue_type"], issue["column"],
@@ -247,33 +238,109 @@ def _summary(
     }
 
 
-def _profiles(
-    df: DataFrame, names: Sequence[str], row_key: RowKey, measured: Sequence[Row],
-    distinct: dict[str, int], config: QualityConfig,
-) -> DataFrame:
-    spark = df.sparkSession
-    text = text_columns(df, names)
-    present = {m["column"]: m["n_rows"] - m["null_count"] for m in measured}
-    samples: dict[str, list] = {}
-    for r in profile.sample_values(df, row_key, present, config).orderBy("column", "rank").collect():
-        samples.setdefault(r["column"], []).append(r["value"])
+def _text_values(
+    df: DataFrame, names: Sequence[str], config: QualityConfig
+) -> tuple[dict[str, Row], dict[str, list]]:
+    """Distinct and unparsable counts, and the most frequent values, of text columns.
+
+    Both come from the same value counts, which the plan shuffles once.
+    """
+    if not names:
+        return {}, {}
+    seen = value_counts(df, names, "string")
+    facts_part = facts.text_facts(seen).select(
+        "column", F.lit(0).alias("rank"), F.lit(None).cast("string").alias("value"),
+        F.lit(None).cast("bigint").alias("n"), "unique_count", "unparsable",
+    )
+    top_part = profile.most_frequent(seen, config.top_categories).select(
+        "*", F.lit(None).cast("bigint").alias("unique_count"),
+        F.lit(None).cast("bigint").alias("unparsable"),
+    )
+    counted: dict[str, Row] = {}
     tops: dict[str, list] = {}
-    if text:
-        top = profile.top_values(df, text, config.top_categories).orderBy("column", "rank")
-        for r in top.collect():
+    for r in sorted(facts_part.unionByName(top_part).collect(), key=lambda r: r["rank"]):
+        if r["rank"] == 0:
+            counted[r["column"]] = r
+        else:
             tops.setdefault(r["column"], []).append((r["value"], r["n"]))
-    kinds = dict(df.dtypes)
-    rows = [
-        (
-            m["column"], kinds[m["column"]], m["null_count"], m["null_count"] / m["n_rows"],
-            distinct.get(m["column"], 0), distinct.get(m["column"], 0) / m["n_rows"],
-            m["mean"], m["std"], m["min_val"], m["max_val"],
-            samples.get(m["column"], []),
-            tops.get(m["column"], []) if m["column"] in text else None,
+    return counted, tops
+
+
+def _other_distinct(df: DataFrame, names: Sequence[str], config: QualityConfig) -> dict[str, int]:
+    if not names:
+        return {}
+    found = distinct_counts(df, names, config.approximate_distinct).collect()
+    return {r["column"]: r["unique_count"] for r in found}
+
+
+def _samples(
+    df: DataFrame, row_key: RowKey, measured: Sequence[Row], config: QualityConfig
+) -> dict[str, list]:
+    present = {m["column"]: m["n_rows"] - m["null_count"] for m in measured}
+    found: dict[str, list] = {}
+    rows = profile.sample_values(df, row_key, present, config).collect()
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        found.setdefault(r["column"], []).append(r["value"])
+    return found
+
+
+def _column_issues(
+    df: DataFrame, row_key: RowKey, measured: Sequence[Row], known: DataFrame,
+    config: QualityConfig,
+) -> list[dict]:
+    """Issues of single columns in report order, with their first offending rows."""
+    rows = measured[0]["n_rows"]
+    found = checks.column_issues(known, config).collect()
+    wanted = {(i["issue_type"], i["column"]) for i in found}
+    row_checks = checks.row_checks(df, measured, config, wanted)
+    shown: dict[tuple, list] = {}
+    if row_checks:
+        evidence_rows = evidence.issue_examples(df, row_key, row_checks, config).collect()
+        for r in sorted(evidence_rows, key=lambda r: r["rank"]):
+            score = None if r["z_score"] is None else round(r["z_score"], 2)
+            shown.setdefault((r["issue_type"], r["column"]), []).append(
+                _example(row_key=r["row_key"], value=r["value"], z_score=score)
+            )
+    place = {m["column"]: m["position"] for m in measured}
+    found.sort(
+        key=lambda i: (
+            _STAGE.get(i["issue_type"], 0),
+            place[i["column"]],
+            i["issue_type"] != "VALUE_BELOW_RANGE",
         )
-        for m in measured
+    )
+    return [
+        _issue(
+            i["severity"], i["issue_type"], i["affected_rows"], rows, i["column"],
+            limit=_limit_text(i["issue_type"], i["column"], config),
+            examples=shown.get((i["issue_type"], i["column"]), ()),
+        )
+        for i in found
     ]
-    return spark.createDataFrame(rows, PROFILE_SCHEMA)
+
+
+def _measure(
+    df: DataFrame, names: Sequence[str], row_key: RowKey, config: QualityConfig
+) -> tuple | None:
+    """Column facts, then what depends on them; None for a table without rows."""
+    measured = sorted(
+        facts.column_facts(df, names, config).collect(), key=lambda m: m["position"]
+    )
+    if not measured:
+        return None
+    outliers, samples, strange = together(
+        df.sparkSession,
+        lambda: facts.outlier_counts(df, measured, config).collect(),
+        lambda: _samples(df, row_key, measured, config),
+        lambda: _anomaly_issues(df, row_key, measured[0]["n_rows"], config),
+    )
+    return measured, {r["column"]: r["outliers"] for r in outliers}, samples, strange
+
+
+KNOWN_SCHEMA = (
+    "column string, n_rows bigint, null_count bigint, below bigint, above bigint, "
+    "unique_count bigint, unparsable bigint, outliers bigint"
+)
 
 
 def validate(
@@ -281,94 +348,106 @@ def validate(
 ) -> ValidationReport:
     """Check a table and profile its columns. The row key itself is not checked.
 
-    Scans: one for all counts, moments, ranges and parse failures; one for
-    distinct values; one for outliers, which need the moments; one for the
-    evidence of the issues found; two for duplicates; and the anomaly checks
-    when the table is small enough for them.
+    One scan takes all counts, moments and range violations; outliers, first
+    values and, for tables small enough, the anomaly checks follow from it.
+    Distinct values, frequent texts, repeated rows and ids need nothing else
+    and run beside it. A last scan collects the evidence of the issues found.
     """
     config = config or QualityConfig()
+    spark = df.sparkSession
     started = time.time()
     names = data_columns(df, row_key)
-    if df.isEmpty():
-        return _empty_report(df, names, _issue("critical", "EMPTY_DATASET", 0), started)
-    if not names:
-        rows = df.count()
-        return _empty_report(df, names, _issue("critical", "NO_COLUMNS", rows, rows), started)
-    if len(set(names)) < len(names):
-        # Columns with one name cannot be told apart; nothing else can be checked.
+    if not names or len(set(names)) < len(names):
+        # Without columns, or with columns that cannot be told apart, only their names count.
         rows = df.count()
-        return _empty_report(df, names, _shape_issues(df, names, rows, config)[0], started)
+        if rows == 0:
+            first = _issue("critical", "EMPTY_DATASET", 0)
+        elif not names:
+            first = _issue("critical", "NO_COLUMNS", rows, rows)
+        else:
+            first = _shape_issues(names, rows, config)[0]
+        return _early_report(df, names, rows, first, started)
 
     clean = nan_to_null(df)
-    measured = sorted(
-        facts.column_facts(clean, names, config).collect(), key=lambda m: m["position"]
+    texts = text_columns(clean, names)
+    others = [c for c in groupable_columns(clean, names) if c not in set(texts)]
+    numbers, (texts_known, tops), distinct, repeated, ids = together(
+        spark,
+        lambda: _measure(clean, names, row_key, config),
+        lambda: _text_values(clean, texts, config),
+        lambda: _other_distinct(clean, others, config),
+        lambda: _duplicate_rows(clean, names, row_key, config),
+        lambda: _duplicate_ids(clean, names, row_key, config),
     )
+    if numbers is None:
+        return _early_report(df, names, 0, _issue("critical", "EMPTY_DATASET", 0), started)
+    measured, unusual, samples, (strange, methods, flagged) = numbers
     rows = measured[0]["n_rows"]
-    fact_frame = df.sparkSession.createDataFrame(measured)
-    grouped = groupable_columns(clean, names)
-    unique = (
-        distinct_counts(clean, grouped, config.approximate_distinct).collect() if grouped else []
-    )
-    distinct = {r["column"]: r["unique_count"] for r in unique}
-    distinct_frame = df.sparkSession.createDataFrame(
-        list(distinct.items()), "column string, unique_count bigint"
-    )
-    outliers = facts.settle(facts.outlier_counts(clean, measured, config))
-
-    column_issues = (
-        checks.completeness_issues(fact_frame, config)
-        .unionByName(checks.type_issues(fact_frame, distinct_frame, config))
-        .unionByName(checks.range_issues(fact_frame))
-        .unionByName(checks.outlier_issues(fact_frame, outliers))
-        .collect()
-    )
-    wanted = {(i["issue_type"], i["column"]) for i in column_issues}
-    shown: dict[tuple, list] = {}
-    row_checks = checks.row_checks(clean, measured, config, wanted)
-    examples = evidence.issue_examples(clean, row_key, row_checks, config)
-    for r in sorted(examples.collect(), key=lambda r: r["rank"]) if row_checks else ():
-        score = None if r["z_score"] is None else round(r["z_score"], 2)
-        shown.setdefault((r["issue_type"], r["column"]), []).append(
-            _example(row_key=r["row_key"], value=r["value"], z_score=score)
-        )
-
-    repeated, repeats = _duplicate_issues(clean, names, row_key, rows, config)
-    issues = _shape_issues(df, names, rows, config) + repeated
-    place = {m["column"]: m["position"] for m in measured}
-    column_issues.sort(
-        key=lambda i: (
-            _STAGE.get(i["issue_type"], 0),
-            place[i["column"]],
-            i["issue_type"] != "VALUE_BELOW_RANGE",
-        )
-    )
-    for i in column_issues:
-        kind, name = i["issue_type"], i["column"]
-        issues.append(
-            _issue(
-                i["severity"], kind, i["affected_rows"], rows, name,
-                limit=_limit_text(kind, name, config), examples=shown.get((kind, name), ()),
+    distinct.update({c: r["unique_count"] for c, r in texts_known.items()})
+    known = spark.createDataFrame(
+        [
+            (
+                m["column"], rows, m["null_count"], m["below"], m["above"],
+                distinct.get(m["column"], 0),
+                texts_known[m["column"]]["unparsable"] if m["column"] in texts_known else 0,
+                unusual.get(m["column"], 0),
             )
+            for m in measured
+        ],
+        KNOWN_SCHEMA,
+    ).coalesce(1)
+    column_issues = _column_issues(clean, row_key, measured, known, config)
+
+    issues = _shape_issues(names, rows, config)
+    if repeated[0]:
+        issues.append(_issue("warning", "DUPLICATE_ROWS", repeated[0], rows, examples=repeated[1]))
+    if ids[1]:
+        issues.append(_issue("critical", "DUPLICATE_IDS", ids[1], rows, ids[0], examples=ids[2]))
+    issues += column_issues + strange
+
+    kinds = dict(clean.dtypes)
+    profiles = [
+        (
+            m["column"], kinds[m["column"]], m["null_count"], m["null_count"] / rows,
+            distinct.get(m["column"], 0), distinct.get(m["column"], 0) / rows,
+            m["mean"], m["std"], m["min_val"], m["max_val"], samples.get(m["column"], []),
+            tops.get(m["column"], []) if m["column"] in set(texts) else None,
         )
-    strange, methods, flagged = _anomaly_issues(clean, row_key, rows, config)
-    issues += strange
-
-    profiles = _profiles(clean, names, row_key, measured, distinct, config)
+        for m in measured
+    ]
     elapsed = time.time() - started
-    issue_frame = df.sparkSession.createDataFrame(
-        [_as_row(n, i) for n, i in enumerate(issues)], ISSUE_SCHEMA
-    )
     missing = sum(m["null_count"] for m in measured)
-    summary = _summary(clean, names, rows, missing, repeats, issues)
-    status = (
-        "FAIL" if summary["critical_issues"] else "WARNING" if summary["warnings"] else "PASS"
-    )
+    summary = _summary(clean, names, rows, missing, repeated[0], issues)
     return ValidationReport(
-        status, summary, issue_frame, profiles, checks.advice(issue_frame).orderBy("rule"),
+        _status(issues), summary, *_report_frames(spark, issues, profiles),
         methods, elapsed, flagged,
     )
 
 
+def _status(issues: Sequence[dict]) -> str:
+    severities = {i["severity"] for i in issues}
+    return "FAIL" if "critical" in severities else "WARNING" if "warning" in severities else "PASS"
+
+
+def _report_frames(
+    spark: SparkSession, issues: Sequence[dict], profiles: Sequence[tuple]
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    grave = [i["issue_type"] for i in issues if i["severity"] in ("critical", "warning")]
+    return (
+        spark.createDataFrame([_as_row(n, i) for n, i in enumerate(issues)], ISSUE_SCHEMA).coalesce(1),
+        spark.createDataFrame(profiles, PROFILE_SCHEMA).coalesce(1),
+        spark.createDataFrame(checks.advice(grave), "rule int, recommendation string").coalesce(1),
+    )
+
+
+def _early_report(
+    df: DataFrame, names: Sequence[str], rows: int, issue: dict, started: float
+) -> ValidationReport:
+    summary = _summary(df, names, rows, 0, 0, [issue])
+    frames = _report_frames(df.sparkSession, [issue], [])
+    return ValidationReport("FAIL", summary, *frames, [], time.time() - started)
+
+
 def validate_file(
     spark: SparkSession,
     path: str,
