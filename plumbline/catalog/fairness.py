@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.catalog.views import DECISIONS, table
 from plumbline.config import FairnessConfig
 from plumbline.functions.columns import col
+from plumbline.functions.storage import pin
 from plumbline.functions.values import bands
 from plumbline.operators import groups, sensitive
 from plumbline.plans.audit import audit
@@ -101,7 +102,8 @@ DIAGNOSTICS_SQL = f"WITH {PREPARED_SQL} SELECT * FROM (" + " UNION ALL ".join(
 
 def _counts(spark: SparkSession, folder: str) -> DataFrame:
     prepared = sensitive.prepare_sensitive(DECISIONS.frame(spark, folder), DETECTED)
-    return groups.additive_counts(prepared.data, "y_true", "y_pred", ATTRIBUTES)
+    # Few rows, read by several branches of the queries below.
+    return pin(groups.additive_counts(prepared.data, "y_true", "y_pred", ATTRIBUTES))
 
 
 def _groups(spark: SparkSession, folder: str) -> DataFrame:

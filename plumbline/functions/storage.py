@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -19,14 +21,36 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="plumbline-")
+    folder = tempfile.mkdtemp(prefix="plumbline-")
+    context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def _storable(kind: T.DataType) -> bool:
+    """Can a parquet column hold it?"""
+    if isinstance(kind, T.StructType):
+        return all(_storable(f.dataType) for f in kind)
+    if isinstance(kind, T.ArrayType):
+        return _storable(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _storable(kind.keyType) and _storable(kind.valueType)
+    return not isinstance(kind, T.NullType | T.VariantType | T.CalendarIntervalType)
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Compute a frame once and cut its lineage; survives the loss of executors."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
+    """Compute a frame once and cut its lineage; survives the loss of executors.
+
+    Written as a table to the shared folder: unlike ``checkpoint()`` that runs
+    the last stage once, not twice, and later reads take only the columns they
+    need. Frames parquet cannot hold are checkpointed.
+    """
+    spark = df.sparkSession
+    if all(_storable(f.dataType) for f in df.schema) and len(set(df.columns)) == len(df.columns):
+        path = f"{shared_folder(spark)}/pinned-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.columns import RowKey, col, key_columns, key_struct, key_text
 
@@ -32,12 +33,20 @@ def repeat_candidates(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return hashed.join(repeated, HASH, "left_semi").drop(HASH)
 
 
+def _narrow(df: DataFrame, names: Sequence[str]) -> bool:
+    """True if the columns take no more room than their hash and a flag or two would."""
+    kinds = [df.schema[c].dataType for c in names]
+    return len(names) <= 2 and all(
+        isinstance(k, T.NumericType | T.BooleanType | T.DateType | T.TimestampType) for k in kinds
+    )
+
+
 def repeat_groups(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Each value combination that occurs more than once, with its count ``n``."""
     wanted = df.select(*[col(c) for c in names])
+    candidates = wanted if _narrow(df, names) else repeat_candidates(wanted, names)
     return (
-        repeat_candidates(wanted, names)
-        .groupBy(*[col(c) for c in names])
+        candidates.groupBy(*[col(c) for c in names])
         .agg(F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
     )
@@ -94,6 +103,12 @@ def keep_one_per_row(
     carried = key_columns(row_key) + [
         c for c in df.columns if c not in names and c not in key_columns(row_key)
     ]
+    if len(carried) == 1:
+        # A plain minimum of a number stays in the hash aggregate.
+        kept = df.groupBy(*[col(c) for c in names]).agg(pick(col(carried[0])).alias("__kept"))
+        return kept.select(
+            *[F.col("__kept").alias(c) if c == carried[0] else col(c) for c in df.columns]
+        )
     cells = F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(carried)])
     kept = df.groupBy(*[col(c) for c in names]).agg(pick(cells).alias("__kept"))
     back = {c: F.col(f"__kept.c{i}").alias(c) for i, c in enumerate(carried)}

@@ -189,10 +189,10 @@ def nearest_locations(places: DataFrame, k: int, leaf_rows: int = LEAF_ROWS) ->
         F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("long").alias("copies")
     )
     load = pin(load)
-    asked = asked.join(load, "leaf").withColumn("copy", F.pmod(F.xxhash64("loc"), F.col("copies")))
-    copied = treed.join(load, "leaf").withColumn(
-        "copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))
-    )
+    copy = F.pmod(F.xxhash64("loc"), F.col("copies"))
+    asked = asked.join(load, "leaf").withColumn("copy", copy).drop("copies")
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))
+    copied = treed.join(load, "leaf").withColumn("copy", copies).drop("copies")
 
     def across(frame: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         columns = ["loc", "m", "near", "near_m", "d2"]

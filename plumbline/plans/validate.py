@@ -16,7 +16,7 @@ from plumbline.functions.columns import (
     with_file_position,
 )
 from plumbline.functions.counts import distinct_counts, value_counts
-from plumbline.functions.storage import pin, together
+from plumbline.functions.storage import together
 from plumbline.operators import anomalies as anomaly
 from plumbline.operators import checks, duplicates, evidence, facts, profile
 from plumbline.sources.readers import read_table
@@ -161,7 +161,7 @@ def _anomaly_issues(
         return [{**skipped, "affected_rows": 0}], [], None
     if decision == "small" or not config.run_anomaly_checks:
         return [], [], None
-    scored = pin(anomaly.anomaly_scores(df, row_key, config))
+    scored = anomaly.anomaly_scores(df, row_key, config)
     shown_columns = [c for c in numbers if c in scored.columns]
     both = anomaly.consensus(scored)
     one = scored.filter(F.col("iso_flag") != F.col("lof_flag"))
