@@ -43,19 +43,34 @@ def _nearest(points: np.ndarray, queries: np.ndarray, k: int, skip: np.ndarray |
     Yields (query positions, point positions, squared distances) per chunk.
     """
     step = max(1, CHUNK_CELLS // max(len(points), 1))
+    center = points.mean(axis=0)
+    moved, length = points - center, None
     for start in range(0, len(queries), step):
         block = queries[start : start + step]
-        squared = np.zeros((len(block), len(points)))
-        for axis in range(points.shape[1]):
-            gap = block[:, axis, None] - points[None, :, axis]
-            squared += gap * gap
+        slack = 0.0
+        if points.shape[1] <= 4:
+            squared = np.zeros((len(block), len(points)))
+            for axis in range(points.shape[1]):
+                gap = block[:, axis, None] - points[None, :, axis]
+                squared += gap * gap
+        else:
+            # One matrix product instead of a pass per column; what it rounds away
+            # is allowed for here and the distances kept are taken exactly below.
+            shifted = block - center
+            length = (moved * moved).sum(axis=1) if length is None else length
+            own = (shifted * shifted).sum(axis=1)
+            squared = own[:, None] + length[None, :] - 2.0 * (shifted @ moved.T)
+            slack = 1e-14 * points.shape[1] * (own[:, None] + length.max())
         if skip is not None:
             squared[np.arange(len(block)), skip[start : start + step]] = np.inf
         limit = np.full((len(block), 1), np.inf)
         if k < len(points):
-            limit = np.partition(squared, k - 1, axis=1)[:, k - 1 : k]
+            limit = np.partition(squared, k - 1, axis=1)[:, k - 1 : k] + 2.0 * slack
         row, place = np.nonzero((squared <= limit) & np.isfinite(squared))
-        near = squared[row, place]
+        near = np.zeros(len(row))
+        for axis in range(points.shape[1]):
+            gap = block[row, axis] - points[place, axis]
+            near += gap * gap
         order = np.lexsort((place, near, row))
         row, place, near = row[order], place[order], near[order]
         first = np.searchsorted(row, row, side="left")
@@ -184,15 +199,22 @@ def nearest_locations(places: DataFrame, k: int, leaf_rows: int = LEAF_ROWS) ->
     own = first.select("loc", "m", F.inline(F.arrays_zip("near", "near_m", "d2")))
 
     asked = first.select("loc", "m", *axes, "radius", F.explode("visits").alias("leaf"))
-    # One count per leaf; a leaf asked often is copied so that no task gets too many queries.
-    load = asked.groupBy("leaf").agg(
-        F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("long").alias("copies")
-    )
-    load = pin(load)
-    copy = F.pmod(F.xxhash64("loc"), F.col("copies"))
-    asked = asked.join(load, "leaf").withColumn("copy", copy).drop("copies")
-    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))
-    copied = treed.join(load, "leaf").withColumn("copy", copies).drop("copies")
+    # One row per leaf. A leaf asked often is copied so that no task gets too many queries.
+    load = asked.groupBy("leaf").count().filter(F.col("count") > QUERY_BLOCK).collect()
+    once = F.lit(0).cast("long")
+    copied = treed
+    if load:
+        busy = places.sparkSession.createDataFrame(
+            [(r["leaf"], math.ceil(r["count"] / QUERY_BLOCK)) for r in load],
+            "leaf long, copies long",
+        )
+        copies = F.coalesce("copies", F.lit(1).cast("long"))
+        copy = F.pmod(F.xxhash64("loc"), copies)
+        asked = asked.join(busy, "leaf", "left").withColumn("copy", copy).drop("copies")
+        every = F.explode(F.sequence(once, copies - 1))
+        copied = copied.join(busy, "leaf", "left").withColumn("copy", every).drop("copies")
+    else:
+        asked, copied = asked.withColumn("copy", once), copied.withColumn("copy", once)
 
     def across(frame: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         columns = ["loc", "m", "near", "near_m", "d2"]
