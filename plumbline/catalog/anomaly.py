@@ -13,6 +13,7 @@ from plumbline.functions.storage import pin, shared_folder, spread
 from plumbline.operators import anomalies
 from plumbline.operators.isolation import isolation_scores
 from plumbline.operators.repair import Fix, apply_fixes
+from plumbline.plans.validate import validate
 from plumbline.sources.writers import write_table
 
 CONFIG = QualityConfig()
@@ -72,7 +73,15 @@ def anomaly_consensus(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def anomaly_single(spark: SparkSession, folder: str) -> DataFrame:
-    return anomalies.single_flags(_scored_parts(spark, folder), CONFIG)
+    # By default rows flagged by one method are only reported when they are few.
+    every = QualityConfig(potential_anomaly_max_rows=2**31)
+    return anomalies.single_flags(_scored_parts(spark, folder), every)
+
+
+def validate_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Full validation with both anomaly methods."""
+    report = validate(table(spark, folder, "part"), "p_partkey", CONFIG)
+    return report.issues.select("severity", "issue_type", "column", "affected_rows", "fraction")
 
 
 def export_anomalies(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,6 +100,7 @@ QUERIES = {
     "isolation_forest": (isolation_forest, None),
     "lof": (lof, LOF_SQL),
     "anomaly_consensus": (anomaly_consensus, None),
+    "validate_parts": (validate_parts, None),
     "anomaly_single": (anomaly_single, None),
     "export_anomalies": (export_anomalies, None),
 }

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.columns import (
-    RowKey, col, data_columns, key_columns, key_text, nan_to_null, numeric_columns, text_columns,
+    RowKey, col, data_columns, key_text, nan_to_null, numeric_columns, text_columns,
 )
 from plumbline.functions.counts import modes
 from plumbline.functions.longform import stack
@@ -142,8 +142,8 @@ class Scored:
     classes: dict[int, int]
 
 
-def _features(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Times as seconds; columns a model cannot use are left out."""
+def _features(df: DataFrame, names: Sequence[str]) -> tuple[list[Column], list[str]]:
+    """Columns a model can use, times as seconds; the others are left out."""
     usable, cells = [], []
     for name in names:
         kind = df.schema[name].dataType
@@ -154,7 +154,7 @@ def _features(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, list[str]
         else:
             continue
         usable.append(name)
-    return df.select("__row", "__label", "__test", *cells), usable
+    return cells, usable
 
 
 def score_proxy(
@@ -178,35 +178,31 @@ def score_proxy(
     }
     if len(classes) < 2:
         raise ValueError(f"target {target!r} has a single class {classes}; nothing to model")
-    keyed = clean.withColumns(
-        {
-            "__row": F.struct(*[col(k) for k in key_columns(row_key)]),
-            "__label": label,
-            "__test": in_test_part(row_key, test_fraction, seed),
-        }
-    )
-    names = [c for c in data_columns(clean, row_key) if c != target]
-    model_data, names = _features(keyed, names)
+    cells, names = _features(clean, [c for c in data_columns(clean, row_key) if c != target])
+    # The original columns travel along, so the test rows need no join to get them back.
+    original = F.struct(*[col(c) for c in clean.columns]).alias("__original")
+    chosen = in_test_part(row_key, test_fraction, seed).alias("__test")
+    model_data = clean.select(original, label.alias("__label"), chosen, *cells)
     model_data = drop_empty_columns(model_data, names)
     names = [c for c in names if c in model_data.columns]
     filled = impute_most_frequent(model_data, names)
     encoded = label_encode(filled, text_columns(filled, names))
     numbers = [col(c).cast("double").alias(f"f{i}") for i, c in enumerate(names)]
-    ready = encoded.select("__row", "__label", "__test", *numbers)
+    ready = encoded.select("__original", "__label", "__test", *numbers)
     assembled = VectorAssembler(
         inputCols=[f"f{i}" for i in range(len(names))], outputCol="features"
     ).transform(ready)
     # Training passes over the data many times: once on disk, on all cores.
-    assembled = assembled.select("__row", "__label", "__test", "features")
+    assembled = assembled.select("__original", "__label", "__test", "features")
     assembled = pin(spread(assembled, sum(classes.values())))
     forest = RandomForestClassifier(
         labelCol="__label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed
     )
-    model = forest.fit(assembled.filter(~F.col("__test")))
-    predicted = model.transform(assembled.filter("__test")).select(
-        "__row",
+    model = forest.fit(assembled.filter(~F.col("__test")).select("__label", "features"))
+    predicted = model.transform(assembled.filter("__test"))
+    result = predicted.select(
+        "__original.*",
         F.col("__label").alias("y_true"),
         F.col("prediction").cast("int").alias("y_pred"),
     )
-    original = keyed.filter("__test").drop("__label", "__test")
-    return Scored(original.join(predicted, "__row").drop("__row"), classes)
+    return Scored(result, classes)
