@@ -11,9 +11,19 @@ from pyspark.sql import types as T
 RowKey = str | Sequence[str]
 
 
+def quoted(name: str) -> str:
+    """Column name for SQL text; it may hold dots, blanks or back-ticks."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal(text: str) -> str:
+    """String literal for SQL text."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def col(name: str) -> Column:
-    """Reference a column whose name may hold dots, blanks or back-ticks."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    """Reference a column by its exact name."""
+    return F.col(quoted(name))
 
 
 def key_columns(row_key: RowKey) -> list[str]:
@@ -69,15 +79,19 @@ def groupable_columns(df: DataFrame, names: Sequence[str]) -> list[str]:
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Turn NaN into null in floating-point columns, so both count as missing once."""
-    floats = {f.name for f in df.schema if isinstance(f.dataType, T.FloatType | T.DoubleType)}
+    floats = {
+        f.name: f.dataType.simpleString()
+        for f in df.schema
+        if isinstance(f.dataType, T.FloatType | T.DoubleType)
+    }
     if not floats:
         return df
-    return df.select(
-        *[
-            F.when(~F.isnan(col(c)), col(c)).alias(c) if c in floats else col(c).alias(c)
-            for c in df.columns
-        ]
-    )
+    # SQL text: one call for any number of columns.
+    cells = [
+        f"nanvl({quoted(c)}, cast(null as {floats[c]})) as {quoted(c)}" if c in floats else quoted(c)
+        for c in df.columns
+    ]
+    return df.selectExpr(*cells)
 
 
 def with_file_position(df: DataFrame) -> tuple[DataFrame, list[str]]:

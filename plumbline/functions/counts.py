@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.columns import col
+from plumbline.functions.columns import literal, quoted
 from plumbline.functions.longform import stack
 
 
@@ -33,17 +33,22 @@ def _families(df: DataFrame, names: Sequence[str]) -> dict[str, list[str]]:
     return found
 
 
-def _comparable(df: DataFrame, name: str, family: str):
-    kind = df.schema[name].dataType
+def _comparable(kind: T.DataType, name: str, family: str) -> str:
+    """SQL text of a column as a value of its family."""
     if isinstance(kind, T.ArrayType | T.StructType):
-        return F.to_json(F.struct(col(name).alias("v")))
-    return col(name).cast(family)
+        return f"to_json(struct({quoted(name)}))"
+    return f"cast({quoted(name)} as {family})"
+
+
+def _long(df: DataFrame, names: Sequence[str], family: str) -> DataFrame:
+    kinds = {f.name: f.dataType for f in df.schema}
+    entries = [f"{literal(c)}, {_comparable(kinds[c], c, family)}" for c in names]
+    return stack(df, entries, ["column", "value"]).filter("value is not null")
 
 
 def value_counts(df: DataFrame, names: Sequence[str], as_type: str) -> DataFrame:
     """(column, value, n) over the values present in ``names``, cast to one type."""
-    entries = [[F.lit(c), _comparable(df, c, as_type)] for c in names]
-    long = stack(df, entries, ["column", "value"]).filter(F.col("value").isNotNull())
+    long = _long(df, names, as_type)
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -52,13 +57,8 @@ def distinct_counts(df: DataFrame, names: Sequence[str], approximate: bool = Fal
     parts = []
     for family, members in _families(df, names).items():
         if approximate:
-            entries = [[F.lit(c), _comparable(df, c, family)] for c in members]
-            long = stack(df, entries, ["column", "value"])
-            parts.append(
-                long.groupBy("column").agg(
-                    F.approx_count_distinct("value", 0.01).alias("unique_count")
-                )
-            )
+            about = F.approx_count_distinct("value", 0.01).alias("unique_count")
+            parts.append(_long(df, members, family).groupBy("column").agg(about))
         else:
             seen = value_counts(df, members, family)
             parts.append(seen.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count")))

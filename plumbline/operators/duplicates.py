@@ -8,17 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.columns import RowKey, col, key_columns, key_struct, key_text
+from plumbline.functions.columns import (
+    RowKey, col, key_columns, key_struct, key_text, quoted,
+)
 
 HASH = "__row_hash"
 
 
 def row_hash(names: Sequence[str]) -> Column:
     """64-bit hash of the given columns; null flags keep (1, null) and (null, 1) apart."""
-    cells = []
-    for name in names:
-        cells += [col(name), col(name).isNull()]
-    return F.xxhash64(*cells)
+    cells = [f"{quoted(c)}, {quoted(c)} is null" for c in names]
+    return F.expr(f"xxhash64({', '.join(cells)})")
 
 
 def repeat_candidates(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -43,10 +43,11 @@ def _narrow(df: DataFrame, names: Sequence[str]) -> bool:
 
 def repeat_groups(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Each value combination that occurs more than once, with its count ``n``."""
-    wanted = df.select(*[col(c) for c in names])
+    columns = [quoted(c) for c in names]
+    wanted = df.select(*columns)
     candidates = wanted if _narrow(df, names) else repeat_candidates(wanted, names)
     return (
-        candidates.groupBy(*[col(c) for c in names])
+        candidates.groupBy(*columns)
         .agg(F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
     )

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.config import QualityConfig
-from plumbline.functions.columns import col, numeric_columns
+from plumbline.functions.columns import col, literal, numeric_columns, quoted
 from plumbline.functions.longform import stack
 from plumbline.functions.values import not_a_number
 
@@ -19,25 +20,22 @@ def named(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.withColumn("column", column)
 
 
+def _double(value: float | None) -> str:
+    return "cast(null as double)" if value is None else f"cast('{float(value)!r}' as double)"
+
+
 def column_facts(df: DataFrame, names: Sequence[str], config: QualityConfig) -> DataFrame:
     """One row per column from one scan: missing cells, moments and values out of range.
 
     Columns without numbers have null moments.
     """
     numeric = set(numeric_columns(df, names))
-    no_number = F.lit(None).cast("double")
     entries = []
     for position, name in enumerate(names):
+        cell = quoted(name)
+        value = f"cast({cell} as double)" if name in numeric else "cast(null as double)"
         low, high = config.ranges.get(name, (None, None)) if name in numeric else (None, None)
-        entries.append(
-            [
-                F.lit(position),
-                col(name).cast("double") if name in numeric else no_number,
-                col(name).isNull(),
-                F.lit(low).cast("double"),
-                F.lit(high).cast("double"),
-            ]
-        )
+        entries.append(f"{position}, {value}, {cell} is null, {_double(low)}, {_double(high)}")
     measured = (
         stack(df, entries, ["position", "value", "missing", "low", "high"])
         .groupBy("position")
@@ -68,7 +66,7 @@ def text_facts(seen: DataFrame) -> DataFrame:
 
 def missing_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """(column, n_rows, null_count) in one scan."""
-    entries = [[F.lit(c), col(c).isNull()] for c in names]
+    entries = [f"{literal(c)}, {quoted(c)} is null" for c in names]
     return (
         stack(df, entries, ["column", "missing"])
         .groupBy("column")
@@ -90,7 +88,7 @@ def moments(df: DataFrame, names: Sequence[str]) -> dict[str, tuple[float | None
     """Mean and sample standard deviation of each column."""
     if not names:
         return {}
-    entries = [[F.lit(c), col(c).cast("double")] for c in names]
+    entries = [f"{literal(c)}, cast({quoted(c)} as double)" for c in names]
     rows = (
         stack(df, entries, ["column", "value"])
         .groupBy("column")
@@ -110,7 +108,9 @@ def scorable(facts: Sequence, config: QualityConfig) -> list[tuple[str, float, f
     return [
         (f["column"], f["mean"], f["std"])
         for f in facts
-        if f["std"] and f["n_rows"] - f["null_count"] >= config.outlier_min_values
+        # Infinite values leave no usable spread.
+        if f["std"] and math.isfinite(f["std"])
+        and f["n_rows"] - f["null_count"] >= config.outlier_min_values
     ]
 
 
@@ -119,8 +119,9 @@ def outlier_counts(df: DataFrame, facts: Sequence, config: QualityConfig) -> Dat
     scored = scorable(facts, config)
     if not scored:
         return df.sparkSession.createDataFrame([], "column string, outliers bigint")
+    limit = _double(config.outlier_zscore_threshold)
     entries = [
-        [F.lit(i), F.abs(z_score(c, m, s)) > config.outlier_zscore_threshold]
+        f"{i}, abs((cast({quoted(c)} as double) - {_double(m)}) / {_double(s)}) > {limit}"
         for i, (c, m, s) in enumerate(scored)
     ]
     found = (

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.config import QualityConfig
-from plumbline.functions.columns import RowKey, col, key_columns, key_struct
+from plumbline.functions.columns import (
+    RowKey, col, key_columns, key_struct, literal, quoted,
+)
 from plumbline.functions.counts import value_counts
 from plumbline.functions.longform import stack
 
@@ -52,7 +54,7 @@ def top_values(df: DataFrame, names: Sequence[str], limit: int) -> DataFrame:
 
 
 def _first_values(df: DataFrame, row_key: RowKey, names: Sequence[str], limit: int) -> DataFrame:
-    entries = [[F.lit(c), col(c).cast("string")] for c in names]
+    entries = [f"{literal(c)}, cast({quoted(c)} as string)" for c in names]
     rank = F.row_number().over(Window.partitionBy("column").orderBy("__key"))
     return (
         stack(df, entries, ["column", "value"], [key_struct(row_key).alias("__key")])
@@ -75,7 +77,7 @@ def sample_values(
     limit = config.sample_values
     order = [col(k) for k in key_columns(row_key)]
     names = list(present)
-    wanted = [col(c) for c in dict.fromkeys([*key_columns(row_key), *names])]
+    wanted = [quoted(c) for c in dict.fromkeys([*key_columns(row_key), *names])]
     head = df.select(*wanted).orderBy(*order).limit(HEAD_ROWS)
     found = _first_values(head, row_key, names, limit).collect()
     per_column: dict[str, int] = {}

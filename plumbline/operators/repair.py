@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -111,7 +112,7 @@ def _flagged(fix: Fix, config: QualityConfig, spread: Mapping) -> Column | None:
         return number < low if fix.issue_type == "VALUE_BELOW_RANGE" else number > high
     if fix.issue_type == "STATISTICAL_OUTLIER":
         mean, std = spread[name]
-        if not std:
+        if not std or not math.isfinite(std):
             return F.lit(False)
         return F.abs(z_score(name, mean, std)) > config.outlier_zscore_threshold
     return None
@@ -200,7 +201,7 @@ def _fill(df: DataFrame, fix: Fix, value: float | None) -> DataFrame:
 def _cap(df: DataFrame, fix: Fix, stats: _Statistics, threshold: float) -> DataFrame:
     number = _need_number(df, fix.column)
     mean, std = stats.moments[fix.column]
-    if std is None:
+    if std is None or not math.isfinite(std):
         return df
     reach = threshold * std
     return _set(df, fix.column, clip(number, mean - reach, mean + reach))

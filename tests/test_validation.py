@@ -126,6 +126,22 @@ def test_outliers_need_ten_values_and_spread(spark):
     assert results == [[], [], [1]]
 
 
+def test_infinite_values_are_no_outliers_but_out_of_range(spark):
+    rows = [(i, float("inf") if i == 0 else 50.0 + i % 5) for i in range(30)]
+    df = spark.createDataFrame(rows, "row_key long, age double")
+    assert found(validate(df, "row_key")) == {
+        ("VALUE_ABOVE_RANGE", "age"): 1,
+        ("DUPLICATE_ROWS", None): 24,
+    }
+
+
+def test_names_with_quotes(spark):
+    df = spark.createDataFrame([(i, None, "x") for i in range(12)], "row_key long, `it's \\ \"a\"` int, `b.``c` string")
+    report = validate(df, "row_key")
+    assert ("EMPTY_COLUMN", "it's \\ \"a\"") in found(report)
+    assert [r["unique_count"] for r in report.profiles.orderBy("column").collect()] == [1, 0]
+
+
 def test_booleans_count_as_numbers(spark):
     df = spark.createDataFrame([(i, i == 0) for i in range(200)], "row_key long, flag boolean")
     report = validate(df, "row_key")
