@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from plumbline.llm import quality_rules
+from plumbline.llm import quality_rules, token_counts, topk_search
 
 QUERIES = {
+    **token_counts.QUERIES,
+    **topk_search.QUERIES,
     **quality_rules.QUERIES,
 }
