@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from plumbline.llm import quality_rules, token_counts, topk_search
+from plumbline.llm import mixing, quality_rules, sharding, token_counts, topk_search
 
 QUERIES = {
+    **mixing.QUERIES,
     **token_counts.QUERIES,
     **topk_search.QUERIES,
     **quality_rules.QUERIES,
+    **sharding.QUERIES,
 }

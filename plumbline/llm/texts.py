@@ -99,6 +99,17 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
         first = end
 
 
+def word_counts(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Number of words of each document of a chunk."""
+    starts = ~_SPACES[data]
+    inside = starts.copy()
+    starts[1:] &= ~inside[:-1]
+    edge = offsets[1:-1]
+    edge = edge[(edge > 0) & (edge < len(data))]
+    starts[edge] = inside[edge]
+    return np.diff(np.concatenate(([0], np.cumsum(starts)))[offsets])
+
+
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a chunk: where they start and end, their document, their hash."""
 
