@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from plumbline.llm import mixing, packing, quality_rules, sharding, token_counts, topk_search
+from plumbline.llm import mixing, packing, quality_classifier, quality_rules, sharding, token_counts, topk_search
 
 QUERIES = {
     **packing.QUERIES,
     **mixing.QUERIES,
     **token_counts.QUERIES,
     **topk_search.QUERIES,
+    **quality_classifier.QUERIES,
     **quality_rules.QUERIES,
     **sharding.QUERIES,
 }
