@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
-from plumbline.llm import mixing, packing, quality_classifier, quality_rules, sharding, token_counts, topk_search
+from plumbline.llm import (
+    mixing,
+    packing,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    substring_dedup,
+    suffix_dedup,
+    token_counts,
+    topk_search,
+)
 
 QUERIES = {
+    **suffix_dedup.QUERIES,
     **packing.QUERIES,
     **mixing.QUERIES,
+    **substring_dedup.QUERIES,
     **token_counts.QUERIES,
     **topk_search.QUERIES,
     **quality_classifier.QUERIES,

@@ -54,6 +54,11 @@ def prefix(values: np.ndarray) -> np.ndarray:
     return out
 
 
+def bytes_prefix(data: np.ndarray) -> np.ndarray:
+    """Prefix hashes over bytes."""
+    return prefix(_VALUES[data])
+
+
 def ranges(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of the ranges [start, end), independent of where they lie; lengths count."""
     _, inverse = powers(len(sums))
@@ -132,9 +137,13 @@ class Words:
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(self.docs), self.count)
 
+    def chain(self) -> np.ndarray:
+        """Prefix hashes over the words."""
+        return prefix(self.hash)
+
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and hashes of the n-word windows inside documents."""
-        hashes = windows(prefix(self.hash), n)
+        hashes = windows(self.chain(), n)
         if not len(hashes):
             return np.zeros(0, np.int64), hashes
         place = np.flatnonzero(self.doc[n - 1 :] == self.doc[: len(hashes)])
