@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from plumbline.llm import (
     mixing,
+    ngram_join,
     packing,
     quality_classifier,
     quality_rules,
@@ -16,6 +17,7 @@ from plumbline.llm import (
 
 QUERIES = {
     **suffix_dedup.QUERIES,
+    **ngram_join.QUERIES,
     **packing.QUERIES,
     **mixing.QUERIES,
     **substring_dedup.QUERIES,
