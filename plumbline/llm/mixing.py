@@ -82,7 +82,7 @@ def exchange(x: float, size: int, y: float, other: int, luck: float) -> tuple[fl
     return (0.0, y + down * size / other) if down == x else (x - down, 1.0)
 
 
-COLUMNS = "doc_id {key}, draw long, source int, bucket int, size long, part double"
+COLUMNS = "name {name}, draw long, source int, bucket int, size long, part double"
 
 
 def _settle(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
@@ -127,7 +127,7 @@ def _batch(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
 
 def _level(df: DataFrame, last: bool, schema: str) -> DataFrame:
     # Large documents first: they settle against many small ones, and what is left over is small.
-    order = [F.col("source"), F.col("bucket"), F.desc("size"), F.col("draw"), F.col("doc_id")]
+    order = [F.col("source"), F.col("bucket"), F.desc("size"), F.col("draw"), F.col("name")]
     return (
         df.repartition("source", "bucket")
         .sortWithinPartitions(*order)
@@ -135,21 +135,21 @@ def _level(df: DataFrame, last: bool, schema: str) -> DataFrame:
     )
 
 
-def copies(sized: DataFrame, wanted: DataFrame, rows: int, seed: int = 17) -> DataFrame:
-    """Whole number of copies of each document.
+def copies(sized: DataFrame, wanted: DataFrame, rows: int, name: str, seed: int = 17) -> DataFrame:
+    """Each row's ``part``: 1.0 if it gets one copy more than its source gives to all, else 0.0.
 
-    ``sized`` has doc_id, source and size; ``wanted`` has one row a source with number, source,
-    source_size, target. ``rows`` is the number of documents.
+    ``sized`` has doc_id, source, size and the column ``name`` that rows are known by; ``wanted``
+    has one row a source with number, source, source_size, target. ``rows`` is the number of rows.
     """
-    schema = COLUMNS.format(key=sized.schema["doc_id"].dataType.simpleString())
+    schema = COLUMNS.format(name=sized.schema[name].dataType.simpleString())
     buckets = max(1, -(-rows // FAN_IN))
     asked = sized.alias("d").join(wanted.alias("w"), F.col("d.source").eqNullSafe(F.col("w.source")))
     share = F.when(F.col("w.source_size") > 0, F.col("target") / F.col("w.source_size")).otherwise(0.0)
     level = asked.select(
-        F.col("d.doc_id").alias("doc_id"), F.xxhash64("d.doc_id", "d.size", F.lit(seed)).alias("draw"),
+        F.col(f"d.{name}").alias("name"), F.xxhash64("d.doc_id", "d.size", F.lit(seed)).alias("draw"),
         F.col("number").alias("source"), F.col("d.size").alias("size"), share.alias("share"),
     ).selectExpr(
-        "doc_id", "draw", "source", f"cast(pmod(draw, {buckets}) as int) as bucket", "size",
+        "name", "draw", "source", f"cast(pmod(draw, {buckets}) as int) as bucket", "size",
         "share - floor(share) as part",
     )
     done = None
@@ -161,39 +161,54 @@ def copies(sized: DataFrame, wanted: DataFrame, rows: int, seed: int = 17) -> Da
         done = whole if done is None else done.union(whole)
         if buckets == 1:
             return done
-        fewer = -(-buckets // FAN_IN)
         level = settled.where("part not in (0.0, 1.0)").withColumn("bucket", (F.col("bucket") / FAN_IN).cast("int"))
-        buckets = fewer
+        buckets = -(-buckets // FAN_IN)
 
 
-def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+def mix(
+    df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", others: tuple[str, ...] = ()
+) -> DataFrame:
     """Words taken of every document so that sources come near their target weights.
 
-    Returns doc_id, source, size (words; null text: 0), source_size, target, copies, taken. A
-    document is taken 0 to 2 times as a whole, never in part; a source's total misses its target by
-    less than the words of one document. Documents without words take part with 0. Rows are taken
-    each on their own, so repeated rows may differ in copies; keys may be null; a null source is a
-    source of its own; other columns are not read; an empty table gives an empty result. One row a
-    source, which has its target weight, passes the driver.
+    Returns doc_id, source, size (words; null text: 0), source_size, target, copies, taken and the
+    columns ``others``. A document is taken 0 to 2 times as a whole, never in part; a source's total
+    misses its target by at most half the words of one document. Documents without words take part
+    with 0. Rows are taken each on their own, so repeated rows may differ in copies; keys may be
+    null; a null source is a source of its own; an empty table gives an empty result. One row a
+    source, which has its target weight, passes the driver. With ``others`` the rows are written
+    out once to number them.
     """
     spark = df.sparkSession
-    named = df.select(df[key].alias("doc_id"), df[source].cast("string").alias("source"), df[text].alias("text"))
-    sized = pin(sizes_in_words(named, ["doc_id", "source"]))
+    carried = [c for c in others if c != text]
+    named = df.select(
+        df[key].alias("doc_id"), df[source].cast("string").alias("source"), df[text].alias("text"),
+        *[df[c].alias(f"o{i}") for i, c in enumerate(carried)],
+    )
+    name = "doc_id"
+    if others:
+        named, name = pin(named.withColumn("row", F.monotonically_increasing_id())), "row"
+    sized = pin(sizes_in_words(named, list(dict.fromkeys(["doc_id", "source", name]))))
     totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()
     size = {t["source"]: t["size"] for t in totals}
-    rows = [(i, name, size[name], target) for i, (name, target) in enumerate(targets(size).items())]
+    rows = [(i, label, size[label], target) for i, (label, target) in enumerate(targets(size).items())]
     wanted = spark.createDataFrame(rows, "number int, source string, source_size long, target double")
-    settled = copies(sized, wanted, sum(t["rows"] for t in totals))
+    settled = copies(sized, wanted, sum(t["rows"] for t in totals), name)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     taken = (whole + F.col("d.part")).cast("int")
-    return (
+    mixed = (
         settled.alias("d")
         .join(wanted.alias("w"), F.col("d.source") == F.col("w.number"))
         .select(
-            F.col("d.doc_id").alias("doc_id"), F.col("w.source").alias("source"), F.col("d.size").alias("size"),
+            F.col("d.name").alias(name), F.col("w.source").alias("source"), F.col("d.size").alias("size"),
             "source_size", "target", taken.alias("copies"), (taken * F.col("d.size")).cast("long").alias("taken"),
         )
     )
+    if others:
+        mixed = named.drop("source").join(mixed.hint("shuffle_hash"), "row")
+    return mixed.select(
+        "doc_id", "source", "size", "source_size", "target", "copies", "taken",
+        *[F.col("text") if c == text else F.col(f"o{carried.index(c)}").alias(c) for c in others],
+    )
 
 
 def op4_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.storage import pin
@@ -255,6 +255,17 @@ def class_links(docs: DataFrame, classed: DataFrame) -> DataFrame:
     return links.union(pin(_links(pin(pairs), sets)))
 
 
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with words (doc_id, text_hash, n, class, component), and rows without."""
+    classed = pin(classes_of(docs))
+    found = components(class_links(docs, classed)).select(F.col("node").alias("class"), "component")
+    by_class = (
+        classed.where("n > 0").select("class").distinct().join(found, "class", "left")
+        .withColumn("component", F.coalesce("component", "class"))
+    )
+    return classed.where("n > 0").join(by_class, "class"), classed.where("n = 0")
+
+
 def join_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
@@ -265,22 +276,37 @@ def join_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     other; other columns are not read; an empty table gives an empty result. Shingles and sets are
     told apart by 64-bit hashes.
     """
-    docs = identified(df, key, text)
-    classed = pin(classes_of(docs))
-    links = class_links(docs, classed)
-    found = components(links)
-    least = classed.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
-    by_component = (
-        least.join(found.select(F.col("node").alias("class"), "component"), "class", "left")
-        .withColumn("component", F.coalesce("component", "class"))
-    )
-    smallest = by_component.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = by_component.join(smallest, "component").select("class", "component_id")
-    alone = classed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return (
-        classed.where("n > 0").join(named, "class")
-        .select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(alone)
+    grouped, alone = _grouped(identified(df, key, text))
+    least = grouped.groupBy("class", "component").agg(F.min("doc_id").alias("least"))
+    smallest = least.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = least.join(smallest, "component").select("class", "component_id")
+    rows = grouped.select("doc_id", F.col("n").alias("n_shingles"), "class").join(named, "class").drop("class")
+    return rows.union(alone.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def first_of_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of df without all but one of each component: that of the least key.
+
+    Rows without a key come after all others. Rows without words all stay.
+    """
+    names = [c for c in df.columns if c not in (key, text)]
+    grouped, alone = _grouped(identified(df, key, text))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    kept = grouped.groupBy("component").agg(F.min(order).alias("of")).select("of.doc_id", "of.text_hash", F.lit(True).alias("one"))
+    kept = kept.union(alone.select("doc_id", "text_hash", F.lit(False)).distinct())
+    cells = F.coalesce(df[text].cast("string"), F.lit(""))
+    given = df.select(
+        df[text].alias("given"), df[key].alias("doc_id"), F.xxhash64(cells).alias("text_hash"),
+        *[df[c].alias(f"o{i}") for i, c in enumerate(names)],
     )
+    rows = given.alias("d").join(
+        kept.hint("shuffle_hash").alias("k"),
+        F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.text_hash") == F.col("k.text_hash")),
+    ).select("d.*", "k.one")
+    number = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("text_hash"))
+    rows = rows.withColumn("number", number).where("number = 1 or not one")
+    back = {key: F.col("doc_id"), text: F.col("given")} | {c: F.col(f"o{i}") for i, c in enumerate(names)}
+    return rows.select(*[back[c].alias(c) for c in df.columns])
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -244,34 +244,58 @@ def fit(train: DataFrame, width: int, seed: int = 5) -> Model:
     return model
 
 
-def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+def learn(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality") -> Model:
+    """A model of all labelled rows that are not held out."""
+    width = statistics(np.zeros(2, np.int64), np.zeros(0, np.uint8)).shape[1]
+    known = labels.select(labels[key].alias("doc_id"), labels[label].cast("double").alias("label")).where("label in (0, 1)")
+    known = known.withColumn("fold", fold_of(F.col("doc_id"))).where(F.col("fold") != HELD_OUT)
+    return fit(pin(stats.join(known, "doc_id").select("stats", "label", "fold")), width)
+
+
+def classify(
+    df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
+    others: tuple[str, ...] = (),
+) -> DataFrame:
     """held_out, score (0 to 1) and predicted (1 if score >= 0.5) of every row's whole text.
 
     Labels are learned from rows whose crc32(key as text) modulo 3 is not 1; those rows are held
     out. All other labelled rows are learned from; none is sampled. Labels other than 0 and 1 are
     not learned; a key with several labels counts with each. Null and empty texts are scored as a
     text of no words. Rows without a key are scored, are not held out and meet no label; repeated
-    rows are scored each. Other columns are not read. Without labels every score is 0.5; an empty
-    table gives an empty result.
+    rows are scored each. The columns ``others`` are passed on, which reads the texts once more;
+    the rest is not read. Without labels every score is 0.5; an empty table gives an empty result.
     """
     stats = pin(document_statistics(df, key, text))
-    width = statistics(np.zeros(2, np.int64), np.zeros(0, np.uint8)).shape[1]
-    known = labels.select(labels[key].alias("doc_id"), labels[label].cast("double").alias("label")).where("label in (0, 1)")
-    known = known.withColumn("fold", fold_of(F.col("doc_id"))).where(F.col("fold") != HELD_OUT)
-    model = fit(pin(stats.join(known, "doc_id").select("stats", "label", "fold")), width)
+    model = learn(stats, labels, key, label)
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        score = model.score(_matrix(batch.column(1))) if batch.num_rows else np.zeros(0)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(np.clip(score, 0, 1))], ["doc_id", "score"]
-        )
+    def scores(found: np.ndarray) -> pa.Array:
+        return pa.array(np.clip(model.score(found), 0, 1) if len(found) else np.zeros(0))
+
+    def stored(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([batch.column(0), scores(_matrix(batch.column(1)))], ["doc_id", "score"])
+
+    def again(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for first, end, offsets, data in chunks(batch, batch.schema.names[1]):
+            part = [c.slice(first, end - first) for c in (batch.column(0), *batch.columns[2:])]
+            yield pa.RecordBatch.from_arrays(
+                [*part, scores(statistics(offsets, data))], ["doc_id", *batch.schema.names[2:], "score"]
+            )
 
-    kind = stats.schema["doc_id"].dataType.simpleString()
-    return by_batch(stats, run, f"doc_id {kind}, score double").select(
+    if others:
+        given = df.select(
+            df[key].alias("doc_id"), df[text].cast("string").alias("judged text"),
+            *[df[c].alias(f"o{i}") for i, c in enumerate(others)],
+        )
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema if f.name != "judged text")
+        scored = by_batch(given, again, f"{kinds}, score double")
+    else:
+        scored = by_batch(stats, stored, f"doc_id {stats.schema['doc_id'].dataType.simpleString()}, score double")
+    return scored.select(
         "doc_id",
         F.coalesce(fold_of(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        *[F.col(f"o{i}").alias(c) for i, c in enumerate(others)],
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from plumbline.llm import (
     mixing,
     ngram_join,
@@ -16,6 +17,7 @@ from plumbline.llm import (
 )
 
 QUERIES = {
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     **suffix_dedup.QUERIES,
     **ngram_join.QUERIES,
     **packing.QUERIES,
