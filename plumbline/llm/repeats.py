@@ -295,11 +295,12 @@ def with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def identified(df: DataFrame, key: str, text: str, *others: str) -> DataFrame:
-    """doc_id, text_hash, text and other columns; a null text is empty."""
+    """doc_id, text_hash, text and other columns as o0, o1, ...; a null text is empty."""
     cells = F.coalesce(df[text].cast("string"), F.lit(""))
     return df.select(
-        df[key].alias("doc_id"), F.xxhash64(cells).alias("text_hash"), cells.alias("text"), *[df[c] for c in others]
-    )
+        df[key].alias("doc_id"), F.xxhash64(cells).alias("text_hash"), cells.alias("text"),
+        *[df[c].alias(f"o{i}") for i, c in enumerate(others)],
+    )
 
 
 def joined_spans(runs: list[dict] | None, window: int) -> list[tuple[int, int]]:

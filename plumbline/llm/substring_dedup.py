@@ -122,10 +122,9 @@ def dedup(
     extra = {} if share_bytes is None else {"share_bytes": share_bytes}
     plain = docs.select("doc_id", "text_hash", "text")
     runs = marked_runs(plain, kind, lambda *segments: search(window, *segments), ordered=True, **extra)
-    given = docs.select("doc_id", *[docs[c] for c in others])
-    fields = ", ".join(f"o{i} {f.dataType.simpleString()}" for i, f in enumerate(given.schema.fields[1:]))
+    fields = ", ".join(f"o{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(others))
     schema = (
-        f"doc_id {given.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, "
+        f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, "
         f"kept_sha256 string, text string{', ' if fields else ''}{fields}"
     )
 
@@ -148,7 +147,9 @@ def dedup(
             ["doc_id", "n_words", "n_removed", "kept_sha256", "text", *(f"o{i}" for i in range(len(others)))],
         )
 
-    joined = with_runs(docs, runs).select("doc_id", "text", "runs", *others)
+    joined = with_runs(docs, runs).select(
+        "doc_id", "text", "runs", *[f"o{i}" for i in range(len(others))]
+    )
     return by_batch(joined, run, schema).toDF("doc_id", "n_words", "n_removed", "kept_sha256", "text", *others)
 
 
