@@ -30,9 +30,9 @@ from plumbline.llm.tables import by_batch
 from plumbline.llm.texts import CHUNK_BYTES, Words, bytes_prefix, chunks, ranges, windows
 
 #: Text that one search works on at once, and that a name may have before it is dealt out.
-SEARCH_BYTES = 4 << 20
+SEARCH_BYTES = 2 << 20
 #: Text of a search task, which works on it piece by piece.
-TASK_BYTES = 16 << 20
+TASK_BYTES = 8 << 20
 LAST = (1 << 63) - 1
 
 
