@@ -1,6 +1,7 @@
 """Check, repair and audit tables of any size with Spark."""
 
 from plumbline.config import FairnessConfig, QualityConfig
+from plumbline.functions.storage import scratch
 from plumbline.operators.repair import Fix, Repaired, apply_fixes
 from plumbline.operators.scoring import score_proxy
 from plumbline.operators.sensitive import detect_sensitive, prepare_sensitive
@@ -14,5 +15,5 @@ __all__ = [
     "AuditReport", "FairnessConfig", "Fix", "QualityConfig", "Repaired", "ValidationReport",
     "apply_fixes", "audit", "audit_table", "detect_sensitive", "prepare_sensitive",
     "propose_plan", "read_csv", "read_table", "remediate", "revalidate", "score_proxy",
-    "validate", "validate_file", "write_report", "write_table",
+    "scratch",     "validate", "validate_file", "write_report", "write_table",
 ]

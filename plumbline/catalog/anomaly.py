@@ -73,9 +73,7 @@ def anomaly_consensus(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def anomaly_single(spark: SparkSession, folder: str) -> DataFrame:
-    # By default rows flagged by one method are only reported when they are few.
-    every = QualityConfig(potential_anomaly_max_rows=2**31)
-    return anomalies.single_flags(_scored_parts(spark, folder), every)
+    return anomalies.single_flags(_scored_parts(spark, folder), CONFIG)
 
 
 def validate_parts(spark: SparkSession, folder: str) -> DataFrame:
@@ -95,7 +93,35 @@ def export_anomalies(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=parts.schema)
 
 
+def forest_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """How many events the forest flags: a tenth, whatever trees it has drawn."""
+    flagged = isolation_forest(spark, folder).filter("iso_flag")
+    return flagged.agg(F.count(F.lit(1)).alias("flagged"), F.count_distinct("event_id").alias("events"))
+
+
+FOREST_FLAGS_SQL = """WITH n AS (SELECT count(*) AS rows, CAST(ceil((count(*) - 1) / 10.0) AS BIGINT) AS tenth FROM events)
+SELECT tenth AS flagged, tenth AS events FROM n"""
+
+
+def export_outlying(spark: SparkSession, folder: str) -> DataFrame:
+    """Export of the rows that LOF alone flags."""
+    parts = PARTS.frame(spark, folder)
+    path = f"{shared_folder(spark)}/anomalies-{uuid.uuid4().hex}"
+    plan = [Fix("MULTIVARIATE_ANOMALY", None, "export_anomalies")]
+    apply_fixes(
+        parts, plan, "row_key", CONFIG, lof(spark, folder).filter("lof_flag"),
+        export=lambda rows: write_table(rows, path),
+    )
+    return spark.read.csv(path, header=True, schema=parts.schema)
+
+
+EXPORT_OUTLYING_SQL = f"""WITH f AS ({LOF_SQL}), p AS ({PARTS.sql})
+SELECT p.* FROM p JOIN f ON f.row_key = p.row_key WHERE f.lof_flag"""
+
+
 QUERIES = {
+    "forest_flags": (forest_flags, None),
+    "export_outlying": (export_outlying, EXPORT_OUTLYING_SQL),
     "median_impute": (median_impute, MEDIAN_SQL),
     "isolation_forest": (isolation_forest, None),
     "lof": (lof, LOF_SQL),

@@ -322,6 +322,26 @@ def audit_orders(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def audit_status(spark: SparkSession, folder: str) -> DataFrame:
+    """Status of the full audit, and the number of its recommendations by metric found broken."""
+    prepared = sensitive.prepare_sensitive(
+        DECISIONS.frame(spark, folder),
+        sensitive.detect_sensitive(DECISIONS.frame(spark, folder), exclude=["row_key", "y_true", "y_pred"]),
+    )
+    report = audit(prepared.data, "y_true", "y_pred", prepared.attributes, CONFIG)
+    attributes = sum(line.startswith("Review training data for") for line in report.recommendations)
+    return spark.createDataFrame(
+        [(report.overall_status, report.dataset_info["total_samples"], attributes)],
+        "status string, total_samples long, attributes_to_review int",
+    )
+
+
+AUDIT_STATUS_SQL = f"""WITH {VIOLATIONS_SQL}
+SELECT CASE WHEN count(*) > 0 THEN 'BIAS_DETECTED' ELSE 'PASS' END AS status,
+  (SELECT count(*) FROM ({DECISIONS.sql})) AS total_samples,
+  CAST(count(DISTINCT attribute) AS INTEGER) AS attributes_to_review FROM violations"""
+
+
 # --- natural groups, some attributes with small groups only ------------------
 
 LABELS_SQL = """labelled AS (SELECT l.doc_id AS row_key, l.quality AS y_true,
@@ -370,5 +390,6 @@ QUERIES = {
     "violation_groups": (violation_groups, VIOLATION_GROUPS_SQL),
     "bias_dataset_info": (bias_dataset_info, INFO_SQL),
     "audit_orders": (audit_orders, AUDIT_SQL),
+    "audit_status": (audit_status, AUDIT_STATUS_SQL),
     "label_metrics": (label_metrics, LABEL_METRICS_SQL),
 }

@@ -95,7 +95,30 @@ def audit_end_to_end(spark: SparkSession, folder: str) -> DataFrame:
     return report.attribute_metrics.withColumn("value", F.round("value", 6))
 
 
+def proxy_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """The part of the proxy model that no tree decides: which rows are tested, and their labels."""
+    return proxy_model(spark, folder).select("row_key", "y_true")
+
+
+PROXY_LABELS_SQL = f"""SELECT row_key,
+  CASE WHEN upper(trim(outcome)) IN {_NEGATIVE} THEN 0 ELSE 1 END AS y_true
+FROM ({CASES.sql}) WHERE substr(md5(CAST(row_key AS VARCHAR) || ':42'), 1, 8) < '{int(0.3 * 2**32):08x}'"""
+
+
+def audit_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows and positive labels that an end-to-end audit counts."""
+    info = audit_table(CASES.frame(spark, folder), "outcome", "row_key").dataset_info
+    row = (info["total_samples"], info["positive_count"], info["negative_count"])
+    return spark.createDataFrame([row], "total_samples long, positive_count long, negative_count long")
+
+
+AUDIT_TOTALS_SQL = f"""SELECT count(*) AS total_samples, CAST(sum(y_true) AS BIGINT) AS positive_count,
+  CAST(sum(1 - y_true) AS BIGINT) AS negative_count FROM ({PROXY_LABELS_SQL})"""
+
+
 QUERIES = {
+    "proxy_labels": (proxy_labels, PROXY_LABELS_SQL),
+    "audit_totals": (audit_totals, AUDIT_TOTALS_SQL),
     "binarize_target": (binarize_target, BINARIZE_SQL),
     "class_distribution": (class_distribution, CLASSES_SQL),
     "impute_most_frequent": (impute_most_frequent, IMPUTE_SQL),

@@ -44,6 +44,7 @@ CSV_TABLE = View(
         "concat(c_name, ', \"', c_mktsegment, '\"') AS label",
         "CASE WHEN c_custkey % 3 = 0 THEN ' ' ELSE c_mktsegment END AS segment",
         "'NA' AS nothing",
+        "CAST(1234567890123456000 + c_custkey AS STRING) AS long_id",
     ),
 )
 
@@ -60,7 +61,8 @@ SELECT c_custkey AS row_key,
   CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE CAST(c_nationkey AS BIGINT) END AS nation,
   concat(c_name, ', "', c_mktsegment, '"') AS label,
   CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS segment,
-  CAST(NULL AS DOUBLE) AS nothing
+  CAST(NULL AS DOUBLE) AS nothing,
+  1234567890123456000 + CAST(c_custkey AS BIGINT) AS long_id
 FROM customer"""
 
 
@@ -149,6 +151,18 @@ SELECT 'patient_id' AS "column", CAST(sum(n - 1) AS BIGINT) AS affected_rows
 FROM (SELECT count(*) AS n FROM ({VITALS.sql}) GROUP BY patient_id)"""
 
 
+def ids_under_key(spark: SparkSession, folder: str) -> DataFrame:
+    """Repeated identifiers where the identifier is the row key too."""
+    vitals = VITALS.frame(spark, folder).drop("row_key")
+    issues = validate(vitals, "patient_id", WITHOUT_ANOMALIES).issues
+    return issues.filter("issue_type = 'DUPLICATE_IDS'").select("issue_type", "column", "affected_rows")
+
+
+IDS_UNDER_KEY_SQL = f"""
+SELECT 'DUPLICATE_IDS' AS issue_type, 'patient_id' AS "column", CAST(sum(n - 1) AS BIGINT) AS affected_rows
+FROM (SELECT count(*) AS n FROM ({VITALS.sql}) GROUP BY patient_id) HAVING sum(n - 1) > 0"""
+
+
 def duplicate_examples(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders")
     return duplicates.first_repeats(
@@ -481,6 +495,7 @@ QUERIES = {
     "insufficient_rows": (insufficient_rows, INSUFFICIENT_SQL),
     "duplicate_rows": (duplicate_rows, DUPLICATE_ROWS_SQL),
     "duplicate_ids": (duplicate_ids, DUPLICATE_IDS_SQL),
+    "ids_under_key": (ids_under_key, IDS_UNDER_KEY_SQL),
     "duplicate_examples": (duplicate_examples, DUPLICATE_EXAMPLES_SQL),
     "completeness": (completeness, COMPLETENESS_SQL),
     "type_inconsistency": (type_inconsistency, TYPE_SQL),

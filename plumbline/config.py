@@ -46,7 +46,8 @@ class QualityConfig:
     min_rows: int = 10
     max_examples: int = 20
     anomaly_contamination: float = 0.1
-    max_data_points_for_ml: int = 5_600_000
+    # Above this many rows x numeric columns only Isolation Forest runs; None: no limit.
+    max_data_points_for_ml: int | None = None
     missing_indicators: tuple[str, ...] = MISSING_INDICATORS
 
     ranges: dict[str, tuple[float, float]] = field(default_factory=lambda: dict(CLINICAL_RANGES))
@@ -60,7 +61,8 @@ class QualityConfig:
     anomaly_trees: int = 100
     anomaly_tree_rows: int = 256
     anomaly_seed: int = 42
-    potential_anomaly_max_rows: int = 50
+    # Rows flagged by one method are reported only up to this many; None: always.
+    potential_anomaly_max_rows: int | None = None
     potential_anomaly_examples: int = 10
     sample_values: int = 5
     top_categories: int = 5
@@ -87,6 +89,3 @@ class FairnessConfig:
     # "as_coded": small groups stay in the parity and odds figures;
     # "strict": they are left out of every figure.
     small_groups: str = "as_coded"
-    # Violations carry their groups as a map only up to this many groups;
-    # AuditReport.violation_groups always holds all of them.
-    max_groups_in_map: int = 200

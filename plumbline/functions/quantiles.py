@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import col
 
 EXACT_ROWS = 2_000_000
+# Present values of all columns that one such aggregate takes together.
+EXACT_CELLS = 8_000_000
 BRACKET_ROWS = 10_000
 ACCURACY = 10_000
 
@@ -130,6 +132,7 @@ def percentiles(
     names: Sequence[str],
     fraction: float = 0.5,
     exact_rows: int = EXACT_ROWS,
+    exact_cells: int = EXACT_CELLS,
     sizes: dict[str, int] | None = None,
 ) -> dict[str, float | None]:
     """Percentile of each column over its present values, interpolated linearly.
@@ -146,11 +149,16 @@ def percentiles(
 
     result: dict[str, float | None] = {c: None for c in names}
     small = [c for c in names if 0 < sizes[c] <= exact_rows]
-    if small:
+    while small:
+        # The aggregate's one final task holds every distinct value of its columns.
+        batch, held = [], 0
+        while small and (not batch or held + sizes[small[0]] <= exact_cells):
+            held += sizes[small[0]]
+            batch.append(small.pop(0))
         row = df.agg(
-            *[F.percentile(value[c], fraction).alias(f"q{i}") for i, c in enumerate(small)]
+            *[F.percentile(value[c], fraction).alias(f"q{i}") for i, c in enumerate(batch)]
         ).first()
-        result.update({c: row[f"q{i}"] for i, c in enumerate(small)})
+        result.update({c: row[f"q{i}"] for i, c in enumerate(batch)})
 
     searches, parts = [], {}
     for c in names:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark import inheritable_thread_target
@@ -22,6 +23,26 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_scopes: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete, at the end of the block, the intermediate tables that were written inside it.
+
+    Frames and reports made inside read those tables, so use or write them before the end.
+    """
+    written: list[tuple[SparkSession, str]] = []
+    _scopes.append(written)
+    try:
+        yield
+    finally:
+        _scopes.remove(written)
+        for spark, path in written:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def _storable(kind: T.DataType) -> bool:
     """Can a parquet column hold it?"""
     if isinstance(kind, T.StructType):
@@ -43,6 +64,8 @@ def pin(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if all(_storable(f.dataType) for f in df.schema) and len(set(df.columns)) == len(df.columns):
         path = f"{shared_folder(spark)}/pinned-{uuid.uuid4().hex}"
+        for written in _scopes[-1:]:
+            written.append((spark, path))
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
     if not spark.sparkContext.getCheckpointDir():

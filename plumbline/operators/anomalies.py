@@ -29,10 +29,11 @@ def present_counts(df: DataFrame, names: Sequence[str]) -> tuple[int, dict[str,
 
 
 def gate(rows: int, columns: int, config: QualityConfig) -> str:
-    """"run", "small" (too little data to say anything) or "large" (above the size limit)."""
+    """"run", "small" (too little data to say anything) or "large" (above the caller's limit)."""
     if columns < config.anomaly_min_columns or rows < config.anomaly_min_rows:
         return "small"
-    return "large" if rows * columns > config.max_data_points_for_ml else "run"
+    limit = config.max_data_points_for_ml
+    return "large" if limit is not None and rows * columns > limit else "run"
 
 
 def fill_for_anomalies(
@@ -79,19 +80,25 @@ def flag_lowest(scored: DataFrame, scores: Sequence[str], rows: int, share: floa
     return scored.withColumns({**flags, **offsets})
 
 
-def anomaly_scores(df: DataFrame, row_key: RowKey, config: QualityConfig) -> DataFrame:
+def anomaly_scores(
+    df: DataFrame, row_key: RowKey, config: QualityConfig, with_lof: bool = True
+) -> DataFrame:
     """Row key, filled columns, ``iso_score``, ``iso_flag``, ``lof_score``, ``lof_flag``.
 
-    ``iso_score`` is relative to its cut-off here: negative means flagged.
+    ``iso_score`` is relative to its cut-off here: negative means flagged. Without LOF its score
+    is null and it flags nothing.
     """
     filled, names, rows = anomaly_input(df, row_key)
     filled = pin(spread(filled, rows))
-    both = lof_scores(
-        isolation_scores(filled, names, row_key, rows, config), names, rows, config
-    )
-    flagged = flag_lowest(
-        pin(both), ["iso_score", "lof_score"], rows, config.anomaly_contamination
-    )
+    scored, scores = isolation_scores(filled, names, row_key, rows, config), ["iso_score"]
+    if with_lof:
+        scored, scores = lof_scores(scored, names, rows, config), ["iso_score", "lof_score"]
+    flagged = flag_lowest(pin(scored), scores, rows, config.anomaly_contamination)
+    if not with_lof:
+        none = F.lit(None).cast("double")
+        flagged = flagged.withColumns(
+            {"lof_score": none, "lof_flag": F.lit(False), "lof_score_cut": none}
+        )
     return flagged.withColumn("iso_score", F.col("iso_score") - F.col("iso_score_cut")).drop(
         "iso_score_cut", "lof_score_cut"
     )
@@ -103,8 +110,10 @@ def consensus(scored: DataFrame) -> DataFrame:
 
 
 def single_flags(scored: DataFrame, config: QualityConfig) -> DataFrame:
-    """Rows exactly one method flags; none at all where they are more than the limit."""
+    """Rows exactly one method flags; none at all where they are more than a limit asked for."""
     one = scored.filter(F.col("iso_flag") != F.col("lof_flag"))
+    if config.potential_anomaly_max_rows is None:
+        return one
     found = one.agg(F.count(F.lit(1)).alias("__n")).filter(
         F.col("__n") <= config.potential_anomaly_max_rows
     )

@@ -95,25 +95,19 @@ def keep_one_per_row(
 ) -> DataFrame:
     """Drop repeated rows, keeping the first or last in row order.
 
-    The compared columns are the grouping key and come out of the aggregate
-    unchanged, so no window and no sort is needed; hot rows combine map-side.
+    Only the row key is aggregated, by the compared columns; hot rows combine map-side. Columns
+    that are not compared, of any type, come back by the kept keys.
     """
     if keep not in ("first", "last"):
         raise ValueError(f"keep must be 'first' or 'last', not {keep!r}")
     pick = F.min if keep == "first" else F.max
-    carried = key_columns(row_key) + [
-        c for c in df.columns if c not in names and c not in key_columns(row_key)
-    ]
-    if len(carried) == 1:
-        # A plain minimum of a number stays in the hash aggregate.
-        kept = df.groupBy(*[col(c) for c in names]).agg(pick(col(carried[0])).alias("__kept"))
-        return kept.select(
-            *[F.col("__kept").alias(c) if c == carried[0] else col(c) for c in df.columns]
-        )
-    cells = F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(carried)])
-    kept = df.groupBy(*[col(c) for c in names]).agg(pick(cells).alias("__kept"))
-    back = {c: F.col(f"__kept.c{i}").alias(c) for i, c in enumerate(carried)}
-    return kept.select(*[back.get(c, col(c)) for c in df.columns])
+    keys = key_columns(row_key)
+    # The least of one number stays in the hash aggregate.
+    own = col(keys[0]) if len(keys) == 1 else key_struct(row_key)
+    kept = df.groupBy(*[col(c) for c in names]).agg(pick(own).alias("__kept"))
+    if len(keys) == 1 and set(df.columns) == {*names, *keys}:
+        return kept.select(*[F.col("__kept").alias(c) if c == keys[0] else col(c) for c in df.columns])
+    return df.join(kept.select("__kept"), own.eqNullSafe(F.col("__kept")), "left_semi")
 
 
 def keep_first_per_id(df: DataFrame, id_column: str, row_key: RowKey) -> DataFrame:

@@ -306,20 +306,3 @@ def violation_groups(broken: DataFrame, retained: DataFrame) -> DataFrame:
         ),
         "attribute",
     )
-
-
-def with_group_map(
-    broken: DataFrame, retained: DataFrame, config: FairnessConfig
-) -> DataFrame:
-    """Add ``group_values``; null for attributes with more groups than the config allows in a map."""
-    sizes = retained.groupBy("attribute").count()
-    few = sizes.filter(F.col("count") <= config.max_groups_in_map).select("attribute")
-    pair = F.struct(
-        F.col("grp"), F.struct(F.col("selection_rate").alias("rate"), F.col("tpr"), F.col("fpr"))
-    )
-    # Two groups may share their display text; the map then keeps one of them.
-    once = retained.join(few, "attribute", "left_semi").dropDuplicates(["attribute", "grp"])
-    maps = once.groupBy("attribute").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(pair))).alias("group_values")
-    )
-    return broken.join(maps, "attribute", "left")

@@ -111,8 +111,8 @@ def _flagged(fix: Fix, config: QualityConfig, spread: Mapping) -> Column | None:
         number = col(name).cast("double")
         return number < low if fix.issue_type == "VALUE_BELOW_RANGE" else number > high
     if fix.issue_type == "STATISTICAL_OUTLIER":
-        mean, std = spread[name]
-        if not std or not math.isfinite(std):
+        mean, std, present = spread[name]
+        if not std or not math.isfinite(std) or present < config.outlier_min_values:
             return F.lit(False)
         return F.abs(z_score(name, mean, std)) > config.outlier_zscore_threshold
     return None
@@ -132,7 +132,12 @@ def _add_flags(
         and (f.issue_type == "STATISTICAL_OUTLIER" or f.column in config.ranges)
     ]
     scored = [f.column for _, f in concerned if f.issue_type == "STATISTICAL_OUTLIER"]
-    spread = moments(df, list(dict.fromkeys(scored)))
+    scored = list(dict.fromkeys(scored))
+    spread = {}
+    if scored:
+        # As in the checks, columns with too few values have no outliers.
+        counts = df.agg(*[F.count(F.nanvl(col(c).cast("double"), F.lit(None))) for c in scored]).first()
+        spread = {c: (*pair, n) for (c, pair), n in zip(moments(df, scored).items(), counts)}
     flags = {}
     for i, fix in concerned:
         predicate = _flagged(fix, config, spread)
@@ -150,7 +155,8 @@ NEEDS_MEDIAN = {
 }
 NEEDS_MOMENTS = {"fill_mean", "cap_values", "cap_outliers"}
 NEEDS_MODE = {"fill_mode"}
-COLUMN_ACTIONS = NEEDS_MEDIAN | NEEDS_MOMENTS | NEEDS_MODE | {"convert_numeric_nan", "cap_range"}
+MEASURED = NEEDS_MEDIAN | NEEDS_MOMENTS | NEEDS_MODE
+COLUMN_ACTIONS = MEASURED | {"convert_numeric_nan", "cap_range"}
 SHUFFLING = {"drop_duplicates", "drop_duplicate_ids"}
 
 
@@ -305,7 +311,7 @@ def apply_fixes(
     anomalies: DataFrame | None = None,
     export: Callable[[DataFrame], None] | None = None,
 ) -> Repaired:
-    """Apply the fixes in order; a fix that cannot be applied is logged and skipped.
+    """Apply the fixes in order; a fix that fails for any reason is logged and skipped.
 
     Statistics are taken after the fixes before them. ``anomalies`` holds the
     row keys for the anomaly actions and ``export`` writes the exported rows.
@@ -317,11 +323,19 @@ def apply_fixes(
     log: list[tuple] = []
     batches = _batches(plan)
     for number, batch in enumerate(batches):
+        measured = [(i, f) for i, f in batch if f.action in MEASURED]
         stats = None
-        if any(f.action in NEEDS_MEDIAN | NEEDS_MOMENTS | NEEDS_MODE for _, f in batch):
-            stats = _measure(current, batch)
+        if len(measured) > 1:
+            try:
+                stats = _measure(current, batch)
+            except Exception:  # noqa: BLE001 - each fix of the batch is then measured alone
+                stats = None
         for i, fix in batch:
             try:
+                before = current
+                own = stats
+                if own is None and fix.action in MEASURED:
+                    own = _measure(current, [(i, fix)])
                 if fix.column is not None and fix.column not in current.columns:
                     raise ValueError(f"column {fix.column!r} does not exist any more")
                 if fix.action == "export_anomalies":
@@ -331,18 +345,18 @@ def apply_fixes(
                     plain = current.drop(*flag_of.values())
                     export(plain.join(rows, key_columns(row_key), "left_semi"))
                 elif fix.action in COLUMN_ACTIONS:
-                    current = _column_fix(current, fix, flag_of.get(i), stats, config)
+                    current = _column_fix(current, fix, flag_of.get(i), own, config)
                 else:
                     current = _row_fix(
                         current, fix, flag_of.get(i), row_key, list(flag_of.values()), anomalies
                     )
+                current.schema  # analysed here, so that a fix that cannot be planned fails here
                 log.append((i, fix.action, fix.column, "applied", None))
-            except (ValueError, KeyError) as problem:
+            except Exception as problem:  # noqa: BLE001 - whatever fails, the other fixes go on
+                current = before
                 log.append((i, fix.action, fix.column, "skipped", str(problem)))
         later = [f for group in batches[number + 1 :] for _, f in group]
-        if batch[0][1].action in SHUFFLING and any(
-            f.action in NEEDS_MEDIAN | NEEDS_MOMENTS | NEEDS_MODE for f in later
-        ):
+        if batch[0][1].action in SHUFFLING and any(f.action in MEASURED for f in later):
             # Later statistics scan the data again; keep the shuffled result for them.
             current = pin(current)
     schema = "step int, action string, column string, status string, message string"

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.columns import (
-    RowKey, col, data_columns, key_text, nan_to_null, numeric_columns, text_columns,
+    RowKey, col, data_columns, key_columns, key_text, nan_to_null, numeric_columns, text_columns,
 )
 from plumbline.functions.counts import modes
 from plumbline.functions.longform import stack
@@ -24,9 +24,8 @@ from plumbline.operators.facts import drop_empty_columns
 # Target texts (upper case, trimmed) that mean "negative".
 NEGATIVE_TEXT = ("NO", "FALSE", "0", "0.0", "N", "NEGATIVE")
 
-# Distinct values numbered in one task; above it they are cut into ranges.
+# Distinct values numbered in one task.
 CODES_PER_TASK = 200_000
-MAX_CUTS = 1000
 
 
 def binarize_target(df: DataFrame, target: str) -> Column:
@@ -53,7 +52,14 @@ def _mode_type(kind: T.DataType) -> str:
 
 
 def impute_most_frequent(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Fill the gaps of each column with its most frequent value, the smallest on ties."""
+    """Fill the gaps of each column with its most frequent value, the smallest on ties.
+
+    Only columns with gaps are counted by value.
+    """
+    if not names:
+        return df
+    gaps = df.agg(*[F.count_if(col(c).isNull()) for c in names]).first()
+    names = [c for c, n in zip(names, gaps) if n]
     kinds = {c: df.schema[c].dataType for c in names}
     parts = []
     for family in ("bigint", "double", "string"):
@@ -73,30 +79,24 @@ def impute_most_frequent(df: DataFrame, names: Sequence[str]) -> DataFrame:
 def label_codes(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """(column, value, code): codes 0.. in alphabetical order per column, any number of values.
 
-    Distinct values are cut into ranges at values sampled by hash; each range
-    is numbered on its own and shifted by the size of the ranges before it.
+    Distinct values are dealt into as many ranges as their number asks for; each range is numbered
+    on its own and shifted by the size of the ranges before it.
     """
     entries = [[F.lit(c), col(c).cast("string")] for c in names]
     values = (
         stack(df, entries, ["column", "value"])
         .filter("value is not null")
         .groupBy("column", "value")
-        .agg(F.xxhash64("column", "value").alias("hash"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select("column", "value")
     )
     values = pin(values)
-    cuts: dict[str, list[str]] = {}
-    for row in values.groupBy("column").count().filter(F.col("count") > CODES_PER_TASK).collect():
-        wanted = min(MAX_CUTS, row["count"] // CODES_PER_TASK)
-        sample = (
-            values.filter(F.col("column") == row["column"]).orderBy("hash").limit(20 * wanted)
-            .orderBy("value").collect()
-        )
-        cuts[row["column"]] = [r["value"] for r in sample[10::20]]
-    part = F.lit(0)
-    for name, at in cuts.items():
-        below = F.size(F.filter(F.array(*[F.lit(v) for v in at]), lambda v: v <= F.col("value")))
-        part = F.when(F.col("column") == name, below).otherwise(part)
-    ranged = values.select("column", "value", part.alias("part"))
+    parts = 1 + values.count() // CODES_PER_TASK
+    order = ["column", "value"]
+    # Pinned, so that a value keeps the range it was dealt into.
+    ranged = pin(
+        values.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
+    )
     sizes = ranged.groupBy("column", "part").count()
     before = Window.partitionBy("column").orderBy("part").rowsBetween(
         Window.unboundedPreceding, -1
@@ -179,30 +179,32 @@ def score_proxy(
     if len(classes) < 2:
         raise ValueError(f"target {target!r} has a single class {classes}; nothing to model")
     cells, names = _features(clean, [c for c in data_columns(clean, row_key) if c != target])
-    # The original columns travel along, so the test rows need no join to get them back.
-    original = F.struct(*[col(c) for c in clean.columns]).alias("__original")
-    chosen = in_test_part(row_key, test_fraction, seed).alias("__test")
-    model_data = clean.select(original, label.alias("__label"), chosen, *cells)
+    keys = key_columns(row_key)
+    own = [col(k).alias(f"__key_{i}") for i, k in enumerate(keys)]
+    held = [f"__key_{i}" for i in range(len(keys))]
+    test = in_test_part(row_key, test_fraction, seed)
+    model_data = clean.select(*own, label.alias("__label"), test.alias("__test"), *cells)
     model_data = drop_empty_columns(model_data, names)
     names = [c for c in names if c in model_data.columns]
     filled = impute_most_frequent(model_data, names)
     encoded = label_encode(filled, text_columns(filled, names))
     numbers = [col(c).cast("double").alias(f"f{i}") for i, c in enumerate(names)]
-    ready = encoded.select("__original", "__label", "__test", *numbers)
+    ready = encoded.select(*held, "__label", "__test", *numbers)
     assembled = VectorAssembler(
         inputCols=[f"f{i}" for i in range(len(names))], outputCol="features"
     ).transform(ready)
-    # Training passes over the data many times: once on disk, on all cores.
-    assembled = assembled.select("__original", "__label", "__test", "features")
+    # Training passes over the data many times: keys and features on disk, on all cores.
+    assembled = assembled.select(*held, "__label", "__test", "features")
     assembled = pin(spread(assembled, sum(classes.values())))
     forest = RandomForestClassifier(
         labelCol="__label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed
     )
     model = forest.fit(assembled.filter(~F.col("__test")).select("__label", "features"))
     predicted = model.transform(assembled.filter("__test"))
-    result = predicted.select(
-        "__original.*",
-        F.col("__label").alias("y_true"),
-        F.col("prediction").cast("int").alias("y_pred"),
+    predicted = predicted.select(
+        *held, F.col("__label").alias("y_true"), F.col("prediction").cast("int").alias("y_pred")
     )
+    # Only test rows get their original columns back.
+    same = [col(k).eqNullSafe(F.col(h)) for k, h in zip(keys, held)]
+    result = clean.filter(test).join(predicted, same).drop(*held)
     return Scored(result, classes)

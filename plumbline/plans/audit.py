@@ -129,11 +129,8 @@ def audit(
             "attribute", "is_intersection", "metric", "value", "threshold", "status"
         ),
         group_metrics=retained.drop("is_intersection", "set_number"),
-        violations=groups.with_group_map(broken, retained, config)
-        .orderBy("set_number", "metric_number")
-        .select(
-            "metric", "attribute", "value", "threshold", "severity", "interpretation",
-            "group_values",
+        violations=broken.orderBy("set_number", "metric_number").select(
+            "metric", "attribute", "value", "threshold", "severity", "interpretation"
         ),
         violation_groups=groups.violation_groups(broken, retained),
         diagnostics=notes,

@@ -140,9 +140,10 @@ def _duplicate_rows(
 
 
 def _duplicate_ids(
-    df: DataFrame, names: Sequence[str], row_key: RowKey, config: QualityConfig
+    df: DataFrame, row_key: RowKey, config: QualityConfig
 ) -> tuple[str | None, int, list]:
-    identifier = next((c for c in config.id_columns if c in names), None)
+    """Repeats of the first identifier column present, the row key itself included."""
+    identifier = next((c for c in config.id_columns if c in df.columns), None)
     if identifier is None:
         return None, 0, []
     return identifier, *_repeats(df, [identifier], row_key, config, col(identifier))
@@ -151,17 +152,21 @@ def _duplicate_ids(
 def _anomaly_issues(
     df: DataFrame, row_key: RowKey, rows: int, config: QualityConfig
 ) -> tuple[list, list[str], DataFrame | None]:
+    if not config.run_anomaly_checks:
+        return [], [], None
     numbers = number_columns(df, data_columns(df, row_key))
     decision = anomaly.gate(rows, len(numbers), config)
+    if decision == "small":
+        return [], [], None
+    found, methods = [], list(anomaly.METHODS)
     if decision == "large":
+        # The caller's limit holds back the neighbour search; Isolation Forest runs at any size.
         skipped = _issue(
             "info", "ML_ANOMALY_DETECTION_SKIPPED", rows * len(numbers),
             limit=config.max_data_points_for_ml,
         )
-        return [{**skipped, "affected_rows": 0}], [], None
-    if decision == "small" or not config.run_anomaly_checks:
-        return [], [], None
-    scored = anomaly.anomaly_scores(df, row_key, config)
+        found, methods = [{**skipped, "affected_rows": 0}], methods[:1]
+    scored = anomaly.anomaly_scores(df, row_key, config, with_lof=decision == "run")
     shown_columns = [c for c in numbers if c in scored.columns]
     both = anomaly.consensus(scored)
     one = scored.filter(F.col("iso_flag") != F.col("lof_flag"))
@@ -183,16 +188,16 @@ def _anomaly_issues(
             for r in top.collect()
         ]
 
-    found = []
     if tally["both"]:
         shown = examples(both, config.max_examples, True)
         found.append(
             _issue("warning", "MULTIVARIATE_ANOMALY", tally["both"], rows, examples=shown)
         )
-    if 0 < tally["one"] <= config.potential_anomaly_max_rows:
+    most = config.potential_anomaly_max_rows
+    if tally["one"] and (most is None or tally["one"] <= most):
         shown = examples(one, config.potential_anomaly_examples, False)
         found.append(_issue("info", "POTENTIAL_ANOMALY", tally["one"], rows, examples=shown))
-    return found, list(anomaly.METHODS), both
+    return found, methods, both
 
 
 # Order of the checks that follow completeness.
@@ -346,10 +351,11 @@ KNOWN_SCHEMA = (
 def validate(
     df: DataFrame, row_key: RowKey, config: QualityConfig | None = None
 ) -> ValidationReport:
-    """Check a table and profile its columns. The row key itself is not checked.
+    """Check a table and profile its columns. Of the row key only repeats are checked, where it is
+    one of the known identifier columns.
 
-    One scan takes all counts, moments and range violations; outliers, first
-    values and, for tables small enough, the anomaly checks follow from it.
+    One pass takes all counts, moments and range violations; outliers, first
+    values and the anomaly checks follow from it.
     Distinct values, frequent texts, repeated rows and ids need nothing else
     and run beside it. A last scan collects the evidence of the issues found.
     """
@@ -377,7 +383,7 @@ def validate(
         lambda: _text_values(clean, texts, config),
         lambda: _other_distinct(clean, others, config),
         lambda: _duplicate_rows(clean, names, row_key, config),
-        lambda: _duplicate_ids(clean, names, row_key, config),
+        lambda: _duplicate_ids(clean, row_key, config),
     )
     if numbers is None:
         return _early_report(df, names, 0, _issue("critical", "EMPTY_DATASET", 0), started)

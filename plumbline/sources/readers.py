@@ -12,7 +12,7 @@ from plumbline.functions.columns import col
 from plumbline.functions.longform import stack
 from plumbline.functions.values import NUMBER_PATTERN
 
-INTEGER_PATTERN = r"^\s*[+-]?[0-9]{1,18}\s*$"
+INTEGER_PATTERN = r"^\s*[+-]?[0-9]+\s*$"
 
 
 def _format_of(path: str) -> str:
@@ -41,26 +41,31 @@ def blank_missing(df: DataFrame, indicators: Sequence[str]) -> DataFrame:
 def type_columns(df: DataFrame) -> DataFrame:
     """Give all-text columns the narrowest type that holds every value: bigint, double, boolean.
 
-    One scan decides; a column without values becomes double.
+    One scan decides; a column without values becomes double. Whole numbers beyond 64 bits stay
+    text, so that identifiers are never rounded.
     """
     if not df.columns:
         return df
     entries = [
         [
             F.lit(c), col(c).isNotNull(), col(c).rlike(INTEGER_PATTERN),
+            col(c).rlike(INTEGER_PATTERN) & F.trim(col(c)).try_cast("bigint").isNotNull(),
             col(c).rlike(NUMBER_PATTERN), col(c).isin("True", "False", "TRUE", "FALSE", "true", "false"),
         ]
         for c in df.columns
     ]
-    found = stack(df, entries, ["column", "present", "whole", "number", "truth"])
+    found = stack(df, entries, ["column", "present", "whole", "fits", "number", "truth"])
     rows = found.groupBy("column").agg(
-        *[F.count_if(k).alias(k) for k in ("present", "whole", "number", "truth")],
+        *[F.count_if(k).alias(k) for k in ("present", "whole", "fits", "number", "truth")],
         F.count(F.lit(1)).alias("rows"),
     )
     kinds = {}
     for r in rows.collect():
-        if r["number"] == r["present"]:
-            kinds[r["column"]] = "bigint" if r["present"] and r["whole"] == r["present"] else "double"
+        if r["present"] and r["whole"] == r["present"]:
+            if r["fits"] == r["present"]:
+                kinds[r["column"]] = "bigint"
+        elif r["number"] == r["present"]:
+            kinds[r["column"]] = "double"
         elif r["truth"] == r["present"] == r["rows"]:
             kinds[r["column"]] = "boolean"
     return df.select(

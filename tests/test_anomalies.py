@@ -114,10 +114,12 @@ def test_consensus_and_single_flags(spark):
     narrow = QualityConfig(potential_anomaly_max_rows=one - 1)
     assert anomalies.single_flags(scored, wide).count() == one
     assert anomalies.single_flags(scored, narrow).count() == 0
+    assert anomalies.single_flags(scored, CONFIG).count() == one
 
 
 def test_gate():
     assert anomalies.gate(49, 5, CONFIG) == "small"
     assert anomalies.gate(5000, 1, CONFIG) == "small"
     assert anomalies.gate(2_800_000, 2, CONFIG) == "run"
-    assert anomalies.gate(2_800_001, 2, CONFIG) == "large"
+    assert anomalies.gate(2_800_001, 2, CONFIG) == "run"
+    assert anomalies.gate(2_800_001, 2, QualityConfig(max_data_points_for_ml=5_600_000)) == "large"

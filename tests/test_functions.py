@@ -149,3 +149,38 @@ def test_counts_and_modes(spark):
 def test_numeric_modes_break_ties_by_number(spark):
     df = spark.createDataFrame([(10,), (9,), (10,), (9,)], "i int")
     assert modes(df, ["i"], "bigint").first()["mode"] == 9
+
+
+def test_csv_keeps_64_bit_numbers_and_never_rounds_longer_ones(spark, tmp_path):
+    from plumbline.sources.readers import read_csv
+
+    path = tmp_path / "ids.csv"
+    path.write_text(
+        "long,longer,mixed\n1234567890123456781,92233720368547758080,1.5\n"
+        "1234567890123456782,92233720368547758081,92233720368547758080\n9223372036854775807,-3,2\n"
+    )
+    got = read_csv(spark, str(path))
+    assert dict(got.dtypes) == {"long": "bigint", "longer": "string", "mixed": "double"}
+    assert got.select("long").distinct().count() == 3
+    assert {r["longer"] for r in got.collect()} == {"92233720368547758080", "92233720368547758081", "-3"}
+
+
+def test_scratch_deletes_what_was_written_inside(spark):
+    import os
+
+    from plumbline.functions.storage import pin, scratch, shared_folder
+
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    with scratch():
+        kept = pin(spark.range(10))
+        assert kept.count() == 10
+        assert set(os.listdir(folder)) > before
+    assert set(os.listdir(folder)) == before
+
+
+def test_percentiles_in_batches(spark):
+    from plumbline.functions.quantiles import medians
+
+    df = spark.range(101).selectExpr("cast(id as double) as a", "id * 2 as b", "id * 3 as c")
+    assert medians(df, ["a", "b", "c"], exact_cells=150) == {"a": 50.0, "b": 100.0, "c": 150.0}

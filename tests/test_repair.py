@@ -3,6 +3,7 @@
 import pytest
 
 import plumbline as pl
+from plumbline.config import QualityConfig
 from plumbline.operators import repair
 from plumbline.operators.repair import Fix, apply_fixes, issue_categories
 from plumbline.plans.remediate import propose_plan, remediate, revalidate
@@ -199,3 +200,49 @@ def test_categories(spark, df):
         "Missing Values": 3, "Type Inconsistencies": 2, "Domain Violations": 2,
         "Duplicate Data": 2, "Other": 1,
     }
+
+
+def test_dedup_with_columns_that_cannot_be_ordered(spark):
+    rows = [(1, "a", {"x": 1}, [1]), (2, "a", {"x": 1}, [2]), (3, "b", {"x": 2}, [3]), (4, "b", {"y": 2}, [3])]
+    df = spark.createDataFrame(rows, "k long, name string, tags map<string,int>, list array<int>")
+    for keep, expected in (("first", {1, 2, 3}), ("last", {1, 2, 4})):
+        fix = Fix("DUPLICATE_ROWS", None, "drop_duplicates", {"keep": keep})
+        repaired = apply_fixes(df, [fix], "k")
+        got = {r["k"]: r["tags"] for r in repaired.data.collect()}
+        assert set(got) == expected and got[1] == {"x": 1}
+        assert repaired.log.first()["status"] == "applied"
+
+
+def test_dedup_plan_does_not_sort_to_aggregate(spark):
+    df = spark.range(100).selectExpr("id as k", "id % 7 as a", "cast(id % 3 as string) as b", "map('x', id) as m")
+    fix = Fix("DUPLICATE_ROWS", None, "drop_duplicates", {"keep": "first"})
+    plan = apply_fixes(df, [fix], "k").data._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+
+
+def test_failing_fixes_are_skipped_whatever_fails(spark, monkeypatch):
+    from plumbline.operators import repair
+
+    df = spark.createDataFrame([(1, "a", None), (2, "b", 4.0), (3, None, 6.0)], "k long, s string, v double")
+    plain = repair.moments
+    monkeypatch.setattr(repair, "moments", lambda *a: (_ for _ in ()).throw(RuntimeError("no statistics")) if a[1] else plain(*a))
+    monkeypatch.setattr(
+        repair, "keep_first_per_id", lambda frame, *_: frame.select("no_such_column")
+    )
+    plan = [
+        Fix("MODERATE_NULL_RATE", "v", "fill_mean"),
+        Fix("DUPLICATE_IDS", "k", "drop_duplicate_ids", {"confirm": True}),
+        Fix("MODERATE_NULL_RATE", "s", "fill_mode"),
+    ]
+    repaired = apply_fixes(df, plan, "k")
+    assert [r["status"] for r in repaired.log.orderBy("step").collect()] == ["skipped", "skipped", "applied"]
+    assert {r["s"] for r in repaired.data.collect()} == {"a", "b"}
+
+
+def test_few_values_have_no_outliers_to_repair(spark):
+    df = spark.createDataFrame([(i, 1.0) for i in range(8)] + [(9, 900.0)], "k long, v double")
+    fix = Fix("STATISTICAL_OUTLIER", "v", "drop_rows")
+    loose = QualityConfig(outlier_zscore_threshold=2.0)
+    assert apply_fixes(df, [fix], "k", loose).data.count() == 9
+    strict = QualityConfig(outlier_zscore_threshold=2.0, outlier_min_values=5)
+    assert apply_fixes(df, [fix], "k", strict).data.count() == 8

@@ -215,7 +215,13 @@ def test_size_limit_of_the_anomaly_checks(spark):
     skipped = report.issues.filter("issue_type = 'ML_ANOMALY_DETECTION_SKIPPED'").first()
     assert skipped["severity"] == "info"
     assert "120 data points (limit: 119)" in skipped["description"]
-    assert report.ml_methods_used == []
+    assert report.ml_methods_used == ["Isolation Forest"]
+    found = report.issues.filter("issue_type = 'POTENTIAL_ANOMALY'").first()
+    assert found["affected_rows"] == 6
+    assert {tuple(e["flagged_by"]) for e in found["examples"]} == {("Isolation Forest",)}
+    off = QualityConfig(max_data_points_for_ml=119, run_anomaly_checks=False)
+    kinds = {r["issue_type"] for r in validate(df, "k", off).issues.collect()}
+    assert "ML_ANOMALY_DETECTION_SKIPPED" not in kinds
 
 
 def test_anomaly_checks_in_the_report(spark):
