@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from threading import Lock
 from typing import Any
 
 from pyspark import inheritable_thread_target
@@ -54,6 +55,28 @@ def _storable(kind: T.DataType) -> bool:
     return not isinstance(kind, T.NullType | T.VariantType | T.CalendarIntervalType)
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_cleaning = Lock()
+_cleaners = 0
+
+
+@contextmanager
+def _without_leftovers(spark: SparkSession) -> Iterator[None]:
+    """Remove the shuffle files of what is written inside once it is written; nothing reads them."""
+    global _cleaners
+    with _cleaning:
+        _cleaners += 1
+        if _cleaners == 1:
+            spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _cleaning:
+            _cleaners -= 1
+            if not _cleaners:
+                spark.conf.unset(CLEANUP)
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Compute a frame once and cut its lineage; survives the loss of executors.
 
@@ -66,7 +89,8 @@ def pin(df: DataFrame) -> DataFrame:
         path = f"{shared_folder(spark)}/pinned-{uuid.uuid4().hex}"
         for written in _scopes[-1:]:
             written.append((spark, path))
-        df.write.parquet(path)
+        with _without_leftovers(spark):
+            df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
