@@ -158,4 +158,19 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {"op5_substring_dedup": (op5_substring_dedup, None)}
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+m AS (SELECT h, min(doc_id) AS first FROM g GROUP BY h),
+r AS (SELECT DISTINCT doc_id, j FROM (
+  SELECT g.doc_id, unnest(range(g.i, g.i + 50)) AS j FROM g JOIN m ON g.h = m.h WHERE g.doc_id > m.first)),
+k AS (SELECT p.doc_id, string_agg(p.word, ' ' ORDER BY p.j) AS kept, count(*) AS n
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d) p
+  WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = p.doc_id AND r.j = p.j) GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
+QUERIES = {"op5_substring_dedup": (op5_substring_dedup, SQL)}
