@@ -9,12 +9,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.columns import literal, quoted
 from plumbline.functions.longform import stack
+from plumbline.functions.values import not_a_number
+
+# Characters of a text that serve as grouping key.
+KEY_TEXT = 256
 
 
 def _family(kind: T.DataType) -> str:
@@ -47,9 +51,45 @@ def _long(df: DataFrame, names: Sequence[str], family: str) -> DataFrame:
 
 
 def value_counts(df: DataFrame, names: Sequence[str], as_type: str) -> DataFrame:
-    """(column, value, n) over the values present in ``names``, cast to one type."""
+    """(column, value, digest, n) over the values present in ``names``, cast to one type.
+
+    A text longer than KEY_TEXT characters is counted under its first KEY_TEXT characters and a
+    digest of the whole, so that long texts are never shuffled; ``full_texts`` brings them back.
+    ``unparsable`` tells of such a text whether it is no number.
+    """
     long = _long(df, names, as_type)
-    return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    if as_type != "string":
+        counted = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        return counted.select("column", "value", F.lit(None).cast("string").alias("digest"), "n")
+    value = F.col("value")
+    longer = F.length(value) > KEY_TEXT
+    return (
+        long.select(
+            "column",
+            F.when(longer, F.left(value, F.lit(KEY_TEXT))).otherwise(value).alias("value"),
+            F.when(longer, F.md5(value)).alias("digest"),
+            F.when(longer, not_a_number(value)).alias("bad"),
+        )
+        .groupBy("column", "value", "digest")
+        .agg(F.count(F.lit(1)).alias("n"), F.max("bad").alias("unparsable"))
+    )
+
+
+def full_texts(df: DataFrame, found: Sequence[Row]) -> dict[tuple[str, str], str]:
+    """The whole texts behind the digests of a few counted values, by column and digest."""
+    wanted = {(r["column"], r["digest"]) for r in found if r["digest"] is not None}
+    if not wanted:
+        return {}
+    names = sorted({c for c, _ in wanted})
+    long = _long(df, names, "string").filter(F.length("value") > KEY_TEXT)
+    digest = F.md5("value")
+    rows = (
+        long.filter(digest.isin(*sorted({d for _, d in wanted})))
+        .groupBy("column", digest.alias("digest"))
+        .agg(F.any_value("value").alias("value"))
+        .collect()
+    )
+    return {(r["column"], r["digest"]): r["value"] for r in rows}
 
 
 def distinct_counts(df: DataFrame, names: Sequence[str], approximate: bool = False) -> DataFrame:
@@ -66,9 +106,21 @@ def distinct_counts(df: DataFrame, names: Sequence[str], approximate: bool = Fal
 
 
 def modes(df: DataFrame, names: Sequence[str], as_type: str = "string") -> DataFrame:
-    """(column, mode, n): the most frequent value, the smallest one on ties."""
+    """(column, mode, n): the most frequent value, the smallest one on ties.
+
+    Texts longer than KEY_TEXT compare by their first characters, then by digest.
+    """
     seen = value_counts(df, names, as_type)
-    return seen.groupBy("column").agg(
-        F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode"),
+    best = seen.groupBy("column").agg(
+        F.min_by(F.struct("value", "digest"), F.struct(-F.col("n"), F.col("value"), F.col("digest"))).alias("of"),
         F.max("n").alias("n"),
     )
+    best = best.select("column", "of.value", "of.digest", "n")
+    if as_type != "string":
+        return best.select("column", F.col("value").alias("mode"), "n")
+    rows = best.collect()
+    whole = full_texts(df, rows)
+    return df.sparkSession.createDataFrame(
+        [(r["column"], whole.get((r["column"], r["digest"]), r["value"]), r["n"]) for r in rows],
+        "column string, mode string, n long",
+    )

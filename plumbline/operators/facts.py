@@ -58,7 +58,8 @@ def text_facts(seen: DataFrame) -> DataFrame:
 
     Each distinct value is parsed once, however often it occurs.
     """
-    bad = F.when(not_a_number(F.col("value")), F.col("n")).otherwise(0)
+    strange = F.coalesce(F.col("unparsable"), not_a_number(F.col("value")))
+    bad = F.when(strange, F.col("n")).otherwise(0)
     return seen.groupBy("column").agg(
         F.count(F.lit(1)).alias("unique_count"), F.sum(bad).alias("unparsable")
     )

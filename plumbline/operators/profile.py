@@ -12,7 +12,7 @@ from plumbline.config import QualityConfig
 from plumbline.functions.columns import (
     RowKey, col, key_columns, key_struct, literal, quoted,
 )
-from plumbline.functions.counts import value_counts
+from plumbline.functions.counts import full_texts, value_counts
 from plumbline.functions.longform import stack
 
 # Rows looked at first when collecting sample values.
@@ -38,19 +38,24 @@ def number_profile(facts: DataFrame) -> DataFrame:
 
 
 def most_frequent(seen: DataFrame, limit: int) -> DataFrame:
-    """(column, rank, value, n) from value counts: most frequent first, smaller value on ties."""
-    order = [F.col("n").desc(), F.col("value")]
+    """(column, rank, value, digest, n) from value counts: most frequent first, smaller value on ties."""
+    order = [F.col("n").desc(), F.col("value"), F.col("digest")]
     rank = F.row_number().over(Window.partitionBy("column").orderBy(*order))
     return (
         seen.withColumn("rank", rank)
         .filter(F.col("rank") <= limit)
-        .select("column", F.col("rank").cast("int").alias("rank"), "value", "n")
+        .select("column", F.col("rank").cast("int").alias("rank"), "value", "digest", "n")
     )
 
 
 def top_values(df: DataFrame, names: Sequence[str], limit: int) -> DataFrame:
-    """Most frequent texts of each column."""
-    return most_frequent(value_counts(df, names, "string"), limit)
+    """(column, rank, value, n): most frequent texts of each column; a few rows a column."""
+    rows = most_frequent(value_counts(df, names, "string"), limit).collect()
+    whole = full_texts(df, rows)
+    return df.sparkSession.createDataFrame(
+        [(r["column"], r["rank"], whole.get((r["column"], r["digest"]), r["value"]), r["n"]) for r in rows],
+        "column string, rank int, value string, n long",
+    )
 
 
 def _first_values(df: DataFrame, row_key: RowKey, names: Sequence[str], limit: int) -> DataFrame:

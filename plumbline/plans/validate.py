@@ -15,7 +15,7 @@ from plumbline.functions.columns import (
     RowKey, col, data_columns, groupable_columns, nan_to_null, number_columns, text_columns,
     with_file_position,
 )
-from plumbline.functions.counts import distinct_counts, value_counts
+from plumbline.functions.counts import distinct_counts, full_texts, value_counts
 from plumbline.functions.storage import together
 from plumbline.operators import anomalies as anomaly
 from plumbline.operators import checks, duplicates, evidence, facts, profile
@@ -255,7 +255,7 @@ def _text_values(
     seen = value_counts(df, names, "string")
     facts_part = facts.text_facts(seen).select(
         "column", F.lit(0).alias("rank"), F.lit(None).cast("string").alias("value"),
-        F.lit(None).cast("bigint").alias("n"), "unique_count", "unparsable",
+        F.lit(None).cast("string").alias("digest"), F.lit(None).cast("bigint").alias("n"), "unique_count", "unparsable",
     )
     top_part = profile.most_frequent(seen, config.top_categories).select(
         "*", F.lit(None).cast("bigint").alias("unique_count"),
@@ -263,11 +263,14 @@ def _text_values(
     )
     counted: dict[str, Row] = {}
     tops: dict[str, list] = {}
-    for r in sorted(facts_part.unionByName(top_part).collect(), key=lambda r: r["rank"]):
+    rows = sorted(facts_part.unionByName(top_part).collect(), key=lambda r: r["rank"])
+    whole = full_texts(df, rows)
+    for r in rows:
         if r["rank"] == 0:
             counted[r["column"]] = r
         else:
-            tops.setdefault(r["column"], []).append((r["value"], r["n"]))
+            text = whole.get((r["column"], r["digest"]), r["value"])
+            tops.setdefault(r["column"], []).append((text, r["n"]))
     return counted, tops
 
 

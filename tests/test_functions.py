@@ -184,3 +184,29 @@ def test_percentiles_in_batches(spark):
 
     df = spark.range(101).selectExpr("cast(id as double) as a", "id * 2 as b", "id * 3 as c")
     assert medians(df, ["a", "b", "c"], exact_cells=150) == {"a": 50.0, "b": 100.0, "c": 150.0}
+
+
+def test_long_texts_are_counted_by_digest(spark):
+    from plumbline.functions.counts import distinct_counts, modes, value_counts
+    from plumbline.operators import facts, profile
+
+    head = "x" * 300
+    rows = [(head + "a",), (head + "b",), (head + "b",), ("1" * 300,), ("short",), (None,)]
+    df = spark.createDataFrame(rows, "t string")
+    assert distinct_counts(df, ["t"]).first()["unique_count"] == 4
+    assert modes(df, ["t"]).first()["mode"] == head + "b"
+    assert [r["value"] for r in profile.top_values(df, ["t"], 1).collect()] == [head + "b"]
+    assert facts.text_facts(value_counts(df, ["t"], "string")).first()["unparsable"] == 4
+    plan = distinct_counts(df, ["t"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" in plan
+
+
+def test_no_exchange_carries_long_texts(spark):
+    from plumbline.functions.counts import value_counts
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    counted = value_counts(docs, ["text"], "string")
+    longest = counted.selectExpr("max(length(value)) as n").first()["n"]
+    assert longest == 256
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan
