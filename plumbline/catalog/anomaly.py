@@ -99,10 +99,6 @@ def forest_flags(spark: SparkSession, folder: str) -> DataFrame:
     return flagged.agg(F.count(F.lit(1)).alias("flagged"), F.count_distinct("event_id").alias("events"))
 
 
-FOREST_FLAGS_SQL = """WITH n AS (SELECT count(*) AS rows, CAST(ceil((count(*) - 1) / 10.0) AS BIGINT) AS tenth FROM events)
-SELECT tenth AS flagged, tenth AS events FROM n"""
-
-
 def export_outlying(spark: SparkSession, folder: str) -> DataFrame:
     """Export of the rows that LOF alone flags."""
     parts = PARTS.frame(spark, folder)
