@@ -479,6 +479,31 @@ SELECT severity, issue_type, "column", affected_rows, affected_rows * 1.0 / n_ro
 FROM issues"""
 
 
+# Every column of the largest table, some under names that have a plausible range.
+LINES = View(
+    "lineitem",
+    (
+        "l_orderkey AS order_key", "l_linenumber AS line", "l_partkey AS part", "l_suppkey AS supplier",
+        "l_quantity AS heart_rate", "l_extendedprice AS price", "l_discount * 100 AS ECOG",
+        "l_tax * 100 AS pain_score", "l_returnflag AS flag", "l_linestatus AS status",
+        "CAST(l_shipdate AS STRING) AS shipped",
+    ),
+)
+LINES_NUMBERS = ("part", "supplier", "heart_rate", "price", "ECOG", "pain_score")
+LINES_TEXTS = ("flag", "status", "shipped")
+
+
+def validate_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Full validation of all columns of the largest table, with values out of range."""
+    report = validate(LINES.frame(spark, folder), ["order_key", "line"], WITHOUT_ANOMALIES)
+    return report.issues.select(*ISSUE_COLUMNS)
+
+
+VALIDATE_LINES_SQL = f"""WITH v AS ({LINES.sql}), {issues_sql('v', LINES_NUMBERS, LINES_TEXTS)}
+SELECT severity, issue_type, "column", affected_rows, affected_rows * 1.0 / n_rows AS fraction
+FROM issues"""
+
+
 def to_numeric_coerce(spark: SparkSession, folder: str) -> DataFrame:
     return VITALS.frame(spark, folder).select(
         "row_key", "heart_rate", parse_number(F.col("heart_rate")).alias("number")
@@ -512,5 +537,6 @@ QUERIES = {
     "dq_recommendations": (dq_recommendations, _advice_sql(VITALS_ISSUES_SQL)),
     "issue_categories": (categories, CATEGORIES_SQL),
     "validate_lineitem": (validate_lineitem, VALIDATE_LINEITEM_SQL),
+    "validate_lines": (validate_lines, VALIDATE_LINES_SQL),
     "to_numeric_coerce": (to_numeric_coerce, TO_NUMERIC_SQL),
 }

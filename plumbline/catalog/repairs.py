@@ -85,6 +85,25 @@ c6 AS (SELECT row_key, patient_id, age, heart_rate, blood_pressure_systolic, wei
     ORDER BY count(*) DESC, segment LIMIT 1)) AS segment FROM c5)"""
 
 
+def fix_effects(spark: SparkSession, folder: str) -> DataFrame:
+    """Log of the chain beside what each applied fix of rows or gaps leaves behind, from the data."""
+    repaired = apply_fixes(VITALS.frame(spark, folder), CHAIN, "row_key", CONFIG)
+    applied = repaired.log.filter("status = 'applied'").count()
+    return repaired.data.agg(
+        F.lit(applied).cast("bigint").alias("applied"),
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("weight_kg").isNull() | F.col("segment").isNull()).alias("gaps"),
+        F.count_distinct("patient_id").alias("patients"),
+        F.count_if((F.col("age") < 0) | (F.col("age") > 120)).alias("out_of_range"),
+    )
+
+
+FIX_EFFECTS_SQL = f"""WITH {CHAIN_SQL}
+SELECT CAST({len(CHAIN) - 1} AS BIGINT) AS applied, count(*) AS rows,
+  count_if(weight_kg IS NULL OR segment IS NULL) AS gaps, count(DISTINCT patient_id) AS patients,
+  count_if(age < 0 OR age > 120) AS out_of_range FROM c6"""
+
+
 def fix_log(spark: SparkSession, folder: str) -> DataFrame:
     return apply_fixes(VITALS.frame(spark, folder), CHAIN, "row_key", CONFIG).log.select(
         "step", "action", "column", "status"
@@ -203,5 +222,6 @@ SELECT v.* FROM v, m WHERE NOT abs((heart_rate - mean) / std) > 3""",
         "AS blood_pressure_systolic) FROM c6",
     ),
     "fix_log": (fix_log, FIX_LOG_SQL),
+    "fix_effects": (fix_effects, FIX_EFFECTS_SQL),
     "revalidate": (revalidate, REVALIDATE_SQL),
 }
