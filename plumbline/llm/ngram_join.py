@@ -3,7 +3,8 @@
 1. Equal shingle sets become one class before anything is compared.
 2. A class lies in the tiles of its size band; linked classes share a tile (see ``shingles``). Map
    tasks put equal tiles together first and send one class a tile.
-3. Every class is tested against the least class of its tiles, and what links is one component.
+3. Inside a tile bit counts rule out most members; every class is tested against the first one that
+   they let pass, and what links is one component.
 4. Tiles that still hold several components compare their members' bitmaps, and pairs of different
    components that bit counts cannot rule out are tested, so no link between components is lost.
 
@@ -17,13 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.storage import pin
-from plumbline.llm.components import components
+from plumbline.llm.components import components, forest_roots
 from plumbline.llm.repeats import identified
-from plumbline.llm.shingles import bitmap, linked, overlap_possible, set_hash, sets_of, tile_keys
+from plumbline.llm.shingles import bitmap, folded, linked, overlap_possible, set_hash, sets_of, tile_keys
 from plumbline.llm.tables import by_batch, read
 from plumbline.llm.texts import chunks
 
@@ -36,23 +38,24 @@ SALTS = 64
 
 
 def classes_of(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n and class of every row of docs."""
+    """doc_id, text_hash, n, class and bits of every row of docs."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for first, end, offsets, data in chunks(batch):
             found = list(sets_of(offsets, data))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i).slice(first, end - first) for i in (0, 1)),
-                 pa.array([len(s) for s in found], pa.int64()), pa.array([set_hash(s) for s in found], pa.int64())],
-                ["doc_id", "text_hash", "n", "class"],
+                 pa.array([len(s) for s in found], pa.int64()), pa.array([set_hash(s) for s in found], pa.int64()),
+                 pa.array([bitmap(s) for s in found], pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "n", "class", "bits"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return by_batch(docs, run, f"doc_id {kind}, text_hash long, n long, class long")
+    return by_batch(docs, run, f"doc_id {kind}, text_hash long, n long, class long, bits array<long>")
 
 
 def _tile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, salt, class: one class a tile under salt 0, all classes of tiles with several under others."""
+    """Tile rows: one class a tile under salt 0, all classes of tiles with several under others."""
     seen: set[int] = set()
     keys: list[np.ndarray] = []
     owners: list[int] = []
@@ -67,14 +70,12 @@ def _tile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new[1:] = key[1:] != key[:-1]
         shared = ~new
         shared[:-1] |= ~new[1:]
-        group = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
         salt = 1 + (owner[shared] % SALTS)
         return pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate((key[new], key[shared]))),
              pa.array(np.concatenate((np.zeros(new.sum(), np.int64), salt)).astype(np.int32)),
-             pa.array(np.concatenate((owner[new], owner[shared]))),
-             pa.array(np.concatenate((owner[new], owner[group[shared]])))],
-            ["key", "salt", "class", "center"],
+             pa.array(np.concatenate((owner[new], owner[shared])))],
+            ["key", "salt", "class"],
         )
 
     for batch in batches:
@@ -102,18 +103,17 @@ def _shared_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     rest: pa.RecordBatch | None = None
 
     def find(batch: pa.RecordBatch) -> pa.RecordBatch:
-        key, salt, name, center = (np.asarray(batch.column(i)) for i in range(4))
+        key, salt, name = (np.asarray(batch.column(i)) for i in range(3))
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
         group = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-        least = np.where(salt == 0, name[group], center)
         number = np.cumsum(new) - 1
         several = np.zeros(number[-1] + 1, bool)
         several[number[name != name[group]]] = True
-        keep = (salt > 0) | several[number]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(key[keep]), pa.array(name[keep]), pa.array(least[keep])], ["key", "class", "center"]
-        )
+        again = np.zeros(len(key), bool)
+        again[1:] = ~new[1:] & (name[1:] == name[:-1])
+        keep = ((salt > 0) | several[number]) & ~again
+        return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(name[keep])], ["key", "class"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -130,39 +130,29 @@ def _shared_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _sets_table(docs: DataFrame, stands: DataFrame) -> DataFrame:
-    """class, n, bits, members of classes, from one standing document of each."""
+    """class and members of classes, from one standing document of each."""
     held = docs.alias("d").join(
         stands.hint("shuffle_hash").alias("s"),
         F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.text_hash") == F.col("s.text_hash")),
     )
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for first, end, offsets, data in chunks(batch):
-            found = list(sets_of(offsets, data))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, end - first), pa.array([len(s) for s in found], pa.int64()),
-                 pa.array([bitmap(s) for s in found], pa.list_(pa.int64())),
-                 pa.array([s.tobytes() for s in found], pa.binary())],
-                ["class", "n", "bits", "members"],
-            )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[int] = set()  # rows equal in key and text meet in one task and give their class once
+        for batch in batches:
+            for first, end, offsets, data in chunks(batch):
+                names = batch.column(0).slice(first, end - first).to_pylist()
+                new = [(n, s) for n, s in zip(names, sets_of(offsets, data)) if n not in given and not given.add(n)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([n for n, _ in new], pa.int64()), pa.array([s.tobytes() for _, s in new], pa.binary())],
+                    ["class", "members"],
+                )
 
-    # Rows equal in key and text would give their class again.
-    return by_batch(
-        held.select("s.class", "d.text"), run, "class long, n long, bits array<long>, members binary"
-    ).dropDuplicates(["class"])
+    return held.select("s.class", "d.text").mapInArrow(run, "class long, members binary")
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link, by bit counts and then exactly."""
-    bits = sets.select("class", "n", "bits")
-    sized = (
-        pairs.join(bits.toDF("a", "n_a", "bits_a"), "a").join(bits.toDF("b", "n_b", "bits_b"), "b")
-        .withColumn("differ", F.expr("aggregate(zip_with(bits_a, bits_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"))
-        .where(overlap_possible(F.col("n_a"), F.col("n_b"), F.col("differ")))
-        .select("a", "b")
-    )
-    members = sets.select("class", "members")
-    full = sized.join(members.toDF("a", "one"), "a").join(members.toDF("b", "two"), "b").select("a", "b", "one", "two")
+    """The pairs (a, b) whose sets link, by exact intersection of sorted arrays."""
+    full = pairs.join(sets.toDF("a", "one"), "a").join(sets.toDF("b", "two"), "b").select("a", "b", "one", "two")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         keep = [
@@ -175,28 +165,49 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return by_batch(full, run, "a long, b long")
 
 
-def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From tile members by key: pairs of different components that bit counts let pass."""
+def _open_pairs(batches: Iterator[pa.RecordBatch], one_each: bool) -> Iterator[pa.RecordBatch]:
+    """From tile members by key: pairs of different components that bit counts let pass.
+
+    With ``one_each`` only the first partner, before it or after it, of each member that has one.
+    """
     rest: list[pa.RecordBatch] = []
 
     def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not table.num_rows:
+            return
         key, name, label, size = (np.asarray(table.column(i).combine_chunks()) for i in range(4))
-        bits = np.asarray(table.column(4).combine_chunks().flatten()).view(np.uint64).reshape(len(key), -1)
-        edges = np.append(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))), len(key))
+        lists = table.column(4).combine_chunks()
+        words, widths = np.asarray(lists.flatten()).view(np.uint64), np.asarray(pc.list_value_length(lists))
+        place = np.concatenate(([0], np.cumsum(widths)))
+        edges = np.concatenate(([0], 1 + np.flatnonzero(key[1:] != key[:-1]), [len(key)]))
         for first, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            paired = np.zeros(end - first, bool)
+            width = widths[first:end]
+            bits = np.empty((end - first, width.min()), np.uint64)
+            for w in np.unique(width):
+                rows = np.flatnonzero(width == w)
+                bits[rows] = folded(words[place[first + rows, None] + np.arange(w)], bits.shape[1])
             for low in range(first, end, BLOCK):
                 own = np.arange(low, min(low + BLOCK, end))
-                for at in range(low, end, BLOCK):
+                for at in range(first if one_each else low, end, BLOCK):
                     other = np.arange(at, min(at + BLOCK, end))
-                    able = (label[own, None] != label[None, other]) & (own[:, None] < other[None])
+                    if one_each:
+                        other = other[~paired[other - first]]
+                    after = own[:, None] != other[None] if one_each else own[:, None] < other[None]
+                    able = (label[own, None] != label[None, other]) & after
                     one, two = np.nonzero(able)
                     if not len(one):
                         continue
                     one, two = own[one], other[two]
-                    differ = np.bitwise_count(bits[one] ^ bits[two]).sum(1, dtype=np.int64)
+                    differ = np.bitwise_count(bits[one - first] ^ bits[two - first]).sum(1, dtype=np.int64)
                     good = overlap_possible(size[one], size[two], differ)
                     if good.any():
-                        a, b = name[one[good]], name[two[good]]
+                        one, two = one[good], two[good]
+                        if one_each:
+                            two, earliest = np.unique(two, return_index=True)
+                            one = one[earliest]
+                            paired[two - first] = True
+                        a, b = name[one], name[two]
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     for batch in batches:
@@ -217,42 +228,41 @@ def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def class_links(docs: DataFrame, classed: DataFrame) -> DataFrame:
-    """Verified links (a, b) between classes, enough to span every component."""
-    tasks = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    rows = docs.select("text").mapInArrow(_tile_rows, "key long, salt int, class long, center long")
+    """Pairs (a, b) of classes that verified links connect, enough to span every component."""
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tiles = pin(
-        rows.repartition(int(tasks), "key", "salt")
-        .sortWithinPartitions("key", "salt", "class")
-        .mapInArrow(_shared_tiles, "key long, class long, center long")
-        .select("key", "class", "center")
-    )
-    first = pin(
-        tiles.where("center < class").groupBy("class").agg(F.min("center").alias("center"))
-        .select(F.col("center").alias("a"), F.col("class").alias("b"))
+        docs.select("text").mapInArrow(_tile_rows, "key long, salt int, class long")
+        .repartition(tasks, "key", "salt").sortWithinPartitions("key", "salt", "class")
+        .mapInArrow(_shared_tiles, "key long, class long")
     )
-    asked = tiles.select("class").distinct()
+    bits = pin(classed.where("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.first("bits").alias("bits")))
+
+    def compared(members: DataFrame, one_each: bool) -> DataFrame:
+        """Pairs of tile members (key, class, component) that bit counts let pass."""
+        return (
+            members.join(bits, "class").select("key", "class", "component", "n", "bits")
+            .repartition(tasks, "key").sortWithinPartitions("key", "class")
+            .mapInArrow(lambda batches: _open_pairs(batches, one_each), "a long, b long").distinct()
+        )
+
+    passed = pin(compared(tiles.withColumn("component", F.col("class")), True))
+    asked = pin(passed.select(F.col("a").alias("class")).union(passed.select("b")).distinct())
     stands = classed.join(asked, "class", "left_semi").groupBy("class").agg(
         F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash")
     )
     sets = pin(_sets_table(docs, stands))
+    first = passed.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = pin(_links(first, sets))
 
-    found = components(links)
-    labelled = (
-        tiles.select("key", "class").distinct()
-        .join(found.select(F.col("node").alias("class"), "component"), "class", "left")
-        .withColumn("component", F.coalesce("component", "class"))
-    )
-    labelled = pin(labelled)
+    found = pin(forest_roots(links.select(F.col("b").alias("node"), F.col("a").alias("parent"))))
+    stars = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
+    found = found.select(F.col("node").alias("class"), "component")
+    labelled = tiles.join(asked, "class", "left_semi").join(found, "class", "left")
+    labelled = pin(labelled.withColumn("component", F.coalesce("component", "class")))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = mixed.where("low <> high").select("key")
-    members = labelled.join(mixed, "key", "left_semi").join(sets.select("class", "n", "bits"), "class")
-    pairs = (
-        members.select("key", "class", "component", "n", "bits")
-        .repartition(int(tasks), "key").sortWithinPartitions("key")
-        .mapInArrow(_open_pairs, "a long, b long").distinct()
-    )
-    return links.union(pin(_links(pin(pairs), sets)))
+    pairs = pin(compared(labelled.join(mixed, "key", "left_semi"), False))
+    return stars.union(pin(_links(pairs, sets)))
 
 
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -314,4 +324,20 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_ngram_jaccard": (op2_ngram_jaccard, None)}
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, least(len(w), 1) + 1))) AS i FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i
+    FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 90 * (na.n + nb.n - i)),
+c AS (SELECT a AS doc_id, a AS other FROM e UNION SELECT c.doc_id, e.b FROM c JOIN e ON e.a = c.other)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(f.least, d.doc_id) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id
+LEFT JOIN (SELECT doc_id, min(other) AS least FROM c GROUP BY doc_id) f ON f.doc_id = d.doc_id
+"""
+
+QUERIES = {"op2_ngram_jaccard": (op2_ngram_jaccard, SQL)}

@@ -15,6 +15,7 @@ from plumbline.llm.texts import Words, mix, ranges
 SHINGLE = 3
 #: Numerator and denominator of the least similarity.
 LEAST = (90, 100)
+#: Bits of the smallest bitmap; larger sets have the next power of two above their size.
 BITMAP_BITS = 1024
 
 
@@ -72,14 +73,20 @@ def tile_keys(members: np.ndarray) -> np.ndarray:
 
 
 def bitmap(members: np.ndarray) -> np.ndarray:
-    """Parity of the elements that fall on each of 1024 bits, as 16 whole numbers.
+    """Parity of the elements that fall on each bit, as whole numbers of 64 bits.
 
     Bits in which two bitmaps differ are at most as many as the elements the sets differ in.
     """
-    odd = np.bincount((members & np.uint64(BITMAP_BITS - 1)).astype(np.int64), minlength=BITMAP_BITS) & 1
+    bits = max(BITMAP_BITS, 1 << (len(members) - 1).bit_length()) if len(members) else BITMAP_BITS
+    odd = np.bincount((members & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def folded(bitmaps: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (one a row) brought to fewer words; parities of bits that fall together add up."""
+    return np.bitwise_xor.reduce(bitmaps.reshape(len(bitmaps), -1, words), axis=1)
+
+
 def overlap_possible(one, two, differ):
     """Can sets of these sizes link if they differ in at least ``differ`` elements?"""
     least, whole = LEAST

@@ -5,8 +5,8 @@ import random
 import numpy as np
 
 from plumbline.llm import ngram_join
-from plumbline.llm.components import components
-from plumbline.llm.shingles import bitmap, linked, overlap_possible, set_hash, tile_keys
+from plumbline.llm.components import components, forest_roots
+from plumbline.llm.shingles import bitmap, folded, linked, overlap_possible, set_hash, tile_keys
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string"
@@ -24,7 +24,9 @@ def test_linked_sets_share_a_tile_and_pass_the_bit_bound():
         two = np.unique(np.concatenate((one[draw.permutation(len(one))[: len(one) - gone]], pool[n : n + differ - gone])))
         if linked(one, two):
             seen += 1
-            bits = np.bitwise_count((bitmap(one) ^ bitmap(two)).view(np.uint64)).sum(dtype=np.int64)
+            a, b = bitmap(one).view(np.uint64)[None], bitmap(two).view(np.uint64)[None]
+            words = min(a.shape[1], b.shape[1])
+            bits = np.bitwise_count(folded(a, words) ^ folded(b, words)).sum(dtype=np.int64)
             assert bits <= len(np.setxor1d(one, two))
             assert overlap_possible(len(one), len(two), bits)
             assert len(np.intersect1d(tile_keys(one), tile_keys(two))) or set_hash(one) == set_hash(two)
@@ -50,6 +52,33 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_forest_roots(spark):
+    random.seed(8)
+    parent = {i: random.randint(max(0, i - 3), i - 1) for i in range(1, 200) if i % 40}
+
+    def root(x):
+        while x in parent:
+            x = parent[x]
+        return x
+
+    found = forest_roots(spark.createDataFrame(list(parent.items()), "node long, parent long")).collect()
+    nodes = {*parent, *map(root, parent)}
+    assert {r.node: r.component for r in found} == {n: root(n) for n in nodes}
+
+
+def test_folded_bitmaps_still_bound_the_difference():
+    draw = np.random.default_rng(4)
+    one = np.unique(draw.integers(0, 1 << 63, 5000, dtype=np.uint64))
+    two = np.unique(np.concatenate((one[:4100], draw.integers(0, 1 << 63, 60, dtype=np.uint64))))
+    a, b = bitmap(one).view(np.uint64)[None], bitmap(two).view(np.uint64)[None]
+    assert a.shape[1] == 128
+    for words in (128, 64, 16):
+        differ = np.bitwise_count(folded(a, words) ^ folded(b, words)).sum()
+        assert differ <= len(np.setxor1d(one, two))
+    small = np.bincount((one & np.uint64(1023)).astype(int), minlength=1024) & 1
+    assert np.array_equal(folded(a, 16)[0], np.packbits(small.astype(np.uint8)).view(np.uint64))
+
+
 def near_copies(seed):
     random.seed(seed)
     bases = [[f"w{random.randint(0, 400)}" for _ in range(random.choice([3, 8, 12, 20, 40, 80, 150, 300]))] for _ in range(8)]
