@@ -228,7 +228,8 @@ def marked_runs(
     """
     stands = pin(_fingerprints(docs, kind))
     often = stands.groupBy("name").agg(F.sum("weight").alias("times")).where("times > 1").select("name")
-    stands = pin(stands.join(often, "name", "left_semi"))
+    # Stored on its own, so that adaptive execution can split the rows of a frequent name.
+    stands = pin(stands.join(pin(often), "name", "left_semi"))
 
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) if ordered else F.lit(0).cast("long")
     letter = 8 if kind.words else 1
@@ -268,7 +269,7 @@ def marked_runs(
     ).where("size(runs) > 0")
     runs = inside.union(across).groupBy("name", "content").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
-    known = contents.select("name", "content", "times", "first").join(runs, ["name", "content"], "left")
+    known = pin(contents.select("name", "content", "times", "first").join(runs, ["name", "content"], "left"))
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("length")))
     everywhere: Column = F.col("own") > F.col("first") if ordered else F.col("times") > 1
     marks = (
