@@ -58,23 +58,27 @@ def _storable(kind: T.DataType) -> bool:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _cleaning = Lock()
 _cleaners = 0
+_given: str | None = None
 
 
 @contextmanager
 def _without_leftovers(spark: SparkSession) -> Iterator[None]:
     """Remove the shuffle files of what is written inside once it is written; nothing reads them."""
-    global _cleaners
+    global _cleaners, _given
     with _cleaning:
         _cleaners += 1
         if _cleaners == 1:
+            _given = spark.conf.get(CLEANUP, None)
             spark.conf.set(CLEANUP, "true")
     try:
         yield
     finally:
         with _cleaning:
             _cleaners -= 1
-            if not _cleaners:
+            if not _cleaners and _given is None:
                 spark.conf.unset(CLEANUP)
+            elif not _cleaners:
+                spark.conf.set(CLEANUP, _given)
 
 
 def pin(df: DataFrame) -> DataFrame:
