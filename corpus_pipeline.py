@@ -25,9 +25,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return judged.where("predicted = 1").select(*COLUMNS)
 
 
-def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of the smallest doc_id."""
-    return ngram_join.first_of_components(docs.select(*COLUMNS))
+def keep_one_of_near_copies(
+    spark: SparkSession, docs: DataFrame, sf_dir: str, rule: ngram_join.Rule = ngram_join.Rule()
+) -> DataFrame:
+    """Of each group of linked documents the one of the smallest doc_id; as op2 links them, if no rule is given."""
+    return ngram_join.first_of_components(docs.select(*COLUMNS), rule=rule)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ members, not with their pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.storage import pin
 from plumbline.llm.components import components, forest_roots
 from plumbline.llm.repeats import identified
-from plumbline.llm.shingles import bitmap, folded, linked, overlap_possible, set_hash, sets_of, tile_keys
+from plumbline.llm.shingles import LEAST, SHINGLE, bitmap, folded, linked, overlap_possible, set_hash, sets_of, tile_keys
 from plumbline.llm.tables import by_batch, read
 from plumbline.llm.texts import chunks
 
@@ -37,12 +38,24 @@ BLOCK = 256
 SALTS = 64
 
 
-def classes_of(docs: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Rule:
+    """Words of a shingle, and the least similarity of linked sets as numerator and denominator."""
+
+    shingle: int = SHINGLE
+    least: tuple[int, int] = LEAST
+
+    def __post_init__(self) -> None:
+        if self.shingle < 1 or not 0 < self.least[0] <= self.least[1]:
+            raise ValueError("a shingle has a word or more, and the least similarity is above 0 and at most 1")
+
+
+def classes_of(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, text_hash, n, class and bits of every row of docs."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for first, end, offsets, data in chunks(batch):
-            found = list(sets_of(offsets, data))
+            found = list(sets_of(offsets, data, rule.shingle))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i).slice(first, end - first) for i in (0, 1)),
                  pa.array([len(s) for s in found], pa.int64()), pa.array([set_hash(s) for s in found], pa.int64()),
@@ -54,7 +67,7 @@ def classes_of(docs: DataFrame) -> DataFrame:
     return by_batch(docs, run, f"doc_id {kind}, text_hash long, n long, class long, bits array<long>")
 
 
-def _tile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tile_rows(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """Tile rows: one class a tile under salt 0, all classes of tiles with several under others."""
     seen: set[int] = set()
     keys: list[np.ndarray] = []
@@ -80,13 +93,13 @@ def _tile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for _, _, offsets, data in chunks(batch):
-            for members in sets_of(offsets, data):
+            for members in sets_of(offsets, data, rule.shingle):
                 name = set_hash(members)
                 if name in seen:
                     continue
                 if len(seen) < TILE_ROWS:
                     seen.add(name)
-                tiles = tile_keys(members)
+                tiles = tile_keys(members, rule.least)
                 if len(tiles):
                     keys.append(tiles)
                     owners.append(name)
@@ -129,7 +142,7 @@ def _shared_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield find(rest)
 
 
-def _sets_table(docs: DataFrame, stands: DataFrame) -> DataFrame:
+def _sets_table(docs: DataFrame, stands: DataFrame, rule: Rule) -> DataFrame:
     """class and members of classes, from one standing document of each."""
     held = docs.alias("d").join(
         stands.hint("shuffle_hash").alias("s"),
@@ -141,7 +154,8 @@ def _sets_table(docs: DataFrame, stands: DataFrame) -> DataFrame:
         for batch in batches:
             for first, end, offsets, data in chunks(batch):
                 names = batch.column(0).slice(first, end - first).to_pylist()
-                new = [(n, s) for n, s in zip(names, sets_of(offsets, data)) if n not in given and not given.add(n)]
+                sets = zip(names, sets_of(offsets, data, rule.shingle))
+                new = [(n, s) for n, s in sets if n not in given and not given.add(n)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([n for n, _ in new], pa.int64()), pa.array([s.tobytes() for _, s in new], pa.binary())],
                     ["class", "members"],
@@ -150,13 +164,13 @@ def _sets_table(docs: DataFrame, stands: DataFrame) -> DataFrame:
     return held.select("s.class", "d.text").mapInArrow(run, "class long, members binary")
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) whose sets link, by exact intersection of sorted arrays."""
     full = pairs.join(sets.toDF("a", "one"), "a").join(sets.toDF("b", "two"), "b").select("a", "b", "one", "two")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         keep = [
-            linked(np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(two.as_buffer(), np.uint64))
+            linked(np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(two.as_buffer(), np.uint64), rule.least)
             for one, two in zip(batch.column(2), batch.column(3))
         ]
         mask = pa.array(keep, pa.bool_())
@@ -165,7 +179,7 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return by_batch(full, run, "a long, b long")
 
 
-def _open_pairs(batches: Iterator[pa.RecordBatch], one_each: bool) -> Iterator[pa.RecordBatch]:
+def _open_pairs(batches: Iterator[pa.RecordBatch], one_each: bool, rule: Rule) -> Iterator[pa.RecordBatch]:
     """From tile members by key: pairs of different components that bit counts let pass.
 
     With ``one_each`` only the first partner, before it or after it, of each member that has one.
@@ -200,7 +214,7 @@ def _open_pairs(batches: Iterator[pa.RecordBatch], one_each: bool) -> Iterator[p
                         continue
                     one, two = own[one], other[two]
                     differ = np.bitwise_count(bits[one - first] ^ bits[two - first]).sum(1, dtype=np.int64)
-                    good = overlap_possible(size[one], size[two], differ)
+                    good = overlap_possible(size[one], size[two], differ, rule.least)
                     if good.any():
                         one, two = one[good], two[good]
                         if one_each:
@@ -227,11 +241,11 @@ def _open_pairs(batches: Iterator[pa.RecordBatch], one_each: bool) -> Iterator[p
         yield from compare(pa.Table.from_batches(rest))
 
 
-def class_links(docs: DataFrame, classed: DataFrame) -> DataFrame:
+def class_links(docs: DataFrame, classed: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """Pairs (a, b) of classes that verified links connect, enough to span every component."""
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tiles = pin(
-        docs.select("text").mapInArrow(_tile_rows, "key long, salt int, class long")
+        docs.select("text").mapInArrow(lambda batches: _tile_rows(batches, rule), "key long, salt int, class long")
         .repartition(tasks, "key", "salt").sortWithinPartitions("key", "salt", "class")
         .mapInArrow(_shared_tiles, "key long, class long")
     )
@@ -242,7 +256,7 @@ def class_links(docs: DataFrame, classed: DataFrame) -> DataFrame:
         return (
             members.join(bits, "class").select("key", "class", "component", "n", "bits")
             .repartition(tasks, "key").sortWithinPartitions("key", "class")
-            .mapInArrow(lambda batches: _open_pairs(batches, one_each), "a long, b long").distinct()
+            .mapInArrow(lambda batches: _open_pairs(batches, one_each, rule), "a long, b long").distinct()
         )
 
     passed = pin(compared(tiles.withColumn("component", F.col("class")), True))
@@ -250,9 +264,9 @@ def class_links(docs: DataFrame, classed: DataFrame) -> DataFrame:
     stands = classed.join(asked, "class", "left_semi").groupBy("class").agg(
         F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash")
     )
-    sets = pin(_sets_table(docs, stands))
+    sets = pin(_sets_table(docs, stands, rule))
     first = passed.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = pin(_links(first, sets))
+    links = pin(_links(first, sets, rule))
 
     found = pin(forest_roots(links.select(F.col("b").alias("node"), F.col("a").alias("parent"))))
     stars = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
@@ -262,13 +276,13 @@ def class_links(docs: DataFrame, classed: DataFrame) -> DataFrame:
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = mixed.where("low <> high").select("key")
     pairs = pin(compared(labelled.join(mixed, "key", "left_semi"), False))
-    return stars.union(pin(_links(pairs, sets)))
+    return stars.union(pin(_links(pairs, sets, rule)))
 
 
-def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """Rows with words (doc_id, text_hash, n, class, component), and rows without."""
-    classed = pin(classes_of(docs))
-    found = components(class_links(docs, classed)).select(F.col("node").alias("class"), "component")
+    classed = pin(classes_of(docs, rule))
+    found = components(class_links(docs, classed, rule)).select(F.col("node").alias("class"), "component")
     by_class = (
         classed.where("n > 0").select("class").distinct().join(found, "class", "left")
         .withColumn("component", F.coalesce("component", "class"))
@@ -276,17 +290,17 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classed.where("n > 0").join(by_class, "class"), classed.where("n = 0")
 
 
-def join_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def join_components(df: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
-    Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a row's set is its distinct 3-word
-    shingles, or the whole sequence as one if it has fewer words. Rows link when 100 * intersection
-    >= 90 * union; component_id is the least key reachable by links, null if none of them has a
-    key. Rows without words link with nothing and keep their own key. Repeated rows link with each
-    other; other columns are not read; an empty table gives an empty result. Shingles and sets are
-    told apart by 64-bit hashes.
+    Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a row's set is its distinct shingles of
+    ``rule.shingle`` words, or the whole sequence as one if it has fewer words. Rows link when
+    intersection / union is ``rule.least`` or more; component_id is the least key reachable by
+    links, null if none of them has a key. Rows without words link with nothing and keep their own
+    key. Repeated rows link with each other; other columns are not read; an empty table gives an
+    empty result. Shingles and sets are told apart by 64-bit hashes.
     """
-    grouped, alone = _grouped(identified(df, key, text))
+    grouped, alone = _grouped(identified(df, key, text), rule)
     least = grouped.groupBy("class", "component").agg(F.min("doc_id").alias("least"))
     smallest = least.groupBy("component").agg(F.min("least").alias("component_id"))
     named = least.join(smallest, "component").select("class", "component_id")
@@ -294,13 +308,13 @@ def join_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return rows.union(alone.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def first_of_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def first_of_components(df: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = Rule()) -> DataFrame:
     """The rows of df without all but one of each component: that of the least key.
 
     Rows without a key come after all others. Rows without words all stay.
     """
     names = [c for c in df.columns if c not in (key, text)]
-    grouped, alone = _grouped(identified(df, key, text))
+    grouped, alone = _grouped(identified(df, key, text), rule)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     kept = grouped.groupBy("component").agg(F.min(order).alias("of")).select("of.doc_id", "of.text_hash", F.lit(True).alias("one"))
     kept = kept.union(alone.select("doc_id", "text_hash", F.lit(False)).distinct())

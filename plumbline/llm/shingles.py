@@ -1,7 +1,8 @@
 """Sets of word shingles and what can be said of two of them without looking inside.
 
-A set is the sorted distinct 64-bit hashes of a document's 3-word shingles, lower case. Two sets
-link when 100 * intersection >= 90 * union.
+A set is the sorted distinct 64-bit hashes of a document's word shingles, lower case. Two sets
+link when their intersection is at least a given share of their union. Unless a caller says
+otherwise shingles have 3 words and the share is 90/100, as in op2.
 """
 
 from __future__ import annotations
@@ -45,24 +46,24 @@ def set_hash(members: np.ndarray) -> int:
     return int(mix(total).view(np.int64)[0])
 
 
-def _level(smaller: int) -> int:
+def _level(smaller: int, share: tuple[int, int]) -> int:
     """Tiles of sets of this size, as a power of two: more than elements two linked sets differ in."""
-    least, whole = LEAST
+    least, whole = share
     return (smaller * (whole - least) // least).bit_length()
 
 
-def tile_keys(members: np.ndarray) -> np.ndarray:
+def tile_keys(members: np.ndarray, share: tuple[int, int] = LEAST) -> np.ndarray:
     """Keys of the tiles a set lies in.
 
     The hash range is cut into equal parts, more than the elements in which two linked sets of this
     size band can differ; so two linked sets agree in all elements of some part, or in having none.
-    A part's key is a hash of its elements. Sets whose band reaches into the next power of two lie
-    in the tiles of both. Sets so small that linked ones are equal lie in none.
+    A part's key is a hash of its elements. Sets whose band reaches into further powers of two lie
+    in the tiles of each. Sets so small that linked ones are equal lie in none.
     """
-    least, whole = LEAST
+    least, whole = share
     n = len(members)
     out = []
-    for level in sorted({_level(n), _level(-(-n * least // whole))} - {0}):
+    for level in range(max(1, _level(-(-n * least // whole), share)), _level(n, share) + 1):
         part = (members >> np.uint64(64 - level)).astype(np.int64)
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(members), dtype=np.uint64)))
         edges = np.searchsorted(part, np.arange((1 << level) + 1))
@@ -87,16 +88,16 @@ def folded(bitmaps: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_xor.reduce(bitmaps.reshape(len(bitmaps), -1, words), axis=1)
 
 
-def overlap_possible(one, two, differ):
+def overlap_possible(one, two, differ, share: tuple[int, int] = LEAST):
     """Can sets of these sizes link if they differ in at least ``differ`` elements?"""
-    least, whole = LEAST
+    least, whole = share
     # overlap <= (one + two - differ) / 2, and the union is what is left of one + two
     return (whole + least) * (one + two - differ) >= 2 * least * (one + two)
 
 
-def linked(one: np.ndarray, two: np.ndarray) -> bool:
+def linked(one: np.ndarray, two: np.ndarray, share: tuple[int, int] = LEAST) -> bool:
     """The exact test, on sorted arrays."""
-    least, whole = LEAST
+    least, whole = share
     at = np.searchsorted(two, one)
     at[at == len(two)] = 0
     overlap = int((two[at] == one).sum()) if len(two) else 0
