@@ -7,6 +7,7 @@ from plumbline.llm import (
     mixing,
     ngram_join,
     packing,
+    periodic_runs,
     quality_classifier,
     quality_rules,
     sharding,
@@ -28,4 +29,5 @@ QUERIES = {
     **quality_classifier.QUERIES,
     **quality_rules.QUERIES,
     **sharding.QUERIES,
+    **periodic_runs.QUERIES,
 }
