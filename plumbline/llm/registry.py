@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from plumbline.llm import (
+    conversation_repair,
     mixing,
     ngram_join,
     packing,
@@ -29,5 +30,6 @@ QUERIES = {
     **quality_classifier.QUERIES,
     **quality_rules.QUERIES,
     **sharding.QUERIES,
+    **conversation_repair.QUERIES,
     **periodic_runs.QUERIES,
 }
