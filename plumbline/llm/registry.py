@@ -9,6 +9,7 @@ from plumbline.llm import (
     ngram_join,
     packing,
     periodic_runs,
+    personal_data,
     quality_classifier,
     quality_rules,
     sharding,
@@ -30,6 +31,7 @@ QUERIES = {
     **quality_classifier.QUERIES,
     **quality_rules.QUERIES,
     **sharding.QUERIES,
+    **personal_data.QUERIES,
     **conversation_repair.QUERIES,
     **periodic_runs.QUERIES,
 }
