@@ -64,6 +64,16 @@ SELECT row_key, round(lof, 6) AS lof_score,
   lof < (SELECT quantile_cont(lof, 0.1) FROM scored) AS lof_flag FROM scored"""
 
 
+def lof_wide(spark: SparkSession, folder: str) -> DataFrame:
+    """Outlier factors over all numeric columns of the largest table, neighbours from a forest."""
+    lines = table(spark, folder, "lineitem").withColumn("row_key", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    config = QualityConfig(anomaly_neighbour_search="forest")
+    filled, names, rows = anomalies.anomaly_input(lines, "row_key")
+    scored = pin(anomalies.lof_scores(spread(filled, rows), names, rows, config))
+    flagged = anomalies.flag_lowest(scored, ["lof_score"], rows, config.anomaly_contamination)
+    return flagged.select("row_key", "lof_score", "lof_flag")
+
+
 def _scored_parts(spark: SparkSession, folder: str) -> DataFrame:
     return anomalies.anomaly_scores(PARTS.frame(spark, folder), "row_key", CONFIG)
 
@@ -99,6 +109,11 @@ def forest_flags(spark: SparkSession, folder: str) -> DataFrame:
     return flagged.agg(F.count(F.lit(1)).alias("flagged"), F.count_distinct("event_id").alias("events"))
 
 
+# Those strictly below the interpolated percentile, if scores at the cut do not tie.
+FOREST_FLAGS_SQL = """SELECT CAST(ceil((count(*) - 1) * 0.1) AS BIGINT) AS flagged,
+  CAST(ceil((count(*) - 1) * 0.1) AS BIGINT) AS events FROM events"""
+
+
 def export_outlying(spark: SparkSession, folder: str) -> DataFrame:
     """Export of the rows that LOF alone flags."""
     parts = PARTS.frame(spark, folder)
@@ -116,11 +131,12 @@ SELECT p.* FROM p JOIN f ON f.row_key = p.row_key WHERE f.lof_flag"""
 
 
 QUERIES = {
-    "forest_flags": (forest_flags, None),
+    "forest_flags": (forest_flags, FOREST_FLAGS_SQL),
     "export_outlying": (export_outlying, EXPORT_OUTLYING_SQL),
     "median_impute": (median_impute, MEDIAN_SQL),
     "isolation_forest": (isolation_forest, None),
     "lof": (lof, LOF_SQL),
+    "lof_wide": (lof_wide, None),
     "anomaly_consensus": (anomaly_consensus, None),
     "validate_parts": (validate_parts, None),
     "anomaly_single": (anomaly_single, None),

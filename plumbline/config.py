@@ -58,6 +58,8 @@ class QualityConfig:
     anomaly_min_rows: int = 50
     anomaly_min_columns: int = 2
     anomaly_neighbours: int = 20
+    # "exact", or "forest" for many columns: neighbours from random trees, of which a few are missed.
+    anomaly_neighbour_search: str = "exact"
     anomaly_trees: int = 100
     anomaly_tree_rows: int = 256
     anomaly_seed: int = 42

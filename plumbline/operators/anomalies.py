@@ -12,9 +12,9 @@ from plumbline.functions.columns import (
     RowKey, col, data_columns, key_columns, key_struct, key_text, nan_to_null, number_columns,
 )
 from plumbline.functions.quantiles import medians, percentiles
-from plumbline.functions.storage import pin, spread
+from plumbline.functions.storage import pin, spread, together
 from plumbline.operators.isolation import isolation_scores
-from plumbline.operators.neighbours import LEAF_ROWS, local_outlier_factor
+from plumbline.operators.neighbours import local_outlier_factor
 
 METHODS = ("Isolation Forest", "Local Outlier Factor (LOF)")
 
@@ -57,14 +57,19 @@ def anomaly_input(df: DataFrame, row_key: RowKey) -> tuple[DataFrame, list[str],
     return filled, kept, rows
 
 
-def lof_scores(
-    filled: DataFrame, names: Sequence[str], rows: int, config: QualityConfig,
-    leaf_rows: int = LEAF_ROWS,
+def lof_by_location(
+    filled: DataFrame, names: Sequence[str], rows: int, config: QualityConfig, leaf_rows: int | None = None
 ) -> DataFrame:
+    """(x0.., lof) of the distinct rows."""
+    return local_outlier_factor(
+        filled, names, config.anomaly_neighbours, rows, leaf_rows, config.anomaly_neighbour_search
+    )
+
+
+def with_lof(filled: DataFrame, names: Sequence[str], located: DataFrame) -> DataFrame:
     """Add ``lof_score``. Rows meet the score of their location by value; the optimizer
     broadcasts few locations, and splits a location holding many rows otherwise."""
-    scored = local_outlier_factor(filled, names, config.anomaly_neighbours, rows, leaf_rows)
-    renamed = scored.select(
+    renamed = located.select(
         *[F.col(f"x{i}").alias(f"__x{i}") for i in range(len(names))],
         F.col("lof").alias("lof_score"),
     )
@@ -72,6 +77,13 @@ def lof_scores(
     return filled.join(renamed, same).drop(*[f"__x{i}" for i in range(len(names))])
 
 
+def lof_scores(
+    filled: DataFrame, names: Sequence[str], rows: int, config: QualityConfig, leaf_rows: int | None = None
+) -> DataFrame:
+    """``filled`` with ``lof_score``."""
+    return with_lof(filled, names, lof_by_location(filled, names, rows, config, leaf_rows))
+
+
 def flag_lowest(scored: DataFrame, scores: Sequence[str], rows: int, share: float) -> DataFrame:
     """Add ``<score>_flag`` for rows below the given percentile of each score."""
     cuts = percentiles(scored, scores, share, sizes={s: rows for s in scores})
@@ -81,7 +93,7 @@ def flag_lowest(scored: DataFrame, scores: Sequence[str], rows: int, share: floa
 
 
 def anomaly_scores(
-    df: DataFrame, row_key: RowKey, config: QualityConfig, with_lof: bool = True
+    df: DataFrame, row_key: RowKey, config: QualityConfig, lof: bool = True
 ) -> DataFrame:
     """Row key, filled columns, ``iso_score``, ``iso_flag``, ``lof_score``, ``lof_flag``.
 
@@ -90,11 +102,16 @@ def anomaly_scores(
     """
     filled, names, rows = anomaly_input(df, row_key)
     filled = pin(spread(filled, rows))
-    scored, scores = isolation_scores(filled, names, row_key, rows, config), ["iso_score"]
-    if with_lof:
-        scored, scores = lof_scores(scored, names, rows, config), ["iso_score", "lof_score"]
+    forest = lambda: isolation_scores(filled, names, row_key, rows, config)
+    if lof:
+        # Trees are fitted while neighbours are looked for.
+        factors = lambda: lof_by_location(filled, names, rows, config)
+        scored, located = together(df.sparkSession, forest, factors)
+        scored, scores = with_lof(scored, names, located), ["iso_score", "lof_score"]
+    else:
+        scored, scores = forest(), ["iso_score"]
     flagged = flag_lowest(pin(scored), scores, rows, config.anomaly_contamination)
-    if not with_lof:
+    if not lof:
         none = F.lit(None).cast("double")
         flagged = flagged.withColumns(
             {"lof_score": none, "lof_flag": F.lit(False), "lof_score_cut": none}

@@ -1,11 +1,21 @@
-"""Exact k nearest neighbours and Local Outlier Factor without comparing all pairs.
+"""k nearest neighbours and Local Outlier Factor without comparing all pairs.
 
 Equal rows are first merged into one location with a multiplicity, so however
 many copies a row has, it is one point from there on. Locations are cut into
-leaves of limited size by median splits. Each leaf finds its own nearest
-neighbours and with them the radius beyond which nothing can matter; only
-leaves whose bounding box lies within that radius are asked again. The result
-is exact. Distances tie-break on the coordinates themselves.
+leaves of limited size by median splits; a leaf that is still too large is cut
+again from a sample of its own rows, so no leaf and no sample grows with the
+table, and none comes to the driver.
+
+Exact search: each leaf finds its own nearest neighbours and with them the
+radius beyond which nothing can matter; only leaves whose bounding box lies
+within that radius are asked again, found by descending the tree of boxes.
+Distances tie-break on the coordinates themselves. In many columns most leaves
+lie within the radius, and the work nears all pairs.
+
+Forest search: several trees cut the locations along random directions. Rows
+that share a leaf in any tree are compared exactly, and the nearest of all
+trees are kept; work is rows x trees x leaf size in any number of columns.
+What it finds are true distances; what it misses are some neighbours.
 
 Tasks hold one leaf and one block of query points; a leaf asked by many points
 is copied to several tasks.
@@ -15,12 +25,13 @@ from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import col
@@ -30,10 +41,17 @@ from plumbline.functions.storage import pin, python_tasks
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LEAF_ROWS = 2048
+#: A node is cut into at most 2**FAN_LEVELS children at once, from this many sampled rows for each.
+FAN_LEVELS = 9
 SAMPLE_PER_LEAF = 64
-SAMPLE_ROWS = 500_000
 QUERY_BLOCK = 50_000
 CHUNK_CELLS = 4_000_000
+#: Children of node n are n * CHILDREN + 1 and up; the root is 0.
+CHILDREN = 1 << (FAN_LEVELS + 1)
+
+FOREST_TREES = 8
+FOREST_LEAF_ROWS = 1024
+FOREST_DIRECTIONS = 8
 
 
 def _nearest(points: np.ndarray, queries: np.ndarray, k: int, skip: np.ndarray | None = None):
@@ -78,43 +96,100 @@ def _nearest(points: np.ndarray, queries: np.ndarray, k: int, skip: np.ndarray |
         yield start + row[keep], place[keep], near[keep]
 
 
-def _cut(sample: np.ndarray, leaves: int) -> list[tuple[int, float, int, int]]:
-    """Median splits as nodes (axis, value, left, right); a negative child -i-1 is leaf i."""
-    nodes: list = []
-    next_leaf = iter(range(10**9))
+def _cut(sample: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """Median splits of a complete binary tree, in heap order: axis and value of every inner node.
+
+    Rows below the value go left. A part that cannot be split sends everything left.
+    """
+    axes = np.zeros((1 << levels) - 1, dtype=np.int64)
+    values = np.full(len(axes), np.inf)
 
-    def grow(rows: np.ndarray, wanted: int) -> int:
+    def grow(rows: np.ndarray, node: int) -> None:
         spread = np.ptp(rows, axis=0) if len(rows) > 1 else np.zeros(sample.shape[1])
-        if wanted <= 1 or not spread.any():
-            return -next(next_leaf) - 1
+        if node >= len(axes) or not spread.any():
+            return
         axis = int(np.argmax(spread))
-        values = np.sort(rows[:, axis])
-        value = values[len(values) // 2]
-        if value == values[0]:
-            value = values[np.searchsorted(values, value, side="right")]
-        here = len(nodes)
-        nodes.append(None)
+        ordered = np.sort(rows[:, axis])
+        value = ordered[len(ordered) // 2]
+        if value == ordered[0]:
+            value = ordered[np.searchsorted(ordered, value, side="right")]
+        axes[node], values[node] = axis, value
         low = rows[:, axis] < value
-        nodes[here] = (
-            axis, float(value), grow(rows[low], wanted // 2), grow(rows[~low], wanted // 2)
+        grow(rows[low], 2 * node + 1)
+        grow(rows[~low], 2 * node + 2)
+
+    grow(sample, 0)
+    return axes, values
+
+
+def _levels(rows: int, leaf_rows: int) -> int:
+    """Levels of splits that bring a node of so many rows down to leaves, as far as one cut goes."""
+    return min(FAN_LEVELS, max(0, math.ceil(math.log2(max(rows, 1) / leaf_rows))))
+
+
+def _split(nodes: DataFrame, over: DataFrame, leaf_rows: int, seed: int) -> DataFrame:
+    """(leaf, levels, axis, value): how each of the nodes ``over`` is cut, from a sample of its rows."""
+    scale = 1 << 30
+    wanted = F.least(F.lit(1 << FAN_LEVELS), 2 * F.col("rows") / leaf_rows)
+    rate = SAMPLE_PER_LEAF * float(scale) * wanted / F.col("rows")
+    picked = nodes.join(over, "leaf").filter(
+        F.pmod(F.xxhash64("loc", F.lit(seed)), F.lit(scale)) < rate
+    )
+
+    def cut(frame: pd.DataFrame) -> pd.DataFrame:
+        levels = _levels(int(frame["rows"].iloc[0]), leaf_rows)
+        # In a fixed order, so that ties among spreads and medians do not depend on the partitions.
+        rows = np.stack(frame.sort_values("loc")["at"].to_numpy())
+        axis, value = _cut(rows, levels)
+        return pd.DataFrame(
+            {"leaf": [frame["leaf"].iloc[0]], "levels": [levels], "axis": [axis], "value": [value]}
         )
-        return here
 
-    grow(sample, leaves)
-    return nodes
+    chosen = picked.select("leaf", "rows", "loc", "at")
+    return chosen.groupBy("leaf").applyInPandas(
+        cut, "leaf long, levels int, axis array<long>, value array<double>"
+    )
 
 
-def _leaf_of(nodes, points: np.ndarray) -> np.ndarray:
-    """Leaf number of each point, all points descending together."""
-    if not nodes:
-        return np.zeros(len(points), dtype=np.int64)
-    axis, value, left, right = (np.array(part) for part in zip(*nodes))
-    at = np.zeros(len(points), dtype=np.int64)
-    while (inner := at >= 0).any():
-        node = at[inner]
-        goes_left = points[inner, axis[node]] < value[node]
-        at[inner] = np.where(goes_left, left[node], right[node])
-    return -at - 1
+def with_leaves(
+    places: DataFrame, at: Column, leaf_rows: int, rows: int, roots: Sequence[int] = (0,)
+) -> tuple[DataFrame, int]:
+    """Add ``leaf``: cut ``places`` by the coordinates ``at`` until no leaf exceeds twice ``leaf_rows``.
+
+    ``places`` may bring a column ``leaf`` of the nodes ``roots`` to start from, of ``rows`` rows
+    each; several roots count from 1, as children of a node that nothing is in. Also returns how often nodes were cut. All choices are made in Spark, from samples of at most
+    about SAMPLE_PER_LEAF rows for each child; a node's splits are one row, joined by its number.
+    """
+    started = "leaf" in places.columns
+    nodes = places if started else places.withColumn("leaf", F.lit(0).cast("long"))
+    kept = [*places.columns, *(() if started else ("leaf",))]
+    over = None
+    if rows > 2 * leaf_rows:
+        cells = [(node, rows) for node in roots]
+        over = places.sparkSession.createDataFrame(cells, "leaf long, rows long")
+    depth = 0
+    while over is not None:
+        located = nodes.withColumn("at", at)
+        splits = _split(located, over, leaf_rows, depth)
+        if depth == 0:
+            splits = F.broadcast(splits)  # one row a root
+        ways = splits.select(F.col("leaf").alias("__node"), "levels", "axis", "value")
+        # A descent of at most FAN_LEVELS steps over the row's own node.
+        end = F.aggregate(
+            F.expr("sequence(1, levels)"), F.lit(0),
+            lambda n, _: 2 * n + 1 + (F.element_at("at", (F.element_at("axis", n + 1) + 1).cast("int"))
+                                      >= F.element_at("value", n + 1)).cast("int"),
+        )
+        child = F.col("leaf") * CHILDREN + end - F.expr("shiftleft(1, levels)") + 2
+        joined = located.join(ways, F.col("leaf") == F.col("__node"), "left")
+        moved = F.when(F.col("levels") > 0, child).otherwise(F.col("leaf"))
+        nodes = pin(joined.withColumn("leaf", moved).select(*kept))
+        depth += 1
+        sizes = nodes.groupBy("leaf").agg(F.count(F.lit(1)).alias("rows"))
+        over = sizes.filter(F.col("rows") > 2 * leaf_rows)
+        if over.isEmpty():
+            over = None
+    return nodes, depth
 
 
 def locations(data: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -129,41 +204,91 @@ def locations(data: DataFrame, names: Sequence[str]) -> DataFrame:
     return pin(merged.orderBy(*axes).select(F.monotonically_increasing_id().alias("loc"), "m", *axes))
 
 
+def _points(table: pa.Table, axes: Sequence[str]) -> np.ndarray:
+    return np.column_stack([table[x].to_numpy() for x in axes])
+
+
+def _lists(row: np.ndarray, rows: int, values: np.ndarray) -> pa.Array:
+    """One list of values for each row; ``row`` is in order."""
+    offsets = np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
+def _with_lists(table: pa.Table, row: np.ndarray, place: np.ndarray, near: np.ndarray) -> pa.Table:
+    """Add the neighbours' numbers, multiplicities and distances."""
+    for name, values in (
+        ("near", table["loc"].to_numpy()[place]), ("near_m", table["m"].to_numpy()[place]), ("d2", near)
+    ):
+        table = table.append_column(name, _lists(row, table.num_rows, values))
+    return table
+
+
+def _axes(places: DataFrame) -> list[str]:
+    return [c for c in places.columns if c.startswith("x")]
+
+
+def _boxes(treed: DataFrame, axes: Sequence[str], depth: int) -> DataFrame:
+    """(node, parent, lo_x.., hi_x..) of every node below the root, leaves included."""
+    line = [F.col("leaf")]
+    for _ in range(depth - 1):
+        line.append(F.floor((line[-1] - 1) / CHILDREN).cast("long"))
+    corners = [F.min(x).alias(f"lo_{x}") for x in axes] + [F.max(x).alias(f"hi_{x}") for x in axes]
+    upper = [F.min(f"lo_{x}").alias(f"lo_{x}") for x in axes] + [F.max(f"hi_{x}").alias(f"hi_{x}") for x in axes]
+    leaves = treed.groupBy("leaf").agg(*corners)
+    if depth < 2:
+        return leaves.withColumnRenamed("leaf", "node").withColumn("parent", F.lit(0).cast("long"))
+    # A leaf that was not cut again stands for itself once; the root is no one's child.
+    above = leaves.select("*", F.explode(F.array_distinct(F.array(*line))).alias("node"))
+    return (
+        above.filter((F.col("node") > 0) | (F.col("leaf") == 0))
+        .groupBy("node").agg(*upper)
+        .withColumn("parent", F.floor((F.col("node") - 1) / CHILDREN).cast("long"))
+    )
+
+
+def _nearest_of(found: DataFrame, k: int, repeats: bool) -> DataFrame:
+    """(loc, m, best): the k nearest of all lists ``best`` of a location, distance first.
+
+    With ``repeats`` a neighbour may be in several lists; sorted, it lies beside itself.
+    """
+    together = found.groupBy("loc", "m").agg(F.array_sort(F.flatten(F.collect_list("best"))).alias("best"))
+    best = F.col("best")
+    if repeats:
+        best = F.filter("best", lambda one, i: (i == 0) | (one["near"] != F.get("best", i - 1)["near"]))
+    return together.withColumn("best", F.slice(best, 1, k))
+
+
+def _rows(lists: DataFrame) -> DataFrame:
+    return lists.select("loc", "m", F.inline("best")).select("loc", "m", "near", "near_m", "d2")
+
+
 def nearest_locations(places: DataFrame, k: int, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """(loc, m, near, near_m, d2): up to k nearest other locations of each location."""
-    axes = [c for c in places.columns if c.startswith("x")]
+    return _rows(nearest_lists(places, k, leaf_rows))
+
+
+def nearest_lists(places: DataFrame, k: int, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """(loc, m, best): the same as one list of (d2, near, near_m) for each location."""
+    axes = _axes(places)
     total = places.count()
-    wanted = 2 ** max(0, math.ceil(math.log2(max(total, 1) / leaf_rows)))
-    wanted = min(wanted, SAMPLE_ROWS // SAMPLE_PER_LEAF)
-    sample = np.zeros((0, len(axes)))
-    if wanted > 1:
-        rows = min(total, SAMPLE_PER_LEAF * wanted)
-        picked = places.orderBy(F.xxhash64("loc")).limit(rows).select(*axes)
-        sample = picked.toPandas().to_numpy()
-    nodes = _cut(sample, wanted) if wanted > 1 else []
-
-    @F.pandas_udf("long")
-    def leaf(frame: pd.DataFrame) -> pd.Series:
-        return pd.Series(_leaf_of(nodes, frame.to_numpy()))
-
-    treed = pin(places.withColumn("leaf", leaf(F.struct(*axes))))
-    corners = [F.min(x).alias(f"lo_{x}") for x in axes] + [F.max(x).alias(f"hi_{x}") for x in axes]
-    boxes = treed.groupBy("leaf").agg(*corners).orderBy("leaf").toPandas()
-    box_leaf = boxes["leaf"].to_numpy()
-    box_low = boxes[[f"lo_{x}" for x in axes]].to_numpy()
-    box_high = boxes[[f"hi_{x}" for x in axes]].to_numpy()
-
-    def within_leaf(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("loc", ignore_index=True)
-        points, rows = frame[axes].to_numpy(), np.arange(len(frame))
-        chunks = list(_nearest(points, points, k, rows))
-        row, place, near = (np.concatenate(part) for part in zip(*chunks))
-        first_of = np.searchsorted(row, rows[1:])
+    treed, depth = with_leaves(places, F.array(*axes), leaf_rows, total)
+    boxes = _boxes(treed, axes, depth)
+    # The root's children, 2**FAN_LEVELS at most; what lies deeper is joined level by level.
+    top = boxes.filter("parent = 0").orderBy("node").toPandas()
+    box_leaf = top["node"].to_numpy()
+    box_low = top[[f"lo_{x}" for x in axes]].to_numpy()
+    box_high = top[[f"hi_{x}" for x in axes]].to_numpy()
+
+    def within_leaf(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("loc")
+        points, rows = _points(table, axes), np.arange(table.num_rows)
+        row, place, near = (np.concatenate(part) for part in zip(*_nearest(points, points, k, rows)))
         # With fewer than k neighbours in the leaf, everything outside may matter.
         radius = np.full(len(points), np.inf)
         full = np.bincount(row, minlength=len(points)) >= k
         radius[full] = near[np.searchsorted(row, rows[full], side="right") - 1]
 
+        home = table["leaf"][0].as_py()
         seen_row, seen_box = [], []
         step = max(1, CHUNK_CELLS // len(box_leaf))
         for start in range(0, len(points), step):
@@ -174,33 +299,33 @@ def nearest_locations(places: DataFrame, k: int, leaf_rows: int = LEAF_ROWS) ->
                 gap = np.maximum(np.maximum(box_low[:, axis] - x, x - box_high[:, axis]), 0.0)
                 squared += gap * gap
             reached = squared <= radius[start : start + step, None]
-            reached &= box_leaf[None, :] != frame["leaf"].iloc[0]
+            reached &= box_leaf[None, :] != home
             r, b = np.nonzero(reached)
             seen_row.append(start + r)
             seen_box.append(box_leaf[b])
-        visits = np.split(
-            np.concatenate(seen_box), np.searchsorted(np.concatenate(seen_row), rows[1:])
-        )
-        return frame.assign(
-            near=np.split(frame["loc"].to_numpy()[place], first_of),
-            near_m=np.split(frame["m"].to_numpy()[place], first_of),
-            d2=np.split(near, first_of),
-            visits=visits,
-            radius=radius,
-        )
+        out = _with_lists(table.select(["loc", "m", *axes, "leaf"]), row, place, near)
+        visits = _lists(np.concatenate(seen_row), len(points), np.concatenate(seen_box))
+        return out.append_column("visits", visits).append_column("radius", pa.array(radius))
 
     schema = (
         "loc long, m long, " + ", ".join(f"{x} double" for x in axes) + ", leaf long, "
         "near array<long>, near_m array<long>, d2 array<double>, visits array<long>, radius double"
     )
-    tasks = python_tasks(places, len(box_leaf))
+    tasks = python_tasks(places, max(len(box_leaf), total // leaf_rows))
     leaves = treed.repartition(tasks, "leaf").groupBy("leaf")
-    first = pin(leaves.applyInPandas(within_leaf, schema))
-    own = first.select("loc", "m", F.inline(F.arrays_zip("near", "near_m", "d2")))
+    first = pin(leaves.applyInArrow(within_leaf, schema))
+    own = first.select("loc", "m", F.arrays_zip("d2", "near", "near_m").alias("best"))
 
-    asked = first.select("loc", "m", *axes, "radius", F.explode("visits").alias("leaf"))
+    asked = first.select(
+        "loc", "m", *axes, "radius", F.col("leaf").alias("home"), F.explode("visits").alias("leaf")
+    )
+    if depth > 1:
+        asked = _descend(asked, boxes, axes, depth)
+    asked = asked.drop("home")
     # One row per leaf. A leaf asked often is copied so that no task gets too many queries.
-    load = asked.groupBy("leaf").count().filter(F.col("count") > QUERY_BLOCK).collect()
+    load = []
+    if total > QUERY_BLOCK:
+        load = asked.groupBy("leaf").count().filter(F.col("count") > QUERY_BLOCK).collect()
     once = F.lit(0).cast("long")
     copied = treed
     if load:
@@ -216,82 +341,149 @@ def nearest_locations(places: DataFrame, k: int, leaf_rows: int = LEAF_ROWS) ->
     else:
         asked, copied = asked.withColumn("copy", once), copied.withColumn("copy", once)
 
-    def across(frame: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        columns = ["loc", "m", "near", "near_m", "d2"]
-        if frame.empty or queries.empty:
-            return pd.DataFrame(columns=columns)
-        frame = frame.sort_values("loc", ignore_index=True)
-        loc, m = frame["loc"].to_numpy(), frame["m"].to_numpy()
+    def across(table: pa.Table, queries: pa.Table) -> pa.Table:
+        names = ["loc", "m", "near", "near_m", "d2"]
+        kinds = [pa.int64()] * 4 + [pa.float64()]
+        if not table.num_rows or not queries.num_rows:
+            return pa.table([pa.array([], kind) for kind in kinds], names)
+        table = table.combine_chunks().sort_by("loc")
+        loc, m, radius = (t[c].to_numpy() for t, c in ((table, "loc"), (table, "m"), (queries, "radius")))
         q_loc, q_m = queries["loc"].to_numpy(), queries["m"].to_numpy()
-        radius = queries["radius"].to_numpy()
         parts = []
-        for row, place, near in _nearest(frame[axes].to_numpy(), queries[axes].to_numpy(), k):
+        for row, place, near in _nearest(_points(table, axes), _points(queries, axes), k):
             keep = near <= radius[row]
             row, place, near = row[keep], place[keep], near[keep]
-            parts.append(
-                pd.DataFrame(
-                    {"loc": q_loc[row], "m": q_m[row], "near": loc[place],
-                     "near_m": m[place], "d2": near}
-                )
-            )
-        return pd.concat(parts, ignore_index=True)
+            parts.append((q_loc[row], q_m[row], loc[place], m[place], near))
+        return pa.table([pa.array(np.concatenate(part)) for part in zip(*parts)], names)
 
     other = (
         copied.repartition(tasks, "leaf", "copy").groupBy("leaf", "copy")
         .cogroup(asked.repartition(tasks, "leaf", "copy").groupBy("leaf", "copy"))
-        .applyInPandas(across, "loc long, m long, near long, near_m long, d2 double")
-    )
-    order = Window.partitionBy("loc").orderBy("d2", "near")
-    return (
-        own.unionByName(other)
-        .withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= k)
-        .drop("place")
+        .applyInArrow(across, "loc long, m long, near long, near_m long, d2 double")
     )
+    single = other.select("loc", "m", F.array(F.struct("d2", "near", "near_m")).alias("best"))
+    return _nearest_of(own.unionByName(single), k, repeats=False)
+
+
+def _descend(asked: DataFrame, boxes: DataFrame, axes: Sequence[str], depth: int) -> DataFrame:
+    """Points with nodes within their radius, down to the leaves."""
+    boxes = pin(boxes)
+    inner = boxes.select(F.col("parent").alias("leaf")).distinct()
+    gaps = [F.greatest(F.col(f"lo_{x}") - F.col(x), F.col(x) - F.col(f"hi_{x}"), F.lit(0.0)) for x in axes]
+    square = gaps[0] * gaps[0]
+    for gap in gaps[1:]:
+        square = square + gap * gap
+    found = []
+    for _ in range(depth - 1):
+        found.append(asked.join(inner, "leaf", "left_anti"))
+        below = boxes.withColumnRenamed("parent", "leaf")
+        near = asked.join(below, "leaf").filter((square <= F.col("radius")) & (F.col("node") != F.col("home")))
+        asked = near.select("loc", "m", *axes, "radius", "home", F.col("node").alias("leaf"))
+    for part in found:
+        asked = asked.unionByName(part)
+    return asked
+
+
+def _directions(columns: int, trees: int, seed: int) -> np.ndarray:
+    """Random unit vectors, FOREST_DIRECTIONS for each tree."""
+    drawn = np.random.default_rng(seed).normal(size=(trees, FOREST_DIRECTIONS, columns))
+    return drawn / np.linalg.norm(drawn, axis=2, keepdims=True)
+
+
+def forest_locations(
+    places: DataFrame, k: int, trees: int = FOREST_TREES, leaf_rows: int = FOREST_LEAF_ROWS, seed: int = 17
+) -> DataFrame:
+    """(loc, m, near, near_m, d2): nearest others among those that share a leaf of any tree."""
+    return _rows(forest_lists(places, k, trees, leaf_rows, seed))
+
+
+def forest_lists(
+    places: DataFrame, k: int, trees: int = FOREST_TREES, leaf_rows: int = FOREST_LEAF_ROWS, seed: int = 17
+) -> DataFrame:
+    """(loc, m, best): the same as one list of (d2, near, near_m) for each location.
+
+    Every tree cuts all rows at medians of random directions, always along the widest; its leaves
+    hold at most twice ``leaf_rows`` rows. Distances are exact; of the true k nearest some are missed.
+    """
+    axes = _axes(places)
+    total = places.count()
+    directions = _directions(len(axes), trees, seed)
+
+    def planted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            points = frame[axes].to_numpy()
+            for tree in range(trees):
+                yield frame.assign(leaf=tree + 1, y=list(points @ directions[tree].T))
+
+    columns = ", ".join(f"{x} double" for x in axes)
+    schema = f"loc long, m long, {columns}, leaf long, y array<double>"
+    rooted = places.select("loc", "m", *axes).mapInPandas(planted, schema)
+    if total <= 2 * leaf_rows:
+        rooted = rooted.filter("leaf = 1")  # one leaf holds all
+    else:
+        rooted = pin(rooted)
+    treed, _ = with_leaves(rooted, F.col("y"), leaf_rows, total, range(1, trees + 1))
+
+    def within_leaf(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("loc")
+        points, rows = _points(table, axes), np.arange(table.num_rows)
+        row, place, near = (np.concatenate(part) for part in zip(*_nearest(points, points, k, rows)))
+        return _with_lists(table.select(["loc", "m"]), row, place, near)
+
+    tasks = python_tasks(places, max(1, trees * total // leaf_rows))
+    columns = "loc long, m long, near array<long>, near_m array<long>, d2 array<double>"
+    found = treed.drop("y").repartition(tasks, "leaf").groupBy("leaf").applyInArrow(within_leaf, columns)
+    lists = found.select("loc", "m", F.arrays_zip("d2", "near", "near_m").alias("best"))
+    return _nearest_of(lists, k, repeats=True)  # at most trees x k candidates a row
+
+
+SEARCHES = ("exact", "forest")
 
 
 def local_outlier_factor(
-    data: DataFrame, names: Sequence[str], k: int, total: int, leaf_rows: int = LEAF_ROWS
+    data: DataFrame, names: Sequence[str], k: int, total: int, leaf_rows: int | None = None, search: str = "exact"
 ) -> DataFrame:
     """(x0.., lof): negative outlier factor of each distinct row of ``names``."""
+    if search not in SEARCHES:
+        raise ValueError(f"search must be one of {SEARCHES}, not {search!r}")
     k = min(k, total - 1)
     places = locations(data, names)
-    near = nearest_locations(places, k, leaf_rows)
+    if search == "forest":
+        near = forest_lists(places, k, leaf_rows=leaf_rows or FOREST_LEAF_ROWS)
+    else:
+        near = nearest_lists(places, k, leaf_rows or LEAF_ROWS)
     # Copies of a point are its nearest neighbours, at distance 0; the rest of
     # the k come from other locations, each counted with its multiplicity.
-    running = Window.partitionBy("loc").orderBy("d2", "near").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    copies = F.least(F.col("m") - 1, F.lit(k))
+    open_slots = f"greatest({k} - m + 1, 0)"
+    weights = F.expr(
+        f"IF(m = 1 AND forall(best, n -> n.near_m = 1), transform(best, n -> 1L), transform(best, (n, i) -> "
+        f"least(n.near_m, {open_slots} - aggregate(slice(best, 1, i), 0L, (s, x) -> s + x.near_m))))"
     )
-    open_slots = k - (F.col("m") - 1) - (F.sum("near_m").over(running) - F.col("near_m"))
-    used = pin(
-        near.withColumn("w", F.least(F.col("near_m"), open_slots))
-        .filter("w > 0")
-        .select("loc", "near", "w", F.sqrt("d2").alias("d"))
+    used = F.filter(
+        F.transform(F.arrays_zip("best", "w"), lambda n: F.struct(
+            n["best"]["near"].alias("near"), n["w"].alias("w"), F.sqrt(n["best"]["d2"]).alias("d"))),
+        lambda n: n["w"] > 0,
     )
-    copies = F.least(F.col("m") - 1, F.lit(k))
-    reach = used.groupBy("loc").agg(F.max("d").alias("k_distance"))
-    spots = places.join(reach, "loc", "left").select(
-        "loc", copies.alias("copies"), F.coalesce("k_distance", F.lit(0.0)).alias("k_distance")
+    last = F.coalesce(F.element_at("used", -1)["d"], F.lit(0.0))
+    spots = pin(
+        near.withColumn("w", weights)
+        .select("loc", copies.alias("copies"), used.alias("used"))
+        .withColumn("k_distance", F.when(F.size("used") > 0, last).otherwise(0.0))
     )
+    links = spots.select("loc", "copies", "k_distance", F.inline_outer("used"))
     target = spots.select(F.col("loc").alias("near"), F.col("k_distance").alias("near_distance"))
-    reached = (
-        used.join(target, "near")
-        .groupBy("loc")
-        .agg(F.sum(F.col("w") * F.greatest("d", "near_distance")).alias("reach"))
-    )
-    total_reach = F.coalesce("reach", F.lit(0.0)) + F.col("copies") * F.col("k_distance")
+    # A location of nothing but copies has no links; its row stays.
+    reach = F.coalesce(F.sum(F.col("w") * F.greatest("d", "near_distance")), F.lit(0.0))
+    total_reach = reach + F.col("copies") * F.col("k_distance")
     density = pin(
-        spots.join(reached, "loc", "left").select(
-            "loc", "copies", (1.0 / (total_reach / k + 1e-10)).alias("density")
-        )
+        links.join(target, "near", "left").groupBy("loc", "copies", "k_distance")
+        .agg((1.0 / (total_reach / k + 1e-10)).alias("density"))
     )
     around = density.select(F.col("loc").alias("near"), F.col("density").alias("near_density"))
-    summed = (
-        used.join(around, "near")
-        .groupBy("loc")
-        .agg(F.sum(F.col("w") * F.col("near_density")).alias("around"))
+    summed = links.join(around, "near", "left").groupBy("loc").agg(
+        F.coalesce(F.sum(F.col("w") * F.col("near_density")), F.lit(0.0)).alias("around")
     )
-    own = F.col("copies") * F.col("density")
-    factor = -(F.coalesce("around", F.lit(0.0)) + own) / k / F.col("density")
-    scored = density.join(summed, "loc", "left").select("loc", factor.alias("lof"))
+    factor = -(F.col("around") + F.col("copies") * F.col("density")) / k / F.col("density")
+    scored = density.join(summed, "loc").select("loc", factor.alias("lof"))
     return places.join(scored, "loc").drop("loc", "m")

@@ -166,7 +166,7 @@ def _anomaly_issues(
             limit=config.max_data_points_for_ml,
         )
         found, methods = [{**skipped, "affected_rows": 0}], methods[:1]
-    scored = anomaly.anomaly_scores(df, row_key, config, with_lof=decision == "run")
+    scored = anomaly.anomaly_scores(df, row_key, config, lof=decision == "run")
     shown_columns = [c for c in numbers if c in scored.columns]
     both = anomaly.consensus(scored)
     one = scored.filter(F.col("iso_flag") != F.col("lof_flag"))

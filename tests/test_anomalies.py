@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from plumbline.config import QualityConfig
 from plumbline.operators import anomalies
 from plumbline.operators.isolation import isolation_scores, tree_samples
-from plumbline.operators.neighbours import local_outlier_factor, locations, nearest_locations
+from plumbline.operators.neighbours import (
+    forest_locations, local_outlier_factor, locations, nearest_locations,
+)
 
 CONFIG = QualityConfig()
 
@@ -73,6 +75,65 @@ def test_copied_leaves_give_the_same_neighbours(spark, monkeypatch):
     assert sorted(nearest_locations(places, 5, 40).select("loc", "near").collect()) == plain
 
 
+def sizes(treed):
+    return [r["count"] for r in treed.groupBy("leaf").count().collect()]
+
+
+@pytest.mark.parametrize("kind", ["plane", "grid", "hot point", "many columns"])
+def test_leaves_are_cut_until_small(spark, monkeypatch, kind):
+    """Two children a cut and few sampled rows: many levels, the same neighbours, no large leaf."""
+    from plumbline.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "FAN_LEVELS", 1)
+    monkeypatch.setattr(neighbours, "SAMPLE_PER_LEAF", 16)
+    points = clouds(kind)
+    names = [f"c{i}" for i in range(points.shape[1])]
+    df = spark.createDataFrame([tuple(map(float, p)) for p in points], ", ".join(f"{c} double" for c in names))
+    places = locations(df, names)
+    at = F.array(*[c for c in places.columns if c.startswith("x")])
+    treed, depth = neighbours.with_leaves(places, at, 40, places.count())
+    assert depth > 1 and max(sizes(treed)) <= 80 and sum(sizes(treed)) == places.count()
+    deep = sorted(nearest_locations(places, 5, 40).select("loc", "near").collect())
+    plain = sorted(nearest_locations(places, 5, 10**6).select("loc", "near").collect())
+    assert deep == plain
+
+
+def test_forest_finds_nearly_all_neighbours(spark):
+    random = np.random.default_rng(8)
+    centers = random.normal(size=(12, 15)) * 4
+    points = centers[random.integers(0, 12, 4000)] + random.normal(size=(4000, 15))
+    points[:40] += random.normal(size=(40, 15)) * 12
+    points[100:140] = points[100]
+    names = [f"c{i}" for i in range(15)]
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)],
+                               "k long, " + ", ".join(f"{c} double" for c in names))
+    places = locations(df, names)
+    exact = {tuple(r) for r in nearest_locations(places, 20).select("loc", "near", "d2").collect()}
+    found = {tuple(r) for r in forest_locations(places, 20, leaf_rows=200).select("loc", "near", "d2").collect()}
+    # What is found has its true distance, and hardly a neighbour is missed.
+    assert len(found & exact) >= 0.9 * len(exact)
+    assert len(found) == len(exact)
+
+    flags = {}
+    for search in ("exact", "forest"):
+        config = QualityConfig(anomaly_neighbour_search=search)
+        scored = anomalies.lof_scores(df, names, 4000, config, leaf_rows=200)
+        flagged = anomalies.flag_lowest(scored, ["lof_score"], 4000, 0.1).filter("lof_flag")
+        flags[search] = {r["k"] for r in flagged.select("k").collect()}
+    assert len(flags["exact"] & flags["forest"]) >= 0.9 * len(flags["exact"])
+    assert set(range(40)) <= flags["forest"]
+
+
+def test_forest_of_few_or_equal_rows(spark):
+    df = spark.createDataFrame([(0.0, 0.0), (1.0, 0.0), (5.0, 0.0)] + [(2.0, 2.0)] * 50, "a double, b double")
+    exact = local_outlier_factor(df, ["a", "b"], 20, 53).orderBy("x0").collect()
+    assert local_outlier_factor(df, ["a", "b"], 20, 53, search="forest").orderBy("x0").collect() == exact
+    same = spark.createDataFrame([(1.0, 2.0)] * 60, "a double, b double")
+    assert local_outlier_factor(same, ["a", "b"], 20, 60, search="forest").count() == 1
+    with pytest.raises(ValueError):
+        local_outlier_factor(df, ["a", "b"], 20, 53, search="some")
+
+
 def planted(spark, n=500, bad=10):
     rows = [
         (i, 1000.0 + 40 * i, -900.0 - 30 * i) if i < bad
