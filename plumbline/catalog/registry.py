@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.catalog import anomaly, fairness, models, quality, repairs
+from plumbline.catalog import anomaly, drift, fairness, models, quality, repairs
 from plumbline.catalog.views import Query
 
 REGISTRY: dict[str, tuple[Query, str | None]] = {
@@ -11,4 +11,5 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     **models.QUERIES,
     **repairs.QUERIES,
     **anomaly.QUERIES,
+    **drift.QUERIES,
 }
