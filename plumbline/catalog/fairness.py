@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.catalog.views import DECISIONS, table
+from plumbline.catalog.views import DECISIONS, SCORES, table
 from plumbline.config import FairnessConfig
 from plumbline.functions.columns import col
 from plumbline.functions.storage import pin
 from plumbline.functions.values import bands
-from plumbline.operators import groups, sensitive
+from plumbline.operators import groups, lattice, mergeable, sensitive
 from plumbline.plans.audit import audit
 
 CONFIG = FairnessConfig()
@@ -365,7 +365,112 @@ UNION ALL SELECT attribute, 'demographic_parity_difference', demographic_parity_
 UNION ALL SELECT attribute, 'equalized_odds_difference', equalized_odds_difference FROM summary
 UNION ALL SELECT attribute, 'equal_opportunity_difference', equal_opportunity_difference FROM summary"""
 
+# --- metrics beyond counts, and pruned intersections ---------------------------
+
+
+def group_auc(spark: SparkSession, folder: str) -> DataFrame:
+    """Area under the curve and calibration error of every group and pair of groups."""
+    metrics = {"auc": mergeable.AreaUnderCurve(), "calibration_error": mergeable.CalibrationError()}
+    found = mergeable.group_values(
+        SCORES.frame(spark, folder), "y_true", "score", ["gender", "status", "urgency"], metrics, depth=2
+    )
+    return found.withColumns({c: F.round(c, 9) for c in metrics})
+
+
+_SCORED_SETS = " UNION ALL ".join(
+    f"SELECT y_true, score, '{groups.JOIN_NAMES.join(m)}' AS attribute, "
+    f"concat_ws('{groups.JOIN_VALUES}', {', '.join(m)}) AS grp FROM v"
+    for m in groups.attribute_sets(["gender", "status", "urgency"], 2)
+)
+AUC_SQL = f"""WITH v AS ({SCORES.sql}), s AS ({_SCORED_SETS}),
+b AS (SELECT attribute, grp, least(floor(score * 1000), 999) AS bin, count(*) FILTER (y_true = 1) AS pos,
+  count(*) FILTER (y_true = 0) AS neg FROM s GROUP BY ALL),
+c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY attribute, grp ORDER BY bin
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM b),
+a AS (SELECT attribute, grp, sum(pos * (2 * below + neg)) / (2.0 * nullif(sum(pos) * sum(neg), 0)) AS auc
+  FROM c GROUP BY ALL),
+t AS (SELECT attribute, grp, least(floor(score * 10), 9) AS bin, count(*) AS n,
+  abs(sum(score) - sum(y_true)) AS off FROM s GROUP BY ALL),
+e AS (SELECT attribute, grp, CAST(sum(n) AS BIGINT) AS n, sum(off) / sum(n) AS calibration_error FROM t GROUP BY ALL)
+SELECT e.attribute, e.grp, e.n, round(a.auc, 9) AS auc, round(e.calibration_error, 9) AS calibration_error
+FROM e JOIN a ON a.attribute = e.attribute AND a.grp = e.grp"""
+
+LATTICE = ["gender", "status", "urgency", "race"]
+PRUNED = FairnessConfig(intersection_tolerance=0.03)
+
+
+def lattice_sets(spark: SparkSession, folder: str) -> DataFrame:
+    """Attribute sets looked at, with their large groups and those that show something new."""
+    counts = pin(groups.additive_counts(SCORES.frame(spark, folder), "y_true", "y_pred", LATTICE))
+    _, facts = lattice.pruned_counts(counts, LATTICE, PRUNED)
+    rows = [(f.attribute, f.n_groups, f.n_retained, f.n_changed, f.kept) for f in facts]
+    return spark.createDataFrame(
+        rows, "attribute string, n_groups long, n_retained long, n_changed long, kept boolean"
+    )
+
+
+def lattice_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of the kept sets."""
+    counts = pin(groups.additive_counts(SCORES.frame(spark, folder), "y_true", "y_pred", LATTICE))
+    return lattice.pruned_counts(counts, LATTICE, PRUNED)[0].drop("set_number")
+
+
+def _lattice_sql() -> str:
+    sets = groups.attribute_sets(LATTICE, CONFIG.max_intersection_depth)
+    parents = [
+        (i, sets.index(tuple(m for m in members if m != out)))
+        for i, members in enumerate(sets) if len(members) > 1 for out in members
+    ]
+    rolled = " UNION ALL ".join(
+        f"SELECT {i} AS s, {len(m)} AS size, '{groups.JOIN_NAMES.join(m)}' AS attribute, "
+        f"concat_ws('_', {', '.join(m)}) AS grp, "
+        + ", ".join(a if a in m else f"NULL AS {a}" for a in LATTICE)
+        + ", count(*) AS n, sum(y_pred) AS predicted, sum(y_pred * y_true) AS hits, "
+        f"sum(y_pred * (1 - y_true)) AS false_alarms, sum(y_true) AS positives FROM v GROUP BY {', '.join(m)}"
+        for i, m in enumerate(sets)
+    )
+    rates = {
+        "selection_rate": "predicted / n", "tpr": "coalesce(hits / nullif(positives, 0), 0)",
+        "fpr": "coalesce(false_alarms / nullif(n - positives, 0), 0)",
+    }
+    outside = " OR ".join(
+        f"any_value(g.{r}) < min(p.{r}) - {PRUNED.intersection_tolerance} "
+        f"OR any_value(g.{r}) > max(p.{r}) + {PRUNED.intersection_tolerance}" for r in rates
+    )
+    same = " AND ".join(f"(p.{a} IS NULL OR p.{a} = g.{a})" for a in LATTICE)
+    levels = []
+    for size in range(1, CONFIG.max_intersection_depth + 1):
+        ready = "TRUE" if size == 1 else (
+            f"(SELECT count(*) FROM links WHERE child = f.s AND parent IN (SELECT s FROM l{size - 1} "
+            f"WHERE kept AND n_retained > 0)) = {size}"
+        )
+        levels.append(
+            f"l{size} AS (SELECT f.*, {'TRUE' if size == 1 else 'n_changed > 0'} AS kept FROM f "
+            f"WHERE size = {size} AND {ready})"
+        )
+    every = " UNION ALL ".join(f"SELECT * FROM l{i + 1}" for i in range(len(levels)))
+    return f"""WITH v AS ({SCORES.sql}),
+g AS (SELECT *, {', '.join(f'{e} AS {r}' for r, e in rates.items())} FROM ({rolled})),
+links(child, parent) AS (VALUES {', '.join(map(str, parents))}),
+x AS (SELECT g.s, g.grp, ({outside}) AS changed FROM g JOIN links ON links.child = g.s
+  JOIN g AS p ON p.s = links.parent AND {same}
+  WHERE g.n >= {CONFIG.min_group_size} GROUP BY g.s, g.grp),
+f AS (SELECT g.s, size, attribute, count(*) AS n_groups, count(*) FILTER (n >= {CONFIG.min_group_size}) AS n_retained,
+  CASE WHEN size = 1 THEN count(*) FILTER (n >= {CONFIG.min_group_size})
+    ELSE (SELECT count(*) FROM x WHERE x.s = g.s AND changed) END AS n_changed FROM g GROUP BY g.s, size, attribute),
+{', '.join(levels)}, every AS ({every})"""
+
+
+LATTICE_SETS_SQL = f"{_lattice_sql()} SELECT attribute, n_groups, n_retained, n_changed, kept FROM every"
+LATTICE_GROUPS_SQL = f"""{_lattice_sql()}
+SELECT g.attribute, grp, n, CAST(predicted AS BIGINT) AS predicted, CAST(hits AS BIGINT) AS hits,
+  CAST(false_alarms AS BIGINT) AS false_alarms, CAST(positives AS BIGINT) AS positives
+FROM g JOIN every ON every.s = g.s WHERE every.kept"""
+
 QUERIES = {
+    "group_auc": (group_auc, AUC_SQL),
+    "lattice_sets": (lattice_sets, LATTICE_SETS_SQL),
+    "lattice_groups": (lattice_groups, LATTICE_GROUPS_SQL),
     "age_bands": (age_bands, AGE_BANDS_SQL),
     "detect_sex_by_value": (detect_sex_by_value, DETECT_SQL),
     "prepare_age_group": (

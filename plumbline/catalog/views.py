@@ -72,6 +72,20 @@ DECISIONS = View(
     ),
 )
 
+# Decisions with a score, for metrics that counts cannot express.
+SCORES = View(
+    "orders",
+    (
+        "CASE WHEN o_totalprice + (o_custkey % 97) * 2000 > 250000 THEN 1 ELSE 0 END AS y_true",
+        "o_totalprice / 450000 AS score",
+        "CASE WHEN o_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS gender",
+        "o_orderstatus AS status", "o_orderpriority AS urgency",
+        "CASE WHEN o_custkey % 11 < 5 THEN 'Asian' WHEN o_orderkey % 1000 = 7 THEN 'Rare' ELSE 'Other' END AS race",
+        "CASE WHEN o_totalprice > 200000 + CASE WHEN o_custkey % 2 = 1 AND o_custkey % 11 < 5 THEN 120000 ELSE 0 END "
+        "THEN 1 ELSE 0 END AS y_pred",
+    ),
+)
+
 # A table to model: demographic columns, features with gaps and a textual target.
 CASES = View(
     "orders",

@@ -88,6 +88,9 @@ class FairnessConfig:
     clinical_context: str = "disease_prediction"
     min_group_size: int = 30
     max_intersection_depth: int = 3
+    # Leave out intersections that change no rate by more than this beyond what the smaller ones
+    # show, and what would come of them; None: keep all.
+    intersection_tolerance: float | None = None
     # "as_coded": small groups stay in the parity and odds figures;
     # "strict": they are left out of every figure.
     small_groups: str = "as_coded"

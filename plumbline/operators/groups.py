@@ -77,17 +77,24 @@ def group_counts(counts: DataFrame, attributes: Sequence[str], depth: int) -> Da
     Rows are grouped by the separate values; the joined text is for display,
     so ("a_b", "c") and ("a", "b_c") stay different groups.
     """
-    sets = attribute_sets(attributes, depth)
+    sets = dict(enumerate(attribute_sets(attributes, depth)))
+    return counts_of_sets(counts, attributes, sets).select("attribute", "set_number", "grp", *COUNTS)
+
+
+def counts_of_sets(
+    counts: DataFrame, attributes: Sequence[str], sets: Mapping[int, Sequence[str]]
+) -> DataFrame:
+    """The same for chosen attribute sets by number; keeps the values a0.., null outside the set."""
     keys = {a: f"a{i}" for i, a in enumerate(attributes)}
     width = len(attributes)
     label, order = [], []
-    for number, members in enumerate(sets):
+    for number, members in sets.items():
         # Bit i (from the left) of grouping_id() is set when column i is rolled up.
         bits = sum(1 << (width - 1 - i) for i, a in enumerate(attributes) if a not in members)
         label += [F.lit(bits).cast("bigint"), F.lit(JOIN_NAMES.join(members))]
         order += [F.lit(bits).cast("bigint"), F.lit(number)]
     rolled = counts.groupingSets(
-        [[F.col(keys[a]) for a in members] for members in sets],
+        [[F.col(keys[a]) for a in members] for members in sets.values()],
         *[F.col(keys[a]) for a in attributes],
     ).agg(*[F.sum(c).alias(c) for c in COUNTS], F.grouping_id().alias("set_bits"))
     grouped = F.col("set_bits").cast("bigint")
@@ -95,6 +102,7 @@ def group_counts(counts: DataFrame, attributes: Sequence[str], depth: int) -> Da
         F.element_at(F.create_map(*label), grouped).alias("attribute"),
         F.element_at(F.create_map(*order), grouped).alias("set_number"),
         F.concat_ws(JOIN_VALUES, *[F.col(keys[a]) for a in attributes]).alias("grp"),
+        *keys.values(),
         *COUNTS,
     )
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from plumbline.config import FairnessConfig
 from plumbline.functions.columns import RowKey
 from plumbline.functions.storage import pin
-from plumbline.operators import groups
+from plumbline.operators import groups, lattice
 from plumbline.operators.scoring import score_proxy
 from plumbline.operators.sensitive import detect_sensitive, prepare_sensitive
 from plumbline.sources.writers import write_report
@@ -107,9 +107,13 @@ def audit(
     info = groups.dataset_info(counts).first().asDict()
 
     depth = config.max_intersection_depth
-    every = groups.group_metrics(
-        groups.group_counts(counts, attributes, depth), custom_metrics
-    )
+    names = [groups.JOIN_NAMES.join(m) for m in groups.attribute_sets(attributes, depth)]
+    if config.intersection_tolerance is None:
+        grouped = groups.group_counts(counts, attributes, depth)
+    else:
+        grouped, facts = lattice.pruned_counts(counts, attributes, config)
+        names = [f.attribute for f in facts if f.kept]
+    every = groups.group_metrics(grouped, custom_metrics)
     retained = groups.retained_groups(every, config)
     summary = pin(groups.attribute_summary(every, config))
     metrics = groups.attribute_metrics(summary, config)
@@ -120,7 +124,6 @@ def audit(
     )
     if diagnostics is not None:
         notes = notes.unionByName(diagnostics)
-    names = [groups.JOIN_NAMES.join(m) for m in groups.attribute_sets(attributes, depth)]
     return AuditReport(
         timestamp=datetime.now().isoformat(),
         dataset_info={**info, "groups_analyzed": names},
