@@ -17,6 +17,8 @@ from plumbline.llm import mixing, ngram_join, packing, quality_classifier, subst
 from plumbline.llm.tables import read
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Near copies share four fifths of their five-word shingles.
+NEAR_COPIES = ngram_join.Rule(5, (80, 100))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +28,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(
-    spark: SparkSession, docs: DataFrame, sf_dir: str, rule: ngram_join.Rule = ngram_join.Rule()
+    spark: SparkSession, docs: DataFrame, sf_dir: str, rule: ngram_join.Rule = NEAR_COPIES
 ) -> DataFrame:
-    """Of each group of linked documents the one of the smallest doc_id; as op2 links them, if no rule is given."""
+    """Of each group of documents linked by ``rule`` the one of the smallest doc_id.
+
+    Rows of equal keys, or without one, whose texts are linked are one document.
+    """
     return ngram_join.first_of_components(docs.select(*COLUMNS), rule=rule)
 
 
