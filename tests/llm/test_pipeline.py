@@ -9,6 +9,7 @@ import sys
 import corpus_pipeline
 from plumbline.llm import quality_classifier
 from tests.llm import brute
+from tests.llm.test_rules import components_by
 
 FOLDER = "/root/testdata/sf0.001"
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -35,7 +36,7 @@ def test_stages(spark, tmp_path):
     assert all(r.text == texts[r.doc_id] for r in left)
 
     given, left = kept[1]
-    found = brute.jaccard_components([(r.doc_id, r.text) for r in given])
+    found = components_by([(r.doc_id, r.text) for r in given], corpus_pipeline.NEAR_COPIES)
     assert {r.doc_id for r in left} == {c if n else k for k, n, c in found}
 
     given, left = kept[2]
