@@ -55,21 +55,26 @@ def _level(smaller: int, share: tuple[int, int]) -> int:
 def tile_keys(members: np.ndarray, share: tuple[int, int] = LEAST) -> np.ndarray:
     """Keys of the tiles a set lies in.
 
-    The hash range is cut into equal parts, more than the elements in which two linked sets of this
-    size band can differ; so two linked sets agree in all elements of some part, or in having none.
-    A part's key is a hash of its elements. Sets whose band reaches into further powers of two lie
-    in the tiles of each. Sets so small that linked ones are equal lie in none.
+    The hash range is cut into equal parts, a quarter more than the elements in which two linked sets
+    of this size band can differ; so two linked sets agree in all elements of some part, or in having
+    none. If they agree in no other way, all parts that hold something differ, and so few can that
+    nearly all are empty: only then empty parts have keys, and unrelated sets do not meet in them. A
+    part's key is a hash of its elements. Sets whose band reaches into further powers of two lie in
+    the tiles of each. Sets so small that linked ones are equal lie in none.
     """
     least, whole = share
     n = len(members)
     out = []
     for level in range(max(1, _level(-(-n * least // whole), share)), _level(n, share) + 1):
-        part = (members >> np.uint64(64 - level)).astype(np.int64)
+        parts = ((5 << level) + 3) // 4
+        part = ((members >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(members), dtype=np.uint64)))
-        edges = np.searchsorted(part, np.arange((1 << level) + 1))
+        edges = np.searchsorted(part, np.arange(parts + 1))
         content = sums[edges[1:]] - sums[edges[:-1]]
-        parts = np.arange(1 << level, dtype=np.uint64) + np.uint64(1 << level)
-        out.append(mix(content + mix(parts)))
+        keys = mix(content + mix(np.arange(parts, dtype=np.uint64) + np.uint64(2 << level)))
+        full = edges[1:] > edges[:-1]
+        apart = min((1 << level) - 1, n * (whole - least) // least)
+        out.append(keys if (~full).sum() >= parts - apart else keys[full])
     return np.concatenate(out) if out else members[:0]
 
 

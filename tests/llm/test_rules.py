@@ -99,3 +99,12 @@ def test_rules_that_make_no_sense():
     for shingle, least in ((0, (9, 10)), (3, (0, 1)), (3, (11, 10))):
         with pytest.raises(ValueError):
             ngram_join.Rule(shingle, least)
+
+
+@pytest.mark.parametrize("least", [(90, 100), (80, 100)])
+def test_unrelated_sets_do_not_meet_in_empty_parts(least):
+    draw = np.random.default_rng(4)
+    sizes = draw.integers(30, 900, 300)
+    tiles = [np.unique(tile_keys(np.unique(draw.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)), least)) for n in sizes]
+    keys, times = np.unique(np.concatenate(tiles), return_counts=True)
+    assert (times == 1).all() and len(keys) > 300
