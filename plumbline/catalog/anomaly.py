@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from plumbline.catalog.views import PARTS, VITALS, VITALS_NUMBERS, table
 from plumbline.config import QualityConfig
 from plumbline.functions.storage import pin, shared_folder, spread
-from plumbline.operators import anomalies
-from plumbline.operators.isolation import isolation_scores
+from plumbline.operators import anomalies, explain, histogram
+from plumbline.operators.isolation import fit_forest, forest_scores, isolation_scores
 from plumbline.operators.repair import Fix, apply_fixes
 from plumbline.plans.validate import validate
 from plumbline.sources.writers import write_table
@@ -130,7 +130,73 @@ EXPORT_OUTLYING_SQL = f"""WITH f AS ({LOF_SQL}), p AS ({PARTS.sql})
 SELECT p.* FROM p JOIN f ON f.row_key = p.row_key WHERE f.lof_flag"""
 
 
+# --- without neighbours, and why --------------------------------------------------
+
+_LINE_NUMBERS = ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+_LINE_KEY = ("l_orderkey", "l_linenumber")
+
+
+def histogram_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Outlier score of every line from one histogram a column."""
+    lines = table(spark, folder, "lineitem").select(*_LINE_KEY, *_LINE_NUMBERS)
+    scored = histogram.histogram_scores(lines, _LINE_NUMBERS)
+    return scored.select(*_LINE_KEY, F.round("histogram_score", 6).alias("histogram_score"))
+
+
+def _histogram_sql() -> str:
+    shares = [i / histogram.BINS for i in range(histogram.BINS + 1)]
+    parts, joins, terms = [], [], []
+    for i, c in enumerate(_LINE_NUMBERS):
+        number = f"len(list_filter(e{i}.e[2 : len(e{i}.e) - 1], lambda x: x <= {c}))"
+        parts.append(
+            f"e{i} AS (SELECT list_sort(list_distinct(quantile_cont(CAST({c} AS DOUBLE), {shares}))) AS e FROM lineitem), "
+            f"b{i} AS (SELECT {number} AS bin, count(*) AS n FROM lineitem, e{i} GROUP BY 1), "
+            f"d{i} AS (SELECT bin, n / CASE WHEN len(e) > 1 THEN e[bin + 2] - e[bin + 1] ELSE 1 END AS d FROM b{i}, e{i}), "
+            f"s{i} AS (SELECT bin, -ln(d / (SELECT max(d) FROM d{i})) AS s FROM d{i})"
+        )
+        joins.append(f"CROSS JOIN e{i} JOIN s{i} ON s{i}.bin = {number}")
+        terms.append(f"s{i}.s")
+    return (
+        f"WITH {', '.join(parts)} SELECT {', '.join(_LINE_KEY)}, round({' + '.join(terms)}, 6) AS histogram_score "
+        f"FROM lineitem {' '.join(joins)}"
+    )
+
+
+def flag_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines with a value beyond 1.7 standard deviations, and their three most unusual columns."""
+    lines = table(spark, folder, "lineitem").select(*_LINE_KEY, *_LINE_NUMBERS)
+    found = explain.deviations(lines, _LINE_KEY, _LINE_NUMBERS, 1.7)
+    each = found.select(*_LINE_KEY, F.posexplode("reasons").alias("rank", "reason"))
+    return each.select(
+        *_LINE_KEY, (F.col("rank") + 1).alias("rank"), "reason.column", F.round("reason.value", 6).alias("deviations")
+    )
+
+
+_DISTANCES = ", ".join(f"{{'o': -abs({c} - m_{c}) / s_{c}, 'c': '{c}'}}" for c in _LINE_NUMBERS)
+REASONS_SQL = f"""WITH m AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}' for c in _LINE_NUMBERS)}
+  FROM lineitem),
+z AS (SELECT {', '.join(_LINE_KEY)}, list_sort([{_DISTANCES}]) AS z FROM lineitem, m),
+r AS (SELECT *, unnest([1, 2, 3]) AS rank FROM z WHERE -z[1].o > 1.7)
+SELECT {', '.join(_LINE_KEY)}, rank, z[rank].c AS "column", round(-z[rank].o, 6) AS deviations FROM r"""
+
+
+def forest_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    """Events the forest flags, with the columns that isolate them."""
+    numbers = ["user_id", "value"]
+    events = table(spark, folder, "events").select("event_id", *numbers)
+    rows, sizes = anomalies.present_counts(events, numbers)
+    filled, names = anomalies.fill_for_anomalies(events, "event_id", numbers, sizes)
+    filled = pin(spread(filled, rows))
+    forest = fit_forest(filled, names, "event_id", rows, CONFIG)
+    scored = pin(forest_scores(filled, names, forest))
+    flagged = anomalies.flag_lowest(scored, ["iso_score"], rows, CONFIG.anomaly_contamination).filter("iso_flag")
+    return explain.forest_reasons(flagged, names, forest).select("event_id", "iso_score", "reasons")
+
+
 QUERIES = {
+    "histogram_scores": (histogram_scores, _histogram_sql()),
+    "flag_reasons": (flag_reasons, REASONS_SQL),
+    "forest_reasons": (forest_reasons, None),
     "forest_flags": (forest_flags, FOREST_FLAGS_SQL),
     "export_outlying": (export_outlying, EXPORT_OUTLYING_SQL),
     "median_impute": (median_impute, MEDIAN_SQL),

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.catalog.views import DECISIONS, SCORES, table
+from plumbline.catalog.views import DECISIONS, LANGUAGES, SCORES, table
 from plumbline.config import FairnessConfig
 from plumbline.functions.columns import col
 from plumbline.functions.storage import pin
 from plumbline.functions.values import bands
-from plumbline.operators import groups, lattice, mergeable, sensitive
+from plumbline.operators import classes, groups, lattice, mergeable, sensitive
 from plumbline.plans.audit import audit
 
 CONFIG = FairnessConfig()
@@ -395,6 +395,57 @@ e AS (SELECT attribute, grp, CAST(sum(n) AS BIGINT) AS n, sum(off) / sum(n) AS c
 SELECT e.attribute, e.grp, e.n, round(a.auc, 9) AS auc, round(e.calibration_error, 9) AS calibration_error
 FROM e JOIN a ON a.attribute = e.attribute AND a.grp = e.grp"""
 
+# --- more than two classes ---------------------------------------------------------
+
+_CLASS_COLUMNS = (
+    "attribute", "grp", "class", "n", "support", "predicted", "hits", "selection_rate", "precision", "tpr", "fpr",
+    "accuracy",
+)
+_CLASS_SETS = ["source", "size"]
+
+
+def _confusion(spark: SparkSession, folder: str) -> DataFrame:
+    counts = classes.confusion_counts(LANGUAGES.frame(spark, folder), "y_true", "y_pred", _CLASS_SETS)
+    return pin(classes.group_confusion(pin(counts), _CLASS_SETS, depth=2))
+
+
+def class_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """Every language against the rest, by source, size and both."""
+    return classes.class_metrics(_confusion(spark, folder)).select(*_CLASS_COLUMNS)
+
+
+def macro_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    found = classes.macro_metrics(classes.class_metrics(_confusion(spark, folder))).drop("members")
+    return found.withColumns({c: F.round(c, 9) for c in found.columns if c.startswith("macro")})
+
+
+def class_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    return classes.class_gaps(classes.class_metrics(_confusion(spark, folder)))
+
+
+_LABELLED = " UNION ALL ".join(
+    f"SELECT '{groups.JOIN_NAMES.join(m)}' AS attribute, concat_ws('_', {', '.join(m)}) AS grp, y_true, y_pred FROM v"
+    for m in groups.attribute_sets(_CLASS_SETS, 2)
+)
+_CLASSES_SQL = f"""WITH v AS ({LANGUAGES.sql}), g AS ({_LABELLED}),
+t AS (SELECT attribute, grp, count(*) AS n FROM g GROUP BY ALL),
+c AS (SELECT attribute, grp, class, CAST(sum(s) AS BIGINT) AS support, CAST(sum(p) AS BIGINT) AS predicted,
+  CAST(sum(h) AS BIGINT) AS hits FROM (
+    SELECT attribute, grp, y_true AS class, 1 AS s, 0 AS p, CASE WHEN y_true = y_pred THEN 1 ELSE 0 END AS h FROM g
+    UNION ALL SELECT attribute, grp, y_pred, 0, 1, 0 FROM g) GROUP BY ALL),
+m AS (SELECT c.*, n, predicted / n AS selection_rate, coalesce(hits / nullif(predicted, 0), 0) AS precision,
+  coalesce(hits / nullif(support, 0), 0) AS tpr, coalesce((predicted - hits) / nullif(n - support, 0), 0) AS fpr,
+  (2 * hits + n - support - predicted) / n AS accuracy
+  FROM c JOIN t ON t.attribute = c.attribute AND t.grp = c.grp)"""
+CLASS_SQL = f"{_CLASSES_SQL} SELECT {', '.join(_CLASS_COLUMNS)} FROM m"
+MACRO_SQL = f"""{_CLASSES_SQL} SELECT attribute, grp, max(n) AS n, count(*) AS n_classes, sum(hits) / max(n) AS accuracy,
+  round(avg(precision), 9) AS macro_precision,
+  round(avg(tpr), 9) AS macro_tpr, round(avg(fpr), 9) AS macro_fpr FROM m GROUP BY attribute, grp"""
+CLASS_GAPS_SQL = f"""{_CLASSES_SQL} SELECT attribute, class, count(*) AS n_groups,
+  max(selection_rate) - min(selection_rate) AS parity_difference,
+  greatest(max(tpr) - min(tpr), max(fpr) - min(fpr)) AS odds_difference,
+  max(tpr) - min(tpr) AS opportunity_difference FROM m WHERE n >= 30 GROUP BY attribute, class"""
+
 LATTICE = ["gender", "status", "urgency", "race"]
 PRUNED = FairnessConfig(intersection_tolerance=0.03)
 
@@ -468,6 +519,9 @@ SELECT g.attribute, grp, n, CAST(predicted AS BIGINT) AS predicted, CAST(hits AS
 FROM g JOIN every ON every.s = g.s WHERE every.kept"""
 
 QUERIES = {
+    "class_metrics": (class_metrics, CLASS_SQL),
+    "macro_metrics": (macro_metrics, MACRO_SQL),
+    "class_gaps": (class_gaps, CLASS_GAPS_SQL),
     "group_auc": (group_auc, AUC_SQL),
     "lattice_sets": (lattice_sets, LATTICE_SETS_SQL),
     "lattice_groups": (lattice_groups, LATTICE_GROUPS_SQL),

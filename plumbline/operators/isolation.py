@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from plumbline.functions.storage import python_tasks
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _expected_depth(n):
+def expected_depth(n):
     """Mean depth of an unsuccessful search in a binary tree of n rows."""
     n = np.asarray(n, dtype=float)
     safe = np.maximum(n, 3.0)
@@ -32,18 +33,19 @@ def _fit_tree(rows: np.ndarray, seed: Sequence[int]) -> dict[str, list]:
     """Random splits until rows are alone, alike or the depth limit is reached."""
     random = np.random.default_rng(seed)
     limit = math.ceil(math.log2(max(len(rows), 2)))
-    tree: dict[str, list] = {"axis": [], "value": [], "left": [], "right": [], "depth": []}
+    tree: dict[str, list] = {"axis": [], "value": [], "left": [], "right": [], "depth": [], "size": []}
 
     def grow(part: np.ndarray, depth: int) -> int:
         here = len(tree["axis"])
         for cells in tree.values():
             cells.append(0)
+        tree["size"][here] = len(part)
         low, high = part.min(axis=0), part.max(axis=0)
         open_axes = np.flatnonzero(high > low)
         if depth >= limit or len(part) <= 1 or not len(open_axes):
             tree["axis"][here] = -1
             tree["value"][here] = 0.0
-            tree["depth"][here] = float(depth + _expected_depth(len(part)))
+            tree["depth"][here] = float(depth + expected_depth(len(part)))
             return here
         axis = int(random.choice(open_axes))
         value = float(random.uniform(low[axis], high[axis]))
@@ -90,10 +92,19 @@ def tree_samples(
     )
 
 
-def isolation_scores(
+@dataclass(frozen=True)
+class Forest:
+    """Trees as arrays over their nodes; a negative axis marks a leaf."""
+
+    trees: list[dict[str, np.ndarray]]
+    #: expected depth of a tree's whole sample
+    scale: float
+
+
+def fit_forest(
     data: DataFrame, names: Sequence[str], row_key: RowKey, total: int, config: QualityConfig
-) -> DataFrame:
-    """Add ``iso_score``: minus the anomaly score, so lower means more anomalous."""
+) -> Forest:
+    """Trees over hashed samples, fitted side by side; at most trees x (2 x rows - 1) nodes."""
     axes = [f"x{i}" for i in range(len(names))]
     seed = config.anomaly_seed
 
@@ -105,23 +116,25 @@ def isolation_scores(
 
     schema = (
         "tree int, axis array<int>, value array<double>, left array<int>, right array<int>, "
-        "depth array<double>"
+        "depth array<double>, size array<int>"
     )
     samples = tree_samples(data, names, row_key, total, config)
-    # At most trees x (2 x rows - 1) nodes, fixed by the config.
-    forest = [
-        {k: np.array(r[k]) for k in ("axis", "value", "left", "right", "depth")}
-        for r in samples.groupBy("__tree").applyInPandas(fit, schema).orderBy("tree").collect()
-    ]
+    fitted = samples.groupBy("__tree").applyInPandas(fit, schema).orderBy("tree").collect()
+    parts = ("axis", "value", "left", "right", "depth", "size")
+    trees = [{k: np.array(r[k]) for k in parts} for r in fitted]
+    return Forest(trees, float(expected_depth(min(total, config.anomaly_tree_rows))))
+
+
+def forest_scores(data: DataFrame, names: Sequence[str], forest: Forest) -> DataFrame:
+    """Add ``iso_score``: minus the anomaly score, so lower means more anomalous."""
     shared = data.sparkSession.sparkContext.broadcast(forest)
-    scale = float(_expected_depth(min(total, config.anomaly_tree_rows)))
 
     @F.pandas_udf("double")
     def score(frame: pd.DataFrame) -> pd.Series:
         points = frame.to_numpy(dtype=float)
         rows = np.arange(len(points))
         depth = np.zeros(len(points))
-        for tree in shared.value:
+        for tree in shared.value.trees:
             at = np.zeros(len(points), dtype=np.int64)
             while True:
                 axis = tree["axis"][at]
@@ -132,6 +145,13 @@ def isolation_scores(
                 step = np.where(goes_left, tree["left"][at], tree["right"][at])
                 at = np.where(inner, step, at)
             depth += tree["depth"][at]
-        return pd.Series(-(2.0 ** (-depth / len(shared.value) / scale)))
+        return pd.Series(-(2.0 ** (-depth / len(shared.value.trees) / shared.value.scale)))
 
     return data.withColumn("iso_score", score(F.struct(*[col(c) for c in names])))
+
+
+def isolation_scores(
+    data: DataFrame, names: Sequence[str], row_key: RowKey, total: int, config: QualityConfig
+) -> DataFrame:
+    """Add ``iso_score`` from a forest fitted to the same rows."""
+    return forest_scores(data, names, fit_forest(data, names, row_key, total, config))
