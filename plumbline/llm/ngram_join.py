@@ -2,7 +2,8 @@
 
 1. Equal shingle sets become one class before anything is compared.
 2. A class lies in the tiles of its size band; linked classes share a tile (see ``shingles``). Map
-   tasks put equal tiles together first and send one class a tile.
+   tasks put equal tiles together first and send one class a tile. Every class then leaves its most
+   crowded tiles, as many as it can spare, which are mostly those of passages that many share.
 3. Inside a tile bit counts rule out most members; every class is tested against the first one that
    they let pass, and what links is one component.
 4. Tiles that still hold several components compare their members' bitmaps, and pairs of different
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from plumbline.functions.storage import pin
 from plumbline.llm.components import components, forest_roots
 from plumbline.llm.repeats import identified
-from plumbline.llm.shingles import LEAST, SHINGLE, bitmap, folded, linked, overlap_possible, set_hash, sets_of, tile_keys
+from plumbline.llm.shingles import (
+    LEAST, SHINGLE, SPARE_BITS, bitmap, folded, linked, overlap_possible, set_hash, sets_of, tiles_of,
+)
 from plumbline.llm.tables import by_batch, read
 from plumbline.llm.texts import chunks
 
@@ -71,6 +74,7 @@ def _tile_rows(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Rec
     """Tile rows: one class a tile under salt 0, all classes of tiles with several under others."""
     seen: set[int] = set()
     keys: list[np.ndarray] = []
+    spares: list[np.ndarray] = []
     owners: list[int] = []
     size = 0
 
@@ -78,7 +82,7 @@ def _tile_rows(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Rec
         key = np.concatenate(keys).view(np.int64)
         owner = np.repeat(np.array(owners, np.int64), [len(k) for k in keys])
         order = np.lexsort((owner, key))
-        key, owner = key[order], owner[order]
+        key, owner, spare = key[order], owner[order], np.concatenate(spares)[order]
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
         shared = ~new
@@ -87,8 +91,9 @@ def _tile_rows(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Rec
         return pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate((key[new], key[shared]))),
              pa.array(np.concatenate((np.zeros(new.sum(), np.int64), salt)).astype(np.int32)),
-             pa.array(np.concatenate((owner[new], owner[shared])))],
-            ["key", "salt", "class"],
+             pa.array(np.concatenate((owner[new], owner[shared]))),
+             pa.array(np.concatenate((spare[new], spare[shared])))],
+            ["key", "salt", "class", "spare"],
         )
 
     for batch in batches:
@@ -99,14 +104,15 @@ def _tile_rows(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Rec
                     continue
                 if len(seen) < TILE_ROWS:
                     seen.add(name)
-                tiles = tile_keys(members, rule.least)
+                tiles, spare = tiles_of(members, rule.least)
                 if len(tiles):
                     keys.append(tiles)
+                    spares.append(spare)
                     owners.append(name)
                     size += len(tiles)
             if size > TILE_ROWS:
                 yield give()
-                keys, owners, size = [], [], 0
+                keys, spares, owners, size = [], [], [], 0
     if keys:
         yield give()
 
@@ -116,7 +122,7 @@ def _shared_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     rest: pa.RecordBatch | None = None
 
     def find(batch: pa.RecordBatch) -> pa.RecordBatch:
-        key, salt, name = (np.asarray(batch.column(i)) for i in range(3))
+        key, salt, name, spare = (np.asarray(batch.column(i)) for i in range(4))
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
         group = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
@@ -126,7 +132,7 @@ def _shared_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         again = np.zeros(len(key), bool)
         again[1:] = ~new[1:] & (name[1:] == name[:-1])
         keep = ((salt > 0) | several[number]) & ~again
-        return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(name[keep])], ["key", "class"])
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, name, spare)], ["key", "class", "spare"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -244,11 +250,17 @@ def _open_pairs(batches: Iterator[pa.RecordBatch], one_each: bool, rule: Rule) -
 def class_links(docs: DataFrame, classed: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """Pairs (a, b) of classes that verified links connect, enough to span every component."""
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tiles = pin(
-        docs.select("text").mapInArrow(lambda batches: _tile_rows(batches, rule), "key long, salt int, class long")
+    schema = "key long, salt int, class long, spare int"
+    given = pin(
+        docs.select("text").mapInArrow(lambda batches: _tile_rows(batches, rule), schema)
         .repartition(tasks, "key", "salt").sortWithinPartitions("key", "salt", "class")
-        .mapInArrow(_shared_tiles, "key long, class long")
+        .mapInArrow(_shared_tiles, "key long, class long, spare int").distinct()
     )
+    # By one order for all: the number of members, then the key.
+    crowd = given.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    most = Window.partitionBy("class", "spare").orderBy(F.desc("members"), "key")
+    ranked = given.join(crowd, "key").withColumn("place", F.row_number().over(most))
+    tiles = pin(ranked.where(F.col("place") > F.col("spare").bitwiseAND((1 << SPARE_BITS) - 1)).select("key", "class"))
     bits = pin(classed.where("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.first("bits").alias("bits")))
 
     def compared(members: DataFrame, one_each: bool) -> DataFrame:

@@ -52,8 +52,17 @@ def _level(smaller: int, share: tuple[int, int]) -> int:
     return (smaller * (whole - least) // least).bit_length()
 
 
+#: Bits of ``spare`` that hold the number of tiles; the level lies above them.
+SPARE_BITS = 25
+
+
 def tile_keys(members: np.ndarray, share: tuple[int, int] = LEAST) -> np.ndarray:
-    """Keys of the tiles a set lies in.
+    """Keys of the tiles a set lies in."""
+    return tiles_of(members, share)[0]
+
+
+def tiles_of(members: np.ndarray, share: tuple[int, int] = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the tiles a set lies in, and for each its level and how many of that level it can spare.
 
     The hash range is cut into equal parts, a quarter more than the elements in which two linked sets
     of this size band can differ; so two linked sets agree in all elements of some part, or in having
@@ -61,10 +70,14 @@ def tile_keys(members: np.ndarray, share: tuple[int, int] = LEAST) -> np.ndarray
     nearly all are empty: only then empty parts have keys, and unrelated sets do not meet in them. A
     part's key is a hash of its elements. Sets whose band reaches into further powers of two lie in
     the tiles of each. Sets so small that linked ones are equal lie in none.
+
+    Linked sets agree in at least as many parts as there are beyond those they can differ in. A set
+    that leaves its most crowded tiles, one less than that, still meets every linked one: of the
+    tiles a pair agrees in, the least crowded is dropped by neither, if both go by one order.
     """
     least, whole = share
     n = len(members)
-    out = []
+    out, spare = [], []
     for level in range(max(1, _level(-(-n * least // whole), share)), _level(n, share) + 1):
         parts = ((5 << level) + 3) // 4
         part = ((members >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
@@ -74,8 +87,17 @@ def tile_keys(members: np.ndarray, share: tuple[int, int] = LEAST) -> np.ndarray
         keys = mix(content + mix(np.arange(parts, dtype=np.uint64) + np.uint64(2 << level)))
         full = edges[1:] > edges[:-1]
         apart = min((1 << level) - 1, n * (whole - least) // least)
-        out.append(keys if (~full).sum() >= parts - apart else keys[full])
-    return np.concatenate(out) if out else members[:0]
+        empty = int((~full).sum())
+        if empty < parts - apart:
+            keys = keys[full]
+            more = parts - apart - empty - 1
+        else:
+            more = parts - apart - 1
+        out.append(keys)
+        spare.append(np.full(len(keys), (level << SPARE_BITS) + min(more, (1 << SPARE_BITS) - 1), np.int32))
+    if not out:
+        return members[:0], np.zeros(0, np.int32)
+    return np.concatenate(out), np.concatenate(spare)
 
 
 def bitmap(members: np.ndarray) -> np.ndarray:

@@ -108,3 +108,22 @@ def test_unrelated_sets_do_not_meet_in_empty_parts(least):
     tiles = [np.unique(tile_keys(np.unique(draw.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)), least)) for n in sizes]
     keys, times = np.unique(np.concatenate(tiles), return_counts=True)
     assert (times == 1).all() and len(keys) > 300
+
+
+def test_copies_among_documents_that_share_passages(spark):
+    """Most tiles of these documents are crowded; no link may be lost with those they leave."""
+    draw = random.Random(21)
+    passages = [[f"p{k}_{i}" for i in range(60)] for k in range(3)]
+    rows = []
+    for _ in range(50):
+        own = [f"w{draw.randrange(9000)}" for _ in range(draw.choice([20, 60, 150]))]
+        body = own + [w for p in passages[: draw.randrange(4)] for w in p]
+        rows += [body, [f"e{draw.randrange(99)}" if draw.random() < 0.02 else w for w in body]]
+        rows += [body[: len(body) * 88 // 100]]
+    draw.shuffle(rows)
+    rows = [(i, " ".join(words)) for i, words in enumerate(rows)]
+    for rule in (WIDER, ngram_join.Rule(5, (60, 100))):
+        got = ngram_join.join_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rule=rule)
+        assert brute.ordered(got.collect()) == brute.ordered(
+            (key, n, least if n else key) for key, n, least in components_by(rows, rule)
+        )
