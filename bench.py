@@ -24,7 +24,8 @@ HEADLINE = (
     "profile_top_categories", "audit_orders", "attribute_metrics", "bias_violations",
     "impute_sensitive_mode", "fix_chain", "fix_dedup_first", "fix_outliers_median",
     "median_impute", "isolation_forest", "lof", "anomaly_consensus", "binarize_target",
-    "label_encode", "audit_end_to_end",
+    "label_encode", "audit_end_to_end", "validate_lines", "stream_counts", "drift_changes",
+    "group_auc", "lattice_sets", "histogram_scores", "class_metrics",
 )
 
 

@@ -26,6 +26,7 @@ from plumbline.texts import QUALITY_ADVICE, QUALITY_ADVICE_NONE
 CONFIG = QualityConfig()
 # The anomaly checks draw random trees and have queries of their own.
 WITHOUT_ANOMALIES = QualityConfig(run_anomaly_checks=False)
+WITH_FOREST = QualityConfig(anomaly_neighbour_search="forest")
 
 LINEITEM_COLUMNS = (
     "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
@@ -462,7 +463,10 @@ FROM issues WHERE severity IN ('critical', 'warning') GROUP BY 1"""
 
 
 def validate_lineitem(spark: SparkSession, folder: str) -> DataFrame:
-    """Full validation of the largest table; its size decides about the anomaly checks."""
+    """Validation of the largest table's measured columns, without the anomaly checks.
+
+    ``validate_lines`` takes all columns, ``validate_wide`` the anomaly checks too.
+    """
     frame = table(spark, folder, "lineitem").select(*LINEITEM_COLUMNS).withColumns(
         {"line": F.col("l_linenumber"), "order_key": F.col("l_orderkey"),
          "part": F.col("l_partkey"), "supplier": F.col("l_suppkey")}
@@ -499,6 +503,12 @@ def validate_lines(spark: SparkSession, folder: str) -> DataFrame:
     return report.issues.select(*ISSUE_COLUMNS)
 
 
+def validate_wide(spark: SparkSession, folder: str) -> DataFrame:
+    """Full validation of the largest table with both anomaly methods, neighbours from a forest."""
+    report = validate(LINES.frame(spark, folder), ["order_key", "line"], WITH_FOREST)
+    return report.issues.select(*ISSUE_COLUMNS)
+
+
 VALIDATE_LINES_SQL = f"""WITH v AS ({LINES.sql}), {issues_sql('v', LINES_NUMBERS, LINES_TEXTS)}
 SELECT severity, issue_type, "column", affected_rows, affected_rows * 1.0 / n_rows AS fraction
 FROM issues"""
@@ -538,5 +548,6 @@ QUERIES = {
     "issue_categories": (categories, CATEGORIES_SQL),
     "validate_lineitem": (validate_lineitem, VALIDATE_LINEITEM_SQL),
     "validate_lines": (validate_lines, VALIDATE_LINES_SQL),
+    "validate_wide": (validate_wide, None),
     "to_numeric_coerce": (to_numeric_coerce, TO_NUMERIC_SQL),
 }
