@@ -6,10 +6,11 @@ windows always lie in segments of one name, wherever they stand. That gives
 
 1. fingerprints: one row a segment, with its name and a hash of its content;
 2. candidates: segments whose name occurs twice or more; all other windows are unique;
-3. contents: equal segments become one row before any text moves;
-4. search: names with two or more contents meet in a task, which finds their equal windows exactly;
-   a name with more text than a task should hold is dealt out by content, and windows still open
-   are compared between its shares by hash;
+3. contents: equal segments become one row before any text moves, with two of the places they
+   stand at, so that what a search knows to repeat it has seen twice;
+4. search: the segments of a name meet in a task, which finds their equal windows exactly; a name
+   with more text than a task should hold is dealt out by content, and windows still open are
+   compared between its shares by hash;
 5. marks: found windows return to every place their segment stands.
 
 Step 4 is the operators' own; they pass a function for it.
@@ -108,46 +109,53 @@ def _fingerprints(docs: DataFrame, kind: Kind) -> DataFrame:
 
 
 def _cut_out(docs: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
-    """Text of one standing place of each wanted content."""
+    """Text of the wanted standing places of each content."""
     lists = wanted.groupBy("doc_id", "text_hash").agg(
-        F.collect_list(F.struct("start", "n", "name", "share", "content", "first")).alias("parts")
+        F.collect_list(F.struct("start", "n", "name", "share", "content", "copy", "first")).alias("parts")
     )
     held = docs.alias("d").join(
         lists.hint("shuffle_hash").alias("w"),
         F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_hash") == F.col("w.text_hash")),
     )
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[] for _ in range(6)]
+    names = ["name", "share", "content", "copy", "first", "n", "letters"]
+
+    def cut(batch: pa.RecordBatch, done: set[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[] for _ in names]
         size = 0
 
         def give() -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(out, kinds)], ["name", "share", "content", "first", "n", "letters"]
-            )
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
         for cell, parts in zip(batch.column(0), batch.column(1)):
+            # A place is wanted from one document; rows equal to one that is done would give it again.
+            mark = tuple(parts[0][c].as_py() for c in ("name", "content", "copy"))
+            if mark in done:
+                continue
+            done.add(mark)
             data = (cell.as_py() or "").encode()
             if kind.words:
                 data = data.split()
             for part in parts.as_py():
                 letters = data[part["start"] : part["start"] + part["n"] + kind.window - 1]
                 letters = b" ".join(letters) if kind.words else letters
-                for column, value in zip(
-                    out, (part["name"], part["share"], part["content"], part["first"], part["n"], letters)
-                ):
+                for column, value in zip(out, (*(part[c] for c in names[:-1]), letters)):
                     column.append(value)
                 size += len(letters)
             if size > CHUNK_BYTES:
                 yield give()
-                out, size = [[] for _ in range(6)], 0
+                out, size = [[] for _ in names], 0
         if out[0]:
             yield give()
 
-    schema = "name long, share int, content long, first long, n int, letters binary"
-    # A document repeated in full would give its parts again.
-    return by_batch(held.select("d.text", "w.parts"), run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[tuple[int, int, int]] = set()
+        for batch in batches:
+            yield from cut(batch, done)
+
+    schema = "name long, share int, content long, copy int, first long, n int, letters binary"
+    return held.select("d.text", "w.parts").mapInArrow(run, schema)
 
 
 @dataclass
@@ -163,18 +171,16 @@ Search = Callable[[list[bytes], np.ndarray, np.ndarray], Found]
 
 
 def _search_all(texts: DataFrame, tasks: int, search: Search) -> DataFrame:
-    """Runs of marked windows of each content, and open windows of dealt-out names."""
+    """Runs of marked windows of each content's copies, and open windows of dealt-out names."""
     schema = (
-        "name long, share int, content long, first long, starts array<int>, lengths array<int>, "
+        "name long, share int, content long, copy int, first long, starts array<int>, lengths array<int>, "
         "open_at array<int>, open_1 array<long>, open_2 array<long>"
     )
 
     def work(rows: list[tuple]) -> pa.RecordBatch | None:
         if not rows:
             return None
-        # A document that is repeated in full hands in its parts again.
-        rows = list({(r[0], r[1], r[2]): r for r in rows}.values())
-        names, shares, contents, firsts, counts, letters = zip(*rows)
+        names, shares, contents, copies, firsts, counts, letters = zip(*rows)
         counts = np.array(counts, np.int64)
         found = search(list(letters), counts, np.array(firsts, np.int64))
         base = np.concatenate(([0], np.cumsum(counts)))
@@ -194,24 +200,25 @@ def _search_all(texts: DataFrame, tasks: int, search: Search) -> DataFrame:
         lists = lambda ends, values, to: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.astype(to)))
         return pa.RecordBatch.from_arrays(
             [pa.array(names, pa.int64()), pa.array(shares, pa.int32()), pa.array(contents, pa.int64()),
-             pa.array(firsts, pa.int64()), lists(runs, begin - base[of], np.int32),
+             pa.array(copies, pa.int32()), pa.array(firsts, pa.int64()), lists(runs, begin - base[of], np.int32),
              lists(runs, stop - begin + 1, np.int32), lists(opened, at - base[owner[at]], np.int32),
              lists(opened, hashes[0], np.int64), lists(opened, hashes[1], np.int64)],
             [c.split()[0] for c in schema.split(", ")],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size, last = [], 0, None
+        rows, size, last = {}, 0, None
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 if size > SEARCH_BYTES and row[:2] != last:
-                    yield work(rows)
-                    rows, size = [], 0
+                    yield work(list(rows.values()))
+                    rows, size = {}, 0
                 last = row[:2]
-                rows.append(row)
-                size += len(row[5])
+                # Equal rows in several tasks hand in their parts once each.
+                if rows.setdefault(row[:4], row) is row:
+                    size += len(row[6])
         if rows:
-            yield work(rows)
+            yield work(list(rows.values()))
 
     return texts.repartition(tasks, "name", "share").sortWithinPartitions("name", "share").mapInArrow(run, schema)
 
@@ -233,56 +240,75 @@ def marked_runs(
 
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) if ordered else F.lit(0).cast("long")
     letter = 8 if kind.words else 1
+    place = ("doc_id", "text_hash", "start")
     contents = pin(
         stands.withColumn("own", order)
         .groupBy("name", "content")
         .agg(
-            F.count("*").alias("times"), F.max("weight").alias("weight"), F.min("own").alias("first"), F.first("doc_id").alias("doc_id"),
-            F.first("text_hash").alias("text_hash"), F.first("start").alias("start"), F.first("n").alias("n"),
+            F.count("*").alias("times"), F.min("own").alias("first"), F.max("own").alias("last"), F.first("n").alias("n"),
+            *[F.first(c).alias(c) for c in place], *[F.last(c).alias(f"{c}_2") for c in place],
         )
     )
+    # Copy 0 stands for the smallest document that holds a content, copy 1 for all later ones.
+    twice = F.col("last") > F.col("first") if ordered else F.col("times") > 1
+    copies = [
+        F.struct(F.lit(i).alias("copy"), F.col(own).alias("first"), *[F.col(f"{c}{tail}").alias(c) for c in place])
+        for i, own, tail in ((0, "first", ""), (1, "last", "_2"))
+    ]
     names = contents.groupBy("name").agg(
-        F.count("*").alias("kinds"), F.max("weight").alias("weight"), F.sum(F.col("n") + kind.window).alias("letters")
-    ).where("kinds > 1 or weight > 1").drop("weight")
+        F.sum((F.col("n") + kind.window) * F.when(twice, 2).otherwise(1)).alias("letters")
+    )
     # Share 0 is a name that one task searches whole; others are dealt out as shares 1, 2, ...
     shares = F.expr(f"ceil(letters * {letter} / {share_bytes})")
     dealt = F.when(shares <= 1, 0).otherwise(F.pmod(F.xxhash64("content"), shares) + 1)
-    wanted = contents.join(names, "name").withColumn("share", dealt.cast("int"))
+    wanted = (
+        contents.select("name", "content", "n", F.explode(F.when(twice, F.array(*copies)).otherwise(F.array(copies[0]))).alias("c"))
+        .select("name", "content", "n", "c.*")
+        .join(names, "name")
+        .withColumn("share", dealt.cast("int"))
+    )
     total = names.agg(F.sum("letters")).first()[0] or 0
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total * letter // TASK_BYTES))
     found = pin(_search_all(_cut_out(docs, wanted, kind), int(tasks), search))
 
     # Between the shares of a dealt-out name.
     opened = found.where("share > 0").select(
-        "name", "content", "first", F.explode(F.arrays_zip("open_at", "open_1", "open_2")).alias("o")
-    ).select("name", "content", "first", "o.*")
+        "name", "content", "copy", "first", F.explode(F.arrays_zip("open_at", "open_1", "open_2")).alias("o")
+    ).select("name", "content", "copy", "first", "o.*")
     met = opened.groupBy("name", "open_1", "open_2").agg(
         F.count("*").alias("times"), F.min("first").alias("least")
     )
     repeated = F.col("least") < F.col("first") if ordered else F.col("times") > 1
     across = opened.join(met, ["name", "open_1", "open_2"]).where(repeated).select(
-        "name", "content", F.array(F.struct(F.col("open_at").alias("start"), F.lit(1).alias("length"))).alias("runs")
+        "name", "content", "copy", F.array(F.struct(F.col("open_at").alias("start"), F.lit(1).alias("length"))).alias("runs")
     )
     inside = found.select(
-        "name", "content",
+        "name", "content", "copy",
         F.expr("transform(arrays_zip(starts, lengths), x -> struct(x.starts as start, x.lengths as length))").alias("runs"),
     ).where("size(runs) > 0")
-    runs = inside.union(across).groupBy("name", "content").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-
-    known = pin(contents.select("name", "content", "times", "first").join(runs, ["name", "content"], "left"))
-    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("length")))
-    everywhere: Column = F.col("own") > F.col("first") if ordered else F.col("times") > 1
+    # One row a content: the runs of either copy.
+    by_copy = [
+        F.flatten(F.collect_list(F.when(F.col("copy") == i, F.col("runs")))).alias(f"runs_{i}") for i in (0, 1)
+    ]
+    known = pin(
+        inside.union(across)
+        .groupBy("name", "content")
+        .agg(*by_copy)
+        .join(contents.select("name", "content", "first"), ["name", "content"])
+    )
+    later: Column = F.col("own") > F.col("first") if ordered else F.lit(False)
     marks = (
         stands.withColumn("own", order)
         .join(known, ["name", "content"])
-        .withColumn("runs", F.when(everywhere, whole).otherwise(F.col("runs")))
-        .where("runs is not null")
+        .withColumn("runs", F.when(later, F.col("runs_1")).otherwise(F.col("runs_0")))
+        .where("size(runs) > 0")
         .select(
             "doc_id", "text_hash",
             F.expr("transform(runs, x -> struct(cast(x.start + start as int) as start, x.length as length))").alias("runs"),
         )
     )
-    return marks.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    # A set: rows equal in key and text give the same runs, which tasks merge before they send them.
+    return marks.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_set("runs")).alias("runs"))
 
 
 def with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 Segments that may hold equal windows meet in one task (see ``repeats``). There the non-overlapping
 blocks of every segment are indexed as references, every rolling window of the block's length
-probes the index, and hits are extended along their diagonals to maximal exact repeats.
+probes the index, and hits are widened to the windows around them. Of equal ones the smallest
+document's is the reference, and neighbouring windows with neighbouring references form the maximal
+repeats, which are compared letter by letter.
 """
 
 from __future__ import annotations

@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 
 from plumbline.llm import substring_dedup, suffix_dedup
-from plumbline.llm.repeats import least_in_windows
+from plumbline.llm.repeats import Found, least_in_windows
 from plumbline.llm.suffixes import permuted_common_prefixes, suffix_array
+from pyspark.sql import functions as F
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string"
@@ -106,6 +107,36 @@ def test_empty_tables_and_clashing_columns(spark):
     assert {r.n_removed for r in suffix_dedup.dedup(df, length=4).collect()} == {9}
 
 
+def test_nothing_goes_without_a_search(spark, monkeypatch):
+    silent = lambda size, letters, counts, firsts: Found(
+        np.zeros(counts.sum(), bool), np.zeros((2, 0), np.int64), np.zeros(0, np.int64)
+    )
+    monkeypatch.setattr(suffix_dedup, "search", silent)
+    monkeypatch.setattr(substring_dedup, "search", silent)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    assert not suffix_dedup.dedup(docs).where("n_removed > 0").count()
+    assert not substring_dedup.dedup(docs).where("n_removed > 0").count()
+
+
+def test_rows_equal_in_key_and_text(spark):
+    text = " ".join(f"w{i}" for i in range(120))
+    other = text[:300] + " and so on " * 60
+    rows = spark.range(0, 6000, 1, 4).select(
+        F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 6 == 0, F.lit(other)).otherwise(F.lit(text)).alias("text")
+    )
+    got = suffix_dedup.dedup(rows, length=100)
+    assert {tuple(r) for r in got.groupBy("n_bytes", "n_removed").count().collect()} == {
+        (len(text), len(text), 5000), (len(other), len(other), 1000),
+    }
+    keyed = rows.union(spark.createDataFrame([(7, text)], "doc_id long, text string"))
+    got = substring_dedup.dedup(keyed).groupBy("doc_id", "n_words", "n_removed").count()
+    words = len(other.split())
+    shared = len(text[:300].split()) - 1
+    assert {tuple(r) for r in got.collect()} == {
+        (7, 120, 0, 1), (None, 120, 120, 5000), (None, words, shared, 1000),
+    }
+
+
 def test_production_lengths_on_given_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
