@@ -4,8 +4,8 @@ Only the lengths of pieces decide how sequences are filled, and there are no mor
 capacity. The plan is therefore made from a count by length: items above a third of the capacity
 lie at most two to a sequence and are matched greedily, largest first with its largest partner;
 smaller items then go to the tightest gap that holds them. The plan says, for each length, which
-numbers of that length go where; pieces are numbered within their length by buckets and look up
-their place. Texts and ids never move.
+numbers of that length go where; pieces are numbered within their length by buckets, as many as
+their number asks for, and look up their place. Texts and ids never move.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from plumbline.llm.tables import by_batch, read
 
 CAPACITY = 2048
 END_ID = 0
-#: Pieces of one length are numbered in so many buckets.
-BUCKETS = 256
+#: Pieces of one length are numbered in buckets of about so many, however many there are.
+BUCKET_PIECES = 50_000
 
 
 def plan(counts: Mapping[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -155,14 +155,27 @@ def token_pieces(
     return by_batch(frame, run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, bucket_pieces: int = BUCKET_PIECES) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces that have a ``length`` of 1 to ``capacity``.
 
     Every piece is placed; sequences are gapless from offset 0. Equal rows are placed each on their
-    own. The input must be stored (it is read three times). What passes the driver is one count a
-    length and the plan made of it, both bounded by the capacity.
+    own, and no column but ``length`` decides a place, so keys may be null or repeat. The input is
+    written out once to the shared checkpoint folder. Columns named sequence_id or offset are
+    replaced, all others come back, whatever their names; an empty table gives an empty result. What
+    passes the driver is one count a length and the plan made of it, both bounded by the capacity.
     """
-    numbered = pieces.withColumn("bucket", F.expr(f"cast(pmod(xxhash64(doc_id, piece), {BUCKETS}) as int)"))
+    # Carried under numbers, so that no name of the input meets a helper's.
+    payload = {
+        f"o{i}": c for i, c in enumerate(c for c in pieces.columns if c.lower() not in ("sequence_id", "offset"))
+    }
+    held = pin(
+        pieces.select(
+            *[F.col(f"`{c}`").alias(o) for o, c in payload.items()], F.col("length").cast("long").alias("length"),
+            F.monotonically_increasing_id().alias("row"),
+        )
+    )
+    buckets = max(1, -(-held.count() // bucket_pieces))
+    numbered = held.withColumn("bucket", F.expr(f"pmod(xxhash64(row), {buckets}L)"))
     by_bucket = numbered.groupBy("length", "bucket").agg(F.count("*").alias("pieces"))
     by_length = {r["length"]: r["pieces"] for r in by_bucket.groupBy("length").agg(F.sum("pieces").alias("pieces")).collect()}
     places = plan(by_length, capacity)
@@ -172,16 +185,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     most = max(by_length.values(), default=0) + 1
     order = Window.partitionBy("length").orderBy("bucket")
     before = by_bucket.withColumn("before", F.sum("pieces").over(order) - F.col("pieces")).drop("pieces")
-    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")
+    inside = Window.partitionBy("length", "bucket").orderBy("row")
     ranked = (
         numbered.withColumn("number", F.row_number().over(inside) - 1)
         .join(before, ["length", "bucket"])
         .withColumn("number", F.col("number") + F.col("before"))
-        .select(*[F.col(f"`{c}`") for c in pieces.columns], "number")
+        .select(*payload, "length", "number")
     )
     keys = lengths.astype(object) * most + firsts if most * (capacity + 1) >= 1 << 63 else lengths * most + firsts
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema)
-    at_length, at_number = ranked.columns.index("length"), len(ranked.columns) - 1
+    at_length, at_number = len(payload), len(payload) + 1
 
     def place(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         length = np.asarray(batch.column(at_length)).astype(np.int64)
@@ -195,7 +208,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             [*batch.schema.names, "sequence_id", "offset"],
         )
 
-    return by_batch(ranked, place, f"{kinds}, sequence_id long, offset long").drop("number")
+    placed = by_batch(ranked, place, f"{kinds}, sequence_id long, offset long")
+    return placed.select(*[F.col(o).alias(c) for o, c in payload.items()], "sequence_id", "offset")
 
 
 def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -205,7 +219,7 @@ def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", vocab
     one piece that holds the end id alone. Repeated rows are packed each; keys may be null; other
     columns are not read; an empty table gives an empty result.
     """
-    return pack(pin(token_pieces(df, key, text, vocabulary)))
+    return pack(token_pieces(df, key, text, vocabulary))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,17 +130,20 @@ def histogram_shards(
     ``sort_key`` is a byte string of ``width`` bytes; rows of equal keys are told apart by a number
     given when the rows are written out, so that any group can be cut. ``law`` is ``bytes`` (sizes
     of the shards as near as whole rows allow) or ``rows`` (as many rows, at most one apart).
-    ``df`` is written out once to the shared checkpoint folder; columns of df named shard, slot or
-    law's helpers are replaced. Empty tables give empty results.
+    ``df`` is written out once to the shared checkpoint folder. Columns of df named shard or slot are
+    replaced, all others come back, whatever their names. Empty tables give empty results.
     """
     if law not in ("bytes", "rows"):
         raise ValueError("law is bytes or rows")
     weight = F.coalesce(size.cast("long"), F.lit(0)) if law == "bytes" else F.lit(1).cast("long")
-    payload = [c for c in df.columns if c not in ("shard", "slot", "sort_key", "weight", "part", "before")]
-    keyed = df.select(*[F.col(f"`{c}`") for c in payload], sort_key.alias("own_key"), weight.alias("weight"))
+    # Carried under numbers, so that no name of df meets a helper's.
+    payload = {f"o{i}": c for i, c in enumerate(c for c in df.columns if c.lower() not in ("shard", "slot"))}
+    keyed = df.select(
+        *[F.col(f"`{c}`").alias(o) for o, c in payload.items()], sort_key.alias("own_key"), weight.alias("weight")
+    )
     keyed = pin(keyed.withColumn("tie", F.monotonically_increasing_id()))
     keyed = keyed.select(
-        *[F.col(f"`{c}`") for c in payload], "weight",
+        *payload, "weight",
         F.concat(F.col("own_key"), F.unhex(F.lpad(F.hex("tie"), 16, "0"))).alias("sort_key"),
     )
     width += 8
@@ -162,7 +165,8 @@ def histogram_shards(
         lambda batches: (deal(b) for b in batches if b.num_rows), f"{kinds}, part int, shard int, before long"
     )
     place = F.row_number().over(Window.partitionBy("part").orderBy("sort_key"))
-    return dealt.withColumn("slot", F.col("before") + place - 1).drop("part", "before", "sort_key", "weight")
+    slot = (F.col("before") + place - 1).alias("slot")
+    return dealt.select(*[F.col(o).alias(c) for o, c in payload.items()], "shard", slot)
 
 
 def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,6 +135,39 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(docs.limit(0)).count() == 0
 
 
+HELPERS = (
+    "tie", "own_key", "weight", "part", "before", "sort_key", "bucket", "number", "row", "pieces", "place", "o0", "o1", "Shard_"
+)
+
+
+def test_shards_keep_columns_named_like_helpers(spark):
+    given = [F.concat(F.lit(f"{name} "), F.col("id")).alias(name) for name in HELPERS]
+    df = spark.range(50).select(F.col("id").alias("doc_id"), *given, F.lit(0).alias("shard"))
+    got = sharding.histogram_shards(df, sharding.byte_key((F.col("doc_id"), 8)), 9, F.lit(3), 4, part_rows=5)
+    assert got.columns == ["doc_id", *HELPERS, "shard", "slot"]
+    rows = got.collect()
+    assert all(r[name] == f"{name} {r.doc_id}" for r in rows for name in HELPERS)
+    assert sorted(r.doc_id for r in rows) == list(range(50)) and {r.shard for r in rows} == {0, 1, 2, 3}
+
+
+def test_packing_keeps_columns_named_like_helpers(spark):
+    given = [F.concat(F.lit(f"{name} "), F.col("id")).alias(name) for name in HELPERS]
+    pieces = spark.range(300).select(
+        F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), "id",
+        (F.col("id") % 7 + 1).alias("length"), *given, F.lit("x").alias("offset"),
+    )
+    for bucket_pieces in (5, 50_000):
+        got = packing.pack(pieces, 10, bucket_pieces)
+        assert got.columns == ["doc_id", "piece", "id", "length", *HELPERS, "sequence_id", "offset"]
+        rows = got.collect()
+        assert sorted(r.id for r in rows) == list(range(300))
+        assert all(r[name] == f"{name} {r.id}" for r in rows for name in HELPERS)
+        places = [(r.sequence_id, r.offset + i) for r in rows for i in range(r.length)]
+        assert len(set(places)) == len(places)
+        for sequence, used in collections.Counter(s for s, _ in places).items():
+            assert {at for s, at in places if s == sequence} == set(range(used)) and used <= 10
+
+
 def test_byte_key_sorts_as_numbers(spark):
     rows = [(None,), (-(1 << 63),), (-5,), (0,), (7,), ((1 << 63) - 1,)]
     df = spark.createDataFrame(rows, "n long").withColumn("k", sharding.byte_key((F.col("n"), 8)))
