@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm.tables import by_batch, read
+from plumbline.llm.tables import by_batch, key_name, read
 from plumbline.llm.texts import (
     Words, chunks, covered, in_document, per_document, ranges, seen_twice,
 )
@@ -37,10 +37,13 @@ SCHEMA = (
 def _lines(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and document of each line that holds a word."""
     edges = np.union1d(np.flatnonzero(words.data == 10), words.offsets[1:] - 1)
+    edges = edges[edges >= 0]  # texts without a byte have no last one
     # A line ends before its newline or after the last byte of its document.
     end = np.where(words.data[edges] == 10, edges, edges + 1) if len(edges) else edges
     cut = np.union1d(end, words.offsets)
     start, end = cut[:-1], cut[1:]
+    start = start[start < len(words.data)]
+    end = end[: len(start)]
     start = start + ((words.data[start] == 10) if len(start) else 0)
     full = start < end
     start, end = start[full], end[full]
@@ -102,11 +105,11 @@ def judge(
     Rows fail with fewer than 10 words, with over 20 % repeated words, with a larger share of
     characters in repeated n-grams than ``shares`` allows, or in repeated lines than LINE_SHARE.
     A null or empty text has counts of 0 and fails. Repeated rows are judged each on its own; the
-    key may be null and is only passed on; other columns are not read. An empty table gives an
-    empty result. Memory is about 40 times a chunk of 2 MB, or the longest text if that is longer.
+    key may be null and is only passed on (as ``key_`` and its name, if a result column has that
+    name); other columns are not read. An empty table gives an empty result. Memory is about 40 times a chunk of 2 MB, or the longest text if that is longer.
     """
     shares = dict(shares)
-    kind = df.schema[key].dataType.simpleString()
+    kind, name = df.schema[key].dataType.simpleString(), key_name(key, SCHEMA)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for first, end, offsets, data in chunks(batch):
@@ -114,11 +117,11 @@ def judge(
             names = [c.split()[0] for c in SCHEMA.split(", ")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(first, end - first), *(pa.array(out[c]) for c in names)],
-                [key, *names],
+                [name, *names],
             )
 
     frame = df.select(df[key].alias("key"), df[text].cast("string").alias("text"))
-    return by_batch(frame, run, f"`{key}` {kind}, {SCHEMA}")
+    return by_batch(frame, run, f"`{name}` {kind}, {SCHEMA}")
 
 
 def op9_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

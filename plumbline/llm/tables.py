@@ -12,6 +12,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def key_name(key: str, results: str) -> str:
+    """Name of the key column in a result; one named like a column of the schema ``results`` gets ``key_`` before it."""
+    taken = {c.split()[0].lower() for c in results.split(", ")}
+    return f"key_{key}" if key.lower() in taken else key
+
+
 def by_batch(
     df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:

@@ -2,7 +2,7 @@
 
 An Aho-Corasick automaton lists every vocabulary piece that ends at a position; dynamic
 programming keeps the best score and its number of pieces, never the pieces themselves. Words are
-independent, so each distinct word of a task is solved once. Ties follow the library: at each end
+independent, so each distinct word of a task is solved once. Ties follow the unigram model of ``tokenizers``: at each end
 the piece that starts first is tried first, and only a strictly better score replaces it. One pass,
 no shuffle.
 """
@@ -18,12 +18,13 @@ import public_tokenizers
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm.tables import by_batch, read
+from plumbline.llm.tables import by_batch, key_name, read
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Words whose counts a task remembers; beyond that it forgets all and starts anew.
 REMEMBERED_WORDS = 300_000
+SCHEMA = "n_code_points long, n_tokens long"
 
 
 def load_vocabulary(path: str) -> list[tuple[str, float]]:
@@ -114,10 +115,12 @@ def count_tokens(
     before every blank (U+0020) or mark; other white space belongs to its word. Characters no piece
     covers count by their UTF-8 bytes if the vocabulary has all byte pieces, else a run of them
     counts once. Null and empty texts have 0 tokens; repeated rows are counted each; the key may be
-    null; other columns are not read; an empty table gives an empty result.
+    null, and one named like a result column comes back with ``key_`` before its name; other columns
+    are not read; an empty table gives an empty result. The default file holds a BPE model, whose
+    pieces and scores are read as a unigram model here, so the counts are not that model's own.
     """
     path = vocabulary or public_tokenizers.path("piece_bpe_32k.model")
-    kind = df.schema[key].dataType.simpleString()
+    kind, name = df.schema[key].dataType.simpleString(), key_name(key, SCHEMA)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         solver = counter(path)
@@ -129,11 +132,11 @@ def count_tokens(
             sizes.append(len(value))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())],
-            [key, "n_code_points", "n_tokens"],
+            [name, "n_code_points", "n_tokens"],
         )
 
     frame = df.select(df[key].alias("key"), df[text].cast("string").alias("text"))
-    return by_batch(frame, run, f"`{key}` {kind}, n_code_points long, n_tokens long")
+    return by_batch(frame, run, f"`{name}` {kind}, {SCHEMA}")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,9 +119,25 @@ def test_classifier_odd_inputs(spark, texts):
     assert not any(r.held_out for r in passed if r.doc_id is None)
 
 
+def test_keys_named_like_results(spark):
+    df = spark.createDataFrame([(4, "a b"), (None, None)], "N_tokens long, text string")
+    got = token_counts.count_tokens(df, key="N_tokens")
+    assert got.columns == ["key_N_tokens", "n_code_points", "n_tokens"]
+    assert {(r[0], r[1]) for r in got.collect()} == {(4, 3), (None, 0)}
+    got = quality_rules.judge(df.withColumnRenamed("N_tokens", "kept"), key="kept")
+    assert got.columns[0] == "key_kept" and {(r[0], r.n_words) for r in got.collect()} == {(4, 2), (None, 0)}
+
+
 def test_empty_tables(spark):
     empty = frame(spark, ["x"]).limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality_rules.judge(empty).count() == 0
     assert token_counts.count_tokens(empty).count() == 0
     assert quality_classifier.classify(empty, labels).count() == 0
+
+
+def test_batches_of_empty_texts(spark):
+    df = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string").coalesce(1)
+    got = quality_rules.judge(df).collect()
+    assert [(r.n_words, r.n_dup_lines, r.base_failed, r.kept) for r in got] == [(0, 0, True, False)] * 2
+    assert [r.n_tokens for r in token_counts.count_tokens(df).collect()] == [0, 0]
