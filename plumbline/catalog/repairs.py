@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.catalog.issues_sql import issues_sql
 from plumbline.catalog.views import READINGS, VITALS, VITALS_COLUMNS, View, number_sql
-from plumbline.config import QualityConfig
+from plumbline.config import CLINICAL_RANGES, QualityConfig
 from plumbline.operators.repair import Fix, apply_fixes
 from plumbline.plans.remediate import revalidate as revalidate_plan
+from plumbline.plans.safe import propose_safe_plan
+from plumbline.plans.validate import validate
 
 CONFIG = QualityConfig(run_anomaly_checks=False)
 
@@ -110,10 +113,14 @@ def fix_log(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-FIX_LOG_SQL = "SELECT * FROM (VALUES " + ", ".join(
-    f"({i}, '{f.action}', '{f.column}', '{'skipped' if i == len(CHAIN) - 1 else 'applied'}')"
+# A fix is skipped where an earlier one dropped its column, which it does as the column is empty.
+_STEPS = ", ".join(
+    f"({i}, '{f.action}', '{f.column}', {i > 0 and f.column in {d.column for d in CHAIN[:i] if d.action == 'drop_column'}})"
     for i, f in enumerate(CHAIN)
-) + ') AS t(step, action, "column", status)'
+)
+FIX_LOG_SQL = f"""WITH v AS ({VITALS.sql}), e AS (SELECT count(bmi) = 0 AS nothing FROM v)
+SELECT step, action, "column", CASE WHEN after_drop AND nothing THEN 'skipped' ELSE 'applied' END AS status
+FROM (VALUES {_STEPS}) AS t(step, action, "column", after_drop), e"""
 
 
 def revalidate(spark: SparkSession, folder: str) -> DataFrame:
@@ -126,6 +133,53 @@ REVALIDATE_SQL = f"""WITH {CHAIN_SQL}, {issues_sql('c6', _LEFT, ('segment',), 'p
 SELECT severity, issue_type, "column", affected_rows, affected_rows * 1.0 / n_rows AS fraction
 FROM issues"""
 
+SAFE_SHARE = 0.06
+_RANGED = ("age", "blood_pressure_systolic", "weight_kg")
+
+
+def safe_plan(spark: SparkSession, folder: str) -> DataFrame:
+    """What the plan with safe defaults promises, beside what its fixes leave."""
+    frame = VITALS.frame(spark, folder)
+    issues = validate(frame, "row_key", CONFIG).issues
+    droppable = ("TYPE_INCONSISTENCY", "VALUE_ABOVE_RANGE")
+    plan = propose_safe_plan(frame, issues, "row_key", CONFIG, SAFE_SHARE, droppable)
+    left = apply_fixes(frame, plan.fixes, "row_key", CONFIG).data
+    cells = [c for c in left.columns if c != "row_key"]
+    gaps = reduce(lambda a, b: a + b, [F.col(c).isNull().cast("bigint") for c in cells])
+    return left.agg(
+        F.lit(plan.rows_before).cast("bigint").alias("rows_before"),
+        F.lit(plan.rows_after).cast("bigint").alias("rows_promised"),
+        F.count(F.lit(1)).alias("rows_left"),
+        F.lit(plan.gaps_left).cast("bigint").alias("gaps_promised"),
+        F.sum(gaps).cast("bigint").alias("gaps_left"),
+        F.lit(plan.repaired).cast("bigint").alias("repaired"),
+    )
+
+
+# Droppable findings below the bound go, which they fit into together; a column with less than a tenth
+# missing keeps its gaps.
+_DROPPABLE_MARKS = {
+    "bad_pulse": f"{_NUMBER} IS NULL",
+    **{f"high_{c}": f"{c} > {CLINICAL_RANGES[c][1]}" for c in _RANGED},
+}
+_MARKS = {
+    **_DROPPABLE_MARKS, **{f"low_{c}": f"{c} < {CLINICAL_RANGES[c][0]}" for c in _RANGED},
+    "no_pressure": "blood_pressure_systolic IS NULL", "no_weight": "weight_kg IS NULL",
+}
+_GONE = " OR ".join(f"(s.{m} <= {SAFE_SHARE} AND f.{m})" for m in _DROPPABLE_MARKS)
+_REPAIRED = " + ".join(
+    f"CASE WHEN s.{m} <= {SAFE_SHARE} AND {m in _DROPPABLE_MARKS} THEN 0 ELSE k.{m} END" for m in _MARKS
+)
+_OPEN = "CASE WHEN s.no_segment < 0.1 THEN k.no_segment ELSE 0 END"
+SAFE_PLAN_SQL = f"""WITH v AS ({VITALS.sql}),
+f AS (SELECT segment IS NULL AS no_segment,
+  {', '.join(f'coalesce({e}, FALSE) AS {m}' for m, e in _MARKS.items())} FROM v),
+s AS (SELECT {', '.join(f'count_if({m}) * 1.0 / count(*) AS {m}' for m in ('no_segment', *_MARKS))} FROM f),
+k AS (SELECT count(*) AS n, {', '.join(f'count_if(f.{m}) AS {m}' for m in ('no_segment', *_MARKS))}
+  FROM f, s WHERE NOT ({_GONE}))
+SELECT (SELECT count(*) FROM v) AS rows_before, k.n AS rows_promised, k.n AS rows_left,
+  {_OPEN} AS gaps_promised, {_OPEN} AS gaps_left, CAST({_REPAIRED} AS BIGINT) AS repaired FROM k, s"""
+
 _LOW_AGE = Fix("VALUE_BELOW_RANGE", "age", "drop_rows")
 _OUTLIER = ("STATISTICAL_OUTLIER", "heart_rate")
 
@@ -224,4 +278,5 @@ SELECT v.* FROM v, m WHERE NOT abs((heart_rate - mean) / std) > 3""",
     "fix_log": (fix_log, FIX_LOG_SQL),
     "fix_effects": (fix_effects, FIX_EFFECTS_SQL),
     "revalidate": (revalidate, REVALIDATE_SQL),
+    "safe_plan": (safe_plan, SAFE_PLAN_SQL),
 }

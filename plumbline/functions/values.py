@@ -37,8 +37,9 @@ def bands(value: Column, edges: Sequence[float], labels: Sequence[str]) -> Colum
 
 
 def clip(value: Column, low: float, high: float) -> Column:
-    """Limit a value to [low, high]; null stays null."""
-    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(low)), F.lit(high)))
+    """Limit a number to [low, high]; null and NaN become null, as neither is a value."""
+    present = F.nanvl(value.cast("double"), F.lit(None).cast("double"))
+    return F.when(present.isNotNull(), F.least(F.greatest(present, F.lit(low)), F.lit(high)))
 
 
 def percent_text(fraction: Column) -> Column:

@@ -108,23 +108,23 @@ def _flagged(fix: Fix, config: QualityConfig, spread: Mapping) -> Column | None:
     name = fix.column
     if fix.issue_type in ("VALUE_BELOW_RANGE", "VALUE_ABOVE_RANGE"):
         low, high = config.ranges[name]
-        number = col(name).cast("double")
+        # NaN is missing; Spark takes it for greater than any number.
+        number = F.nanvl(col(name).cast("double"), F.lit(None).cast("double"))
         return number < low if fix.issue_type == "VALUE_BELOW_RANGE" else number > high
     if fix.issue_type == "STATISTICAL_OUTLIER":
         mean, std, present = spread[name]
         if not std or not math.isfinite(std) or present < config.outlier_min_values:
             return F.lit(False)
-        return F.abs(z_score(name, mean, std)) > config.outlier_zscore_threshold
+        distance = F.nanvl(F.abs(z_score(name, mean, std)), F.lit(None).cast("double"))
+        return distance > config.outlier_zscore_threshold
     return None
 
 
 ROW_ACTIONS = {"drop_rows", "replace_median", "replace_outliers_median"}
 
 
-def _add_flags(
-    df: DataFrame, plan: Sequence[Fix], config: QualityConfig
-) -> tuple[DataFrame, dict[int, str]]:
-    """Mark the offending rows before any fix changes values, like row lists taken at check time."""
+def _flag_predicates(df: DataFrame, plan: Sequence[Fix], config: QualityConfig) -> dict[int, Column]:
+    """Which rows offend, by position of the fix; only fixes of offending rows have an entry."""
     numeric = set(numeric_columns(df, df.columns))
     concerned = [
         (i, f) for i, f in enumerate(plan)
@@ -138,14 +138,33 @@ def _add_flags(
         # As in the checks, columns with too few values have no outliers.
         counts = df.agg(*[F.count(F.nanvl(col(c).cast("double"), F.lit(None))) for c in scored]).first()
         spread = {c: (*pair, n) for (c, pair), n in zip(moments(df, scored).items(), counts)}
-    flags = {}
-    for i, fix in concerned:
-        predicate = _flagged(fix, config, spread)
-        if predicate is not None:
-            flags[i] = (f"__flag_{i}", F.coalesce(predicate, F.lit(False)))
-    if flags:
-        df = df.withColumns(dict(flags.values()))
-    return df, {i: name for i, (name, _) in flags.items()}
+    found = {i: _flagged(fix, config, spread) for i, fix in concerned}
+    return {i: F.coalesce(p, F.lit(False)) for i, p in found.items() if p is not None}
+
+
+def _add_flags(
+    df: DataFrame, plan: Sequence[Fix], config: QualityConfig
+) -> tuple[DataFrame, dict[int, str]]:
+    """Mark the offending rows before any fix changes values, like row lists taken at check time."""
+    predicates = _flag_predicates(df, plan, config)
+    names = {i: f"__flag_{i}" for i in predicates}
+    if names:
+        df = df.withColumns({names[i]: p for i, p in predicates.items()})
+    return df, names
+
+
+def row_marks(df: DataFrame, plan: Sequence[Fix], config: QualityConfig) -> list[Column]:
+    """For each dropping fix of column values, whether it alone would drop a row of this table."""
+    predicates = _flag_predicates(df, plan, config)
+    marks = []
+    for i, fix in enumerate(plan):
+        if i in predicates:
+            marks.append(predicates[i])
+        elif fix.action == "convert_numeric_drop":
+            marks.append(_convert(df, fix.column).isNull())
+        else:
+            marks.append(~_present(df, fix.column))
+    return marks
 
 
 # --- statistics of a batch ---------------------------------------------------
@@ -199,8 +218,13 @@ def _need_number(df: DataFrame, name: str) -> Column:
     return col(name).cast("double")
 
 
+def _present(df: DataFrame, name: str) -> Column:
+    kept = col(name).isNotNull()
+    return kept & ~F.isnan(col(name)) if dict(df.dtypes)[name] in ("float", "double") else kept
+
+
 def _fill(df: DataFrame, fix: Fix, value: float | None) -> DataFrame:
-    number = _need_number(df, fix.column)
+    number = F.nanvl(_need_number(df, fix.column), F.lit(None).cast("double"))
     return df if value is None else _set(df, fix.column, F.coalesce(number, F.lit(value)))
 
 
@@ -267,10 +291,7 @@ def _row_fix(
             return df.filter(~col(flag))
         if fix.issue_type in ("VALUE_BELOW_RANGE", "VALUE_ABOVE_RANGE", "STATISTICAL_OUTLIER"):
             raise ValueError(f"column {name!r} is not numeric")
-        kept = col(name).isNotNull()
-        if dict(df.dtypes)[name] in ("float", "double"):
-            kept = kept & ~F.isnan(col(name))
-        return df.filter(kept)
+        return df.filter(_present(df, name))
     if action == "drop_duplicates":
         compared = [c for c in data_columns(df, row_key) if c not in flags]
         compared = groupable_columns(df, compared)
