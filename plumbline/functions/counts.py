@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,20 +76,41 @@ def value_counts(df: DataFrame, names: Sequence[str], as_type: str) -> DataFrame
 
 
 def full_texts(df: DataFrame, found: Sequence[Row]) -> dict[tuple[str, str], str]:
-    """The whole texts behind the digests of a few counted values, by column and digest."""
-    wanted = {(r["column"], r["digest"]) for r in found if r["digest"] is not None}
-    if not wanted:
+    """The whole texts behind the digests of a few counted values, by column and digest.
+
+    Texts of one count that begin alike were ranked by digest; here the smallest of them, by their
+    whole, take the places that were found, in order. Only texts with such a beginning move.
+    """
+    groups: dict[tuple[str, int, str], list[str]] = {}
+    for r in found:
+        if r["digest"] is not None:
+            groups.setdefault((r["column"], r["n"], r["value"]), []).append(r["digest"])
+    if not groups:
         return {}
-    names = sorted({c for c, _ in wanted})
-    long = _long(df, names, "string").filter(F.length("value") > KEY_TEXT)
-    digest = F.md5("value")
+    names = sorted({c for c, _, _ in groups})
+    spark = df.sparkSession
+    heads = spark.createDataFrame(sorted({(c, head) for c, _, head in groups}), "column string, head string")
+    counts = spark.createDataFrame(sorted(groups), "column string, n long, head string")
+    most = max(len(digests) for digests in groups.values())
+    place = F.row_number().over(Window.partitionBy("column", "n", "head").orderBy("value"))
     rows = (
-        long.filter(digest.isin(*sorted({d for _, d in wanted})))
-        .groupBy("column", digest.alias("digest"))
-        .agg(F.any_value("value").alias("value"))
+        _long(df, names, "string")
+        .filter(F.length("value") > KEY_TEXT)
+        .withColumn("head", F.left("value", F.lit(KEY_TEXT)))
+        .join(F.broadcast(heads), ["column", "head"])
+        .groupBy("column", "head", F.md5("value").alias("digest"))
+        .agg(F.count(F.lit(1)).alias("n"), F.any_value("value").alias("value"))
+        .join(F.broadcast(counts), ["column", "n", "head"])
+        .withColumn("place", place)
+        .filter(F.col("place") <= most)
         .collect()
     )
-    return {(r["column"], r["digest"]): r["value"] for r in rows}
+    texts = {(r["column"], r["n"], r["head"], r["place"]): r["value"] for r in rows}
+    return {
+        (group[0], digest): texts[(*group, i + 1)]
+        for group, digests in groups.items()
+        for i, digest in enumerate(sorted(digests))
+    }
 
 
 def distinct_counts(df: DataFrame, names: Sequence[str], approximate: bool = False) -> DataFrame:
@@ -106,10 +127,7 @@ def distinct_counts(df: DataFrame, names: Sequence[str], approximate: bool = Fal
 
 
 def modes(df: DataFrame, names: Sequence[str], as_type: str = "string") -> DataFrame:
-    """(column, mode, n): the most frequent value, the smallest one on ties.
-
-    Texts longer than KEY_TEXT compare by their first characters, then by digest.
-    """
+    """(column, mode, n): the most frequent value, the smallest one on ties."""
     seen = value_counts(df, names, as_type)
     best = seen.groupBy("column").agg(
         F.min_by(F.struct("value", "digest"), F.struct(-F.col("n"), F.col("value"), F.col("digest"))).alias("of"),

@@ -38,7 +38,10 @@ def number_profile(facts: DataFrame) -> DataFrame:
 
 
 def most_frequent(seen: DataFrame, limit: int) -> DataFrame:
-    """(column, rank, value, digest, n) from value counts: most frequent first, smaller value on ties."""
+    """(column, rank, value, digest, n) from value counts: most frequent first, smaller value on ties.
+
+    Long texts that begin alike come by digest; ``full_texts`` puts the smallest into their places.
+    """
     order = [F.col("n").desc(), F.col("value"), F.col("digest")]
     rank = F.row_number().over(Window.partitionBy("column").orderBy(*order))
     return (

@@ -201,6 +201,24 @@ def test_long_texts_are_counted_by_digest(spark):
     assert "md5" in plan
 
 
+def test_long_texts_that_tie_go_by_their_whole(spark):
+    from plumbline.functions.counts import modes
+    from plumbline.operators import profile
+
+    head = "x" * 300
+    texts = sorted(head + tail for tail in "qwertzuiopas")
+    rows = [(t,) for t in texts for _ in range(2)] + [(head,), ("z" * 400,), ("a" * 300 + "b",)]
+    df = spark.createDataFrame(rows, "t string")
+    assert modes(df, ["t"]).first()["mode"] == texts[0]
+    top = [r["value"] for r in profile.top_values(df, ["t"], 5).collect()]
+    assert top == texts[:5]
+    # Below the tie, single texts in order; a text as long as its head comes before longer ones.
+    top = [r["value"] for r in profile.top_values(df, ["t"], 14).collect()]
+    assert top == [*texts, "a" * 300 + "b", head]
+    short = spark.createDataFrame([(head[:256],), (head[:256] + "a",)], "t string")
+    assert [r["value"] for r in profile.top_values(short, ["t"], 2).collect()] == [head[:256], head[:256] + "a"]
+
+
 def test_no_exchange_carries_long_texts(spark):
     from plumbline.functions.counts import value_counts
 
