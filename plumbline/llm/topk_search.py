@@ -1,9 +1,10 @@
 """Exact top-k search by exhaustive term-at-a-time accumulation.
 
-Candidates are dealt into blocks of bounded size. A block becomes postings, one list of (row,
-weight) for each dimension; each query's non-zero components scatter their weighted postings into
-a dense score array of the block, the k best are selected by partitioning, and the blocks' lists
-are merged by query. Queries stream past a block, so a task holds one block and a few queries.
+Candidates are dealt into blocks and queries into groups, both of bounded size; a task is one block
+and one group. A block becomes postings, one list of (row, weight) for each dimension; each query's
+non-zero components scatter their weighted postings into a dense score array of the block, the k
+best are selected by partitioning, and the blocks' lists are merged by query. Queries stream past a
+block, so a task holds one block and a few queries.
 """
 
 from __future__ import annotations
@@ -17,9 +18,12 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.tables import read
 
-#: Rows of a block, and queries whose score arrays are filled together.
+#: Rows of a block, queries of a group, and queries whose score arrays are filled together.
 BLOCK_ROWS = 16_384
+GROUP_QUERIES = 65_536
 QUERIES_AT_ONCE = 16
+#: Tasks for each core that few blocks are cut into by smaller groups.
+TASKS_PER_CORE = 3
 SCALE = 1024
 
 
@@ -131,23 +135,31 @@ def search(
         .where("not exists(cells, x -> x is null or isnan(x) or abs(cast(x as double)) = double('infinity'))")
         .selectExpr("name", f"transform(cells, x -> cast(floor({SCALE}D * cast(x as double)) as bigint)) as cells")
     )
-    blocks = max(1, -(-rows.count() // BLOCK_ROWS))
+    asking = F.col("name") % every == 0
+    total, asked = rows.agg(F.count(F.lit(1)), F.count_if(asking)).first()
+    blocks = max(1, -(-total // BLOCK_ROWS))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    groups = max(-(-asked // GROUP_QUERIES), min(-(-TASKS_PER_CORE * cores // blocks), -(-asked // QUERIES_AT_ONCE)), 1)
+    cells = blocks * groups
+    # Blocks go by id and vector, so that rows of one id spread too; cell = block * groups + group.
     candidates = rows.selectExpr(
-        f"cast(pmod(xxhash64(name), {blocks}) as int) as block", "false as asks", "name",
-        "0L as which", "cells",
+        f"explode(transform(sequence(0, {groups - 1}), "
+        f"g -> cast(pmod(xxhash64(name, cells), {blocks}) * {groups} + g as int))) as cell",
+        "false as asks", "name", "0L as which", "cells",
     )
     queries = (
-        rows.where(F.col("name") % every == 0)
+        rows.where(asking)
         .dropDuplicates()
         .selectExpr(
-            f"explode(sequence(0, {blocks - 1})) as block", "true as asks", "name",
-            "xxhash64(cells) as which", "cells",
+            f"explode(transform(sequence(0, {blocks - 1}), "
+            f"b -> cast(b * {groups} + pmod(xxhash64(cells, name), {groups}) as int))) as cell",
+            "true as asks", "name", "xxhash64(cells) as which", "cells",
         )
     )
     found = (
         candidates.union(queries)
-        .repartition(blocks, "block")
-        .sortWithinPartitions("block", "asks")
+        .repartitionById(cells, F.col("cell"))
+        .sortWithinPartitions("cell", "asks")
         .mapInArrow(lambda batches: _search(batches, k), "query_id long, which long, vec_id long, score long")
     )
     order = Window.partitionBy("query_id", "which").orderBy(F.desc("score"), "vec_id")

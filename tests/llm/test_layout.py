@@ -224,3 +224,24 @@ def test_search_equals_brute_force(spark, monkeypatch):
     few = spark.createDataFrame(rows[:2], "vec_id long, embedding array<float>, score int")
     assert topk_search.search(few).count() == 1
     assert topk_search.search(few.limit(0)).count() == 0
+
+
+def test_top_k_over_a_grid_of_blocks_and_groups(spark, monkeypatch):
+    rows = [(i % 900, [float((i * 7 + j * j) % 11) / 8 - 0.5 for j in range(5)]) for i in range(1000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = brute.ordered(topk_search.search(df).collect())
+    assert len(whole) >= 90
+    monkeypatch.setattr(topk_search, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(topk_search, "GROUP_QUERIES", 2)
+    assert brute.ordered(topk_search.search(df).collect()) == whole
+    monkeypatch.setattr(topk_search, "QUERIES_AT_ONCE", 1)
+    assert brute.ordered(topk_search.search(df).collect()) == whole
+
+
+def test_top_k_among_rows_of_one_id(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "BLOCK_ROWS", 50)
+    rows = [(1, [float(i % 37), float(i)]) for i in range(1000)] + [(100, [1.0, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = topk_search.search(df, k=5).collect()
+    best = sorted((-(int(1024 * (i % 37)) * 1024 + 1024 * i * 512) for i in range(1000)))[:5]
+    assert [r["score"] for r in sorted(found, key=lambda r: r["rank"])] == [-b for b in best]
