@@ -35,6 +35,11 @@ class _Inducer:
         marks[1:] = self.smaller[1:] & ~self.smaller[:-1]
         self.marks = marks
         self.leftmost = np.flatnonzero(marks)
+        # Letter to the left of a place where that suffix is larger, or smaller; else -1, as at place -1.
+        kind = np.int16 if letters <= 1 << 15 else np.int32
+        self.before_larger, self.before_smaller = np.full(n + 1, -1, kind), np.full(n + 1, -1, kind)
+        np.copyto(self.before_larger[1:n], text[:-1], where=~self.smaller[:-1], casting="unsafe")
+        np.copyto(self.before_smaller[1:n], text[:-1], where=self.smaller[:-1], casting="unsafe")
 
     def run(self, leftmost: np.ndarray) -> np.ndarray:
         """All suffixes, from leftmost-smaller ones in order (of letters at least)."""
@@ -54,95 +59,85 @@ class _Inducer:
         return out
 
     def _larger(self, out: np.ndarray) -> None:
-        text, bounds, smaller = self.text, self.bounds, self.smaller
+        bounds, before = self.bounds, self.before_larger
         head = bounds[:-1].copy()
-        end = len(text) - 1
-        out[head[text[end]]] = end
-        head[text[end]] += 1
+        end = len(self.text) - 1
+        out[head[self.text[end]]] = end
+        head[self.text[end]] += 1
         low, width = 0, 16
         while low < self.letters:
             high = min(self.letters, low + width)
-            source = out[bounds[low] : bounds[high]]
-            source = source[source > 0] - 1
-            source = source[~smaller[source]]
-            letter = text[source]
-            least = int(letter.min()) if len(letter) else self.letters
-            if least < high:
-                if least > low:  # stop before the first bucket that is still being fed
-                    high = least
-                else:  # the first bucket feeds itself
-                    high = low + 1
-                    first = bounds[low]
-                    while first < head[low]:
-                        source = out[first : head[low]]
-                        first = head[low]
-                        source = source[source > 0] - 1
-                        source = source[~smaller[source] & (text[source] == low)]
-                        out[first : first + len(source)] = source
-                        head[low] += len(source)
-                source = out[bounds[low] : bounds[high]]
-                source = source[source > 0] - 1
-                source = source[~smaller[source]]
-                letter = text[source]
-                other = letter >= high
-                source, letter = source[other], letter[other]
-                width = max(1, (high - low) * 2)
-            else:
+            places = out[bounds[low] : bounds[high]]
+            letter = before[places]
+            keep = letter >= 0
+            found = letter[keep]
+            least = int(found.min()) if len(found) else self.letters
+            if least >= high:
                 width *= 2
-            if len(source):
-                order = np.argsort(letter, kind="stable")
-                letter = letter[order]
+            elif least > low:  # stop before the first bucket that is still being fed
+                cut = bounds[least] - bounds[low]
+                high, width = least, max(1, (least - low) * 2)
+                places, keep = places[:cut], keep[:cut]
+                found = letter[:cut][keep]
+            else:  # the first bucket feeds itself
+                high, width = low + 1, 2
+                first = bounds[low]
+                while first < head[low]:
+                    part = out[first : head[low]]
+                    first = head[low]
+                    own = part[before[part] == low] - 1
+                    out[first : first + len(own)] = own
+                    head[low] += len(own)
+                places = out[bounds[low] : bounds[high]]
+                letter = before[places]
+                keep = letter > low
+                found = letter[keep]
+            if len(found):
+                source = places[keep] - 1
+                order = np.argsort(found, kind="stable")
+                letter = found[order]
                 inside, first, size = _groups(letter)
                 out[head[letter] + inside] = source[order]
                 head[letter[first]] += size
             low = high
 
     def _smaller(self, out: np.ndarray) -> None:
-        text, bounds, smaller = self.text, self.bounds, self.smaller
+        bounds, before = self.bounds, self.before_smaller
         tail = bounds[1:].copy()
         high, width = self.letters, 16
         while high > 0:
             low = max(0, high - width)
-            source = out[bounds[low] : bounds[high]][::-1]
-            source = source[source > 0] - 1
-            source = source[smaller[source]]
-            letter = text[source]
-            most = int(letter.max()) if len(letter) else -1
-            if most >= low:
-                if most < high - 1:
-                    low = most + 1
-                else:
-                    low = high - 1
-                    last = bounds[high]
-                    while last > tail[low]:
-                        source = out[tail[low] : last][::-1]
-                        last = tail[low]
-                        source = source[source > 0] - 1
-                        source = source[smaller[source] & (text[source] == low)]
-                        out[last - len(source) : last] = source[::-1]
-                        tail[low] -= len(source)
-                    # larger suffixes of the bucket come after its smaller ones in this order
-                    source = out[bounds[low] : tail[low]][::-1]
-                    source = source[source > 0] - 1
-                    source = source[smaller[source] & (text[source] == low)]
-                    while len(source):
-                        last = tail[low]
-                        out[last - len(source) : last] = source[::-1]
-                        tail[low] -= len(source)
-                        source = source[source > 0] - 1
-                        source = source[smaller[source] & (text[source] == low)]
-                source = out[bounds[low] : bounds[high]][::-1]
-                source = source[source > 0] - 1
-                source = source[smaller[source]]
-                letter = text[source]
-                other = letter < low
-                source, letter = source[other], letter[other]
+            places = out[bounds[low] : bounds[high]][::-1]
+            letter = before[places]
+            keep = letter >= 0
+            found = letter[keep]
+            most = int(found.max()) if len(found) else -1
+            if most < low:
+                width *= 2
+            elif most < high - 1:
+                low = most + 1
+                cut = bounds[high] - bounds[low]
                 width = max(1, (high - low) * 2)
+                places, keep = places[:cut], keep[:cut]
+                found = letter[:cut][keep]
             else:
-                width *= 2
-            if len(source):
-                order = np.argsort(letter, kind="stable")
-                letter = letter[order]
+                # Only the bucket's smaller suffixes feed it: equal neighbours are of one kind.
+                low, width = high - 1, 2
+                last = bounds[high]
+                while last > tail[low]:
+                    part = out[tail[low] : last][::-1]
+                    last = tail[low]
+                    own = part[before[part] == low] - 1
+                    out[last - len(own) : last] = own[::-1]
+                    tail[low] -= len(own)
+                places = out[bounds[low] : bounds[high]][::-1]
+                letter = before[places]
+                keep = (letter >= 0) & (letter < low)
+                found = letter[keep]
+            if len(found):
+                source = places[keep] - 1
+                order = np.argsort(found, kind="stable")
+                letter = found[order]
                 inside, first, size = _groups(letter)
                 out[tail[letter] - 1 - inside] = source[order]
                 tail[letter[first]] -= size
@@ -216,7 +211,9 @@ def permuted_common_prefixes(text: np.ndarray, order: np.ndarray) -> tuple[np.nd
         room = n - np.maximum(a, b)
         differ = words[a] ^ words[b]
         low = differ & (~differ + np.uint64(1))
-        equal = np.where(differ == 0, 8, (np.log2(np.maximum(low, 1).astype(float)).astype(np.int64)) >> 3)
+        # The exponent of a power of two is the place of its bit.
+        equal = ((low.astype(np.float64).view(np.int64) >> 52) - 1023) >> 3
+        equal[differ == 0] = 8
         equal = np.minimum(equal, room)
         shared[live] += equal
         go = (equal == 8) & (room > 8)
