@@ -1,21 +1,27 @@
 """Suffix arrays by induced sorting and permuted common prefixes, in numpy.
 
 Suffixes are classified as larger or smaller than their right neighbour; substrings between
-leftmost-smaller positions are sorted by inducing, named, and sorted as a shorter text by the same
-function; one more pass of inducing gives the whole array. Inducing walks the buckets in order, as
-many at once as do not feed each other, so each step is a vector operation.
+leftmost-smaller positions are sorted (by packed letters; where equal ones are very long, by
+inducing), named, and sorted as a shorter text by the same function; one more pass of inducing gives
+the whole array. Inducing walks the buckets in order, as many at once as do not feed each other, so
+each step is a vector operation.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Letters by which substrings are sorted with packed keys before inducing sorts them.
+KEY_LETTERS = 112
 
-def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of sorted keys: place of each within its group, first of each group, size of each group."""
+
+def _inside(keys: np.ndarray) -> np.ndarray:
+    """Of sorted keys: place of each within its group."""
+    count = np.arange(len(keys))
+    if len(keys) < 4096:  # one look-up costs less than five passes
+        return count - keys.searchsorted(keys)
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    size = np.diff(np.append(first, len(keys)))
-    return np.arange(len(keys)) - np.repeat(first, size), first, size
+    return count - np.repeat(first, np.diff(np.append(first, len(keys))))
 
 
 class _Inducer:
@@ -46,7 +52,7 @@ class _Inducer:
         n = len(self.text)
         out = np.full(n, -1, np.int32)
         letter = self.text[leftmost]
-        inside, _, _ = _groups(letter)
+        inside = _inside(letter)
         size = np.bincount(letter, minlength=self.letters)
         out[self.bounds[1:][letter] - size[letter] + inside] = leftmost
         self._larger(out)
@@ -94,11 +100,12 @@ class _Inducer:
                 found = letter[keep]
             if len(found):
                 source = places[keep] - 1
-                order = np.argsort(found, kind="stable")
+                order = found.argsort(kind="stable")
                 letter = found[order]
-                inside, first, size = _groups(letter)
-                out[head[letter] + inside] = source[order]
-                head[letter[first]] += size
+                place = head[letter] + _inside(letter)
+                out[place] = source[order]
+                last = np.append(letter[1:] != letter[:-1], True)
+                head[letter[last]] = place[last] + 1
             low = high
 
     def _smaller(self, out: np.ndarray) -> None:
@@ -136,11 +143,12 @@ class _Inducer:
                 found = letter[keep]
             if len(found):
                 source = places[keep] - 1
-                order = np.argsort(found, kind="stable")
+                order = found.argsort(kind="stable")
                 letter = found[order]
-                inside, first, size = _groups(letter)
-                out[tail[letter] - 1 - inside] = source[order]
-                tail[letter[first]] -= size
+                place = tail[letter] - 1 - _inside(letter)
+                out[place] = source[order]
+                last = np.append(letter[1:] != letter[:-1], True)
+                tail[letter[last]] = place[last]
             high = low
 
     def names(self, order: np.ndarray) -> tuple[np.ndarray, int]:
@@ -167,6 +175,54 @@ class _Inducer:
         return names, int(len(place) - same.sum())
 
 
+def _keyed_names(text: np.ndarray, place: np.ndarray, letters: int) -> tuple[np.ndarray, int] | None:
+    """Names of the leftmost-smaller substrings, sorted by as many letters at once as a key holds.
+
+    A digit is 0 after the text, 1 and up for a letter and the largest after a substring: where one
+    goes on and the other ends, its letter is followed by a larger suffix and sorts before. None if
+    some equal substrings are too long for this.
+    """
+    end = letters + 1
+    bits = end.bit_length()
+    step = 64 // bits
+    rounds = -(-KEY_LETTERS // step)
+    length = np.diff(np.append(place, len(text))) + 1
+    length[-1] = len(text) + KEY_LETTERS + 2 * step  # goes on past the end
+    digits = np.concatenate((text.astype(np.uint64) + np.uint64(1), np.zeros(1, np.uint64)))
+
+    def keys(of: np.ndarray, at: int) -> np.ndarray:
+        out = np.zeros(len(of), np.uint64)
+        start, left = place[of] + at, length[of] - at
+        for i in range(step):
+            digit = digits[np.minimum(start + i, len(text))]
+            digit[left <= i] = end
+            out = (out << np.uint64(bits)) | digit
+        return out
+
+    rank = np.zeros(len(place), np.int64)  # how many substrings are smaller
+    live, at = np.arange(len(place)), 0
+    while len(live):
+        if at >= step * rounds:
+            return None
+        key = keys(live, at)
+        order = np.lexsort((key, rank[live])) if at else np.argsort(key)
+        live, key = live[order], key[order]
+        before = rank[live]
+        group = np.concatenate(([True], before[1:] != before[:-1]))
+        part = group.copy()
+        part[1:] |= key[1:] != key[:-1]
+        inside = np.arange(len(live))
+        first = np.flatnonzero(part)
+        size = np.diff(np.append(first, len(live)))
+        rank[live] = before + np.repeat(first, size) - np.maximum.accumulate(np.where(group, inside, 0))
+        at += step
+        live = live[np.repeat(size > 1, size) & (length[live] >= at)]
+    seen = np.zeros(len(place), np.int32)
+    seen[rank] = 1
+    dense = np.cumsum(seen, dtype=np.int32)
+    return dense[rank] - 1, int(dense[-1])
+
+
 def suffix_array(text: np.ndarray, letters: int = 256) -> np.ndarray:
     """Places of all suffixes in order; a suffix that ends sorts before one that goes on."""
     n = len(text)
@@ -175,12 +231,17 @@ def suffix_array(text: np.ndarray, letters: int = 256) -> np.ndarray:
     inducer = _Inducer(text, letters)
     places = inducer.leftmost
     if len(places) > 1:
-        rough = places[np.argsort(text[places], kind="stable")]
-        order = inducer.run(rough)
-        order = order[inducer.marks[order]]
-        names, kinds = inducer.names(order)
+        named = _keyed_names(text, places, letters)
+        if named is None:
+            rough = places[np.argsort(text[places], kind="stable")]
+            order = inducer.run(rough)
+            named = inducer.names(order[inducer.marks[order]])
+        names, kinds = named
+        order = np.empty_like(places)
         if kinds < len(places):
             order = places[suffix_array(names, kinds)]
+        else:
+            order[names] = places
     else:
         order = places
     return inducer.run(order)

@@ -144,3 +144,22 @@ def test_production_lengths_on_given_documents(spark):
     assert brute.ordered(got.collect()) == brute.ordered(brute.suffix_dedup(rows, 400))
     got = substring_dedup.dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
     assert brute.ordered(got.collect()) == brute.ordered(brute.substring_dedup(rows, 50))
+
+
+def test_suffix_arrays_of_repeats_and_of_many_letters(monkeypatch):
+    from plumbline.llm import suffixes
+
+    draw = np.random.default_rng(2)
+    texts = [b"a" * 900, b"ab" * 500, (b"a" * 200 + b"b") * 6, (b"b" * 200 + b"a") * 6, bytes(range(256)) * 3,
+             (b"zyx" * 40 + b"a" * 300) * 2, b"\xff" * 50 + b"\x00" * 40]
+    texts += [np.tile(draw.integers(0, 3, int(draw.integers(1, 40))), 2).astype(np.uint8).tobytes() for _ in range(200)]
+    for longest in (suffixes.KEY_LETTERS, 0):  # packed keys, and inducing alone
+        monkeypatch.setattr(suffixes, "KEY_LETTERS", longest)
+        for text in texts:
+            wanted = sorted(range(len(text)), key=lambda i: text[i:])
+            assert suffixes.suffix_array(np.frombuffer(text, np.uint8)).tolist() == wanted
+    words = np.concatenate((draw.integers(0, 9000, 2000), np.arange(9000)[::-4]))
+    words = np.unique(np.concatenate((words, words)), return_inverse=True)[1].astype(np.int32)
+    listed = words.tolist()
+    wanted = sorted(range(len(listed)), key=lambda i: listed[i:])
+    assert suffixes.suffix_array(words, int(words.max()) + 1).tolist() == wanted
