@@ -134,6 +134,41 @@ def test_forest_of_few_or_equal_rows(spark):
         local_outlier_factor(df, ["a", "b"], 20, 53, search="some")
 
 
+def test_forest_in_parts_keeps_lists_in_their_tasks(spark, monkeypatch):
+    """Parts smaller than the table: factors near the exact ones, no table of rows x trees or of all distances."""
+    from plumbline.operators import neighbours
+
+    random = np.random.default_rng(3)
+    points = random.normal(size=(1500, 4))
+    points[:200] = np.round(points[:200])  # many ties and copies
+    names = [f"c{i}" for i in range(4)]
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)],
+                               "k long, " + ", ".join(f"{c} double" for c in names))
+    exact = {r["k"]: r["lof_score"] for r in anomalies.lof_scores(df, names, 1500, CONFIG).collect()}
+    stored = []
+
+    def watched(frame):
+        kept = pin(frame)
+        lists = [c for c, t in kept.dtypes if t == "array<double>" and not c.startswith("far")]
+        stored.append((kept.count() if "x0" in kept.columns else 0, lists))
+        return kept
+
+    pin = neighbours.pin
+    monkeypatch.setattr(neighbours, "pin", watched)
+    if hasattr(neighbours, "FOREST_PART_ROWS"):
+        monkeypatch.setattr(neighbours, "FOREST_PART_ROWS", 300)
+        monkeypatch.setattr(neighbours, "FOREST_CUTS", 8)
+    config = QualityConfig(anomaly_neighbour_search="forest")
+    scored = anomalies.lof_scores(df, names, 1500, config, leaf_rows=1000)
+    found = {r["k"]: r["lof_score"] for r in scored.collect()}
+    places = locations(df, names).count()
+    assert max(rows for rows, _ in stored) <= places and not any(lists for _, lists in stored)
+    close = [k for k in exact if abs(found[k] - exact[k]) <= 1e-9 * abs(exact[k])]
+    # A factor is exact if none of 400 neighbours' neighbours is missed.
+    assert len(found) == 1500 and len(close) >= 0.25 * len(exact)
+    assert np.mean([abs(found[k] / exact[k] - 1) for k in exact]) < 0.01
+
+
 def planted(spark, n=500, bad=10):
     rows = [
         (i, 1000.0 + 40 * i, -900.0 - 30 * i) if i < bad
