@@ -304,3 +304,34 @@ def test_cleaned_file_names(spark, tmp_path):
     assert pl.read_csv(spark, str(tmp_path / "o.csv")).collect() == df.collect()
     with pytest.raises(ValueError):
         pl.write_table(df, str(tmp_path / "o.x"), format="xlsx")
+
+
+@pytest.mark.parametrize("late", [False, True])
+def test_first_repeats_read_no_more_of_the_table_than_they_need(spark, monkeypatch, late):
+    """Whole blocks are copies: the first repeats come from a beginning, in the order of the whole."""
+    monkeypatch.setattr(duplicates, "HEAD_ROWS", 500, raising=False)
+    keyed = spark.range(8000).select(
+        F.when(F.col("id") % 400 > 0, F.col("id")).alias("k"), F.col("id").alias("j"),
+        (F.col("id") % F.lit(7990 if late else 60)).cast("string").alias("v"),
+    )
+    asked = []
+    plain = duplicates.repeat_candidates
+    monkeypatch.setattr(duplicates, "repeat_candidates", lambda d, n: asked.append(d.count()) or plain(d, n))
+    shown = duplicates.first_repeats(keyed, ["v"], ["k", "j"], 30).collect()
+    seen, expected = set(), []
+    for j in sorted(range(8000), key=lambda i: (i % 400 > 0, i)):
+        v = j % (7990 if late else 60)
+        if v in seen:
+            expected.append(str(v))
+        seen.add(v)
+    found = duplicates.first_repeats(keyed, ["v"], ["k", "j"], 30, F.col("v")).collect()
+    assert [r["value"] for r in found] == expected[:30] and len(shown) == min(30, len(expected))
+    assert max(asked) == 8000 if late else max(asked) < 2000
+
+
+def test_many_repeated_hashes_are_counted_without_a_look_up(spark, monkeypatch):
+    rows = spark.range(3000).selectExpr("cast(id % 1000 as string) as a", "id % 2 as b", "1.5D as c")
+    monkeypatch.setattr(duplicates, "FEW_HASHES", 10, raising=False)
+    groups = duplicates.repeat_groups(rows, ["a", "b", "c"])
+    assert "LeftSemi" not in groups._jdf.queryExecution().toString()
+    assert {r["n"] for r in groups.collect()} == {3} and groups.count() == 1000
