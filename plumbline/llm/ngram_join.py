@@ -6,8 +6,9 @@
    crowded tiles, as many as it can spare, which are mostly those of passages that many share.
 3. Inside a tile bit counts rule out most members; every class is tested against the first one that
    they let pass, and what links is one component.
-4. Tiles that still hold several components compare their members' bitmaps, and pairs of different
-   components that bit counts cannot rule out are tested, so no link between components is lost.
+4. Tiles that still hold several components compare their members' bitmaps, twice to join components
+   by their closest members, which are tested. Then pairs of components that are still apart and
+   that bit counts cannot rule out are tested, so no link between components is lost.
 
 Pairs inside a component are never listed: the work of a group of near copies grows with its
 members, not with their pairs.
@@ -37,6 +38,10 @@ from plumbline.llm.texts import chunks
 TILE_ROWS = 1_000_000
 #: Members of a tile whose bitmaps are compared at once with all others.
 BLOCK = 256
+#: What is wanted of the pairs of a tile, and how often components are joined by their closest members
+#: before all pairs of members of different components are.
+FIRST, CLOSEST, ALL = "first", "closest", "all"
+ROUNDS = 2
 #: Rows of equal tiles found in one task go on to so many others.
 SALTS = 64
 
@@ -185,11 +190,13 @@ def _links(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return by_batch(full, run, "a long, b long")
 
 
-def _open_pairs(batches: Iterator[pa.RecordBatch], one_each: bool, rule: Rule) -> Iterator[pa.RecordBatch]:
+def _open_pairs(batches: Iterator[pa.RecordBatch], wanted: str, rule: Rule) -> Iterator[pa.RecordBatch]:
     """From tile members by key: pairs of different components that bit counts let pass.
 
-    With ``one_each`` only the first partner, before it or after it, of each member that has one.
+    With FIRST only the first partner, before it or after it, of each member that has one; with
+    CLOSEST, from each block of members, the pair of each two components that differs in the fewest bits.
     """
+    one_each = wanted == FIRST
     rest: list[pa.RecordBatch] = []
 
     def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -209,6 +216,7 @@ def _open_pairs(batches: Iterator[pa.RecordBatch], one_each: bool, rule: Rule) -
                 bits[rows] = folded(words[place[first + rows, None] + np.arange(w)], bits.shape[1])
             for low in range(first, end, BLOCK):
                 own = np.arange(low, min(low + BLOCK, end))
+                kept: list[np.ndarray] = []
                 for at in range(first if one_each else low, end, BLOCK):
                     other = np.arange(at, min(at + BLOCK, end))
                     if one_each:
@@ -227,8 +235,19 @@ def _open_pairs(batches: Iterator[pa.RecordBatch], one_each: bool, rule: Rule) -
                             two, earliest = np.unique(two, return_index=True)
                             one = one[earliest]
                             paired[two - first] = True
+                        if wanted == CLOSEST:
+                            sides = np.sort(np.stack((label[one], label[two])), axis=0)
+                            kept.append(np.stack((*sides, differ[good], one, two)))
+                            continue
                         a, b = name[one], name[two]
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                if kept:
+                    found = np.concatenate(kept, axis=1)
+                    found = found[:, np.lexsort(found[2::-1])]
+                    new = np.ones(found.shape[1], bool)
+                    new[1:] = (found[:2, 1:] != found[:2, :-1]).any(axis=0)
+                    a, b = name[found[3, new]], name[found[4, new]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -263,15 +282,15 @@ def class_links(docs: DataFrame, classed: DataFrame, rule: Rule = Rule()) -> Dat
     tiles = pin(ranked.where(F.col("place") > F.col("spare").bitwiseAND((1 << SPARE_BITS) - 1)).select("key", "class"))
     bits = pin(classed.where("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.first("bits").alias("bits")))
 
-    def compared(members: DataFrame, one_each: bool) -> DataFrame:
+    def compared(members: DataFrame, wanted: str) -> DataFrame:
         """Pairs of tile members (key, class, component) that bit counts let pass."""
         return (
             members.join(bits, "class").select("key", "class", "component", "n", "bits")
             .repartition(tasks, "key").sortWithinPartitions("key", "class")
-            .mapInArrow(lambda batches: _open_pairs(batches, one_each, rule), "a long, b long").distinct()
+            .mapInArrow(lambda batches: _open_pairs(batches, wanted, rule), "a long, b long").distinct()
         )
 
-    passed = pin(compared(tiles.withColumn("component", F.col("class")), True))
+    passed = pin(compared(tiles.withColumn("component", F.col("class")), FIRST))
     asked = pin(passed.select(F.col("a").alias("class")).union(passed.select("b")).distinct())
     stands = classed.join(asked, "class", "left_semi").groupBy("class").agg(
         F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash")
@@ -282,13 +301,20 @@ def class_links(docs: DataFrame, classed: DataFrame, rule: Rule = Rule()) -> Dat
 
     found = pin(forest_roots(links.select(F.col("b").alias("node"), F.col("a").alias("parent"))))
     stars = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
-    found = found.select(F.col("node").alias("class"), "component")
-    labelled = tiles.join(asked, "class", "left_semi").join(found, "class", "left")
-    labelled = pin(labelled.withColumn("component", F.coalesce("component", "class")))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = mixed.where("low <> high").select("key")
-    pairs = pin(compared(labelled.join(mixed, "key", "left_semi"), False))
-    return stars.union(pin(_links(pairs, sets, rule)))
+    spans, tested = stars, first
+    held = tiles.join(asked, "class", "left_semi")
+    for turn in range(ROUNDS, -1, -1):
+        names = found.select(F.col("node").alias("class"), "component")
+        labelled = pin(held.join(names, "class", "left").withColumn("component", F.coalesce("component", "class")))
+        mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        held = labelled.join(mixed.where("low <> high").select("key"), "key", "left_semi")
+        pairs = pin(compared(held, CLOSEST if turn else ALL).join(tested, ["a", "b"], "left_anti"))
+        joined = pin(_links(pairs, sets, rule))
+        spans = spans.union(joined)
+        if turn:
+            found, tested = components(spans).select("node", "component"), tested.union(pairs)
+        held = held.select("key", "class")
+    return spans
 
 
 def _grouped(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:

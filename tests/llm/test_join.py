@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from plumbline.llm import ngram_join
 from plumbline.llm.components import components, forest_roots
@@ -125,3 +126,24 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert ngram_join.join_components(empty).count() == 0
     assert ngram_join.first_of_components(empty).count() == 0
+
+
+def test_two_components_of_a_tile_are_joined_by_one_pair_not_by_all():
+    """100 against 100 members: the closest pair, whatever the number of members."""
+
+    def made(members: int, wanted: str) -> list[tuple[int, int]]:
+        size = 2 * members
+        bits = np.zeros((size, 16), np.int64)
+        bits[members:, 0] = 3  # every pair across differs in two bits, but for the last row's
+        bits[-1, 0] = 1
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(np.full(size, 7)), pa.array(np.arange(size)), pa.array(np.repeat([0, members], members)),
+             pa.array(np.full(size, 300)), pa.array(list(bits), pa.list_(pa.int64()))],
+            ["key", "class", "component", "n", "bits"],
+        )
+        found = ngram_join._open_pairs(iter([batch]), wanted, ngram_join.Rule())
+        return [(a, b) for part in found for a, b in zip(*(part.column(i).to_pylist() for i in (0, 1)))]
+
+    assert made(100, ngram_join.CLOSEST) == [(0, 199)]
+    assert len(made(100, ngram_join.ALL)) == 10_000
+    assert len(made(400, ngram_join.CLOSEST)) <= 4
