@@ -7,7 +7,9 @@ windows always lie in segments of one name, wherever they stand. That gives
 1. fingerprints: one row a segment, with its name and a hash of its content;
 2. candidates: segments whose name occurs twice or more; all other windows are unique;
 3. contents: equal segments become one row before any text moves, with two of the places they
-   stand at, so that what a search knows to repeat it has seen twice;
+   stand at, so that what a search knows to repeat it has seen twice; neighbours that are alone
+   under their names and have both places in the same two documents move and are searched as one
+   stretch, which spares the text in which their windows overlap;
 4. search: the segments of a name meet in a task, which finds their equal windows exactly; a name
    with more text than a task should hold is dealt out by content, and windows still open are
    compared between its shares by hash;
@@ -18,6 +20,7 @@ Step 4 is the operators' own; they pass a function for it.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -34,6 +37,8 @@ from plumbline.llm.texts import CHUNK_BYTES, Words, bytes_prefix, chunks, ranges
 SEARCH_BYTES = 2 << 20
 #: Text of a search task, which works on it piece by piece.
 TASK_BYTES = 8 << 20
+#: Windows of neighbouring segments that are searched as one stretch.
+STRETCH = 1 << 13
 LAST = (1 << 63) - 1
 
 
@@ -108,24 +113,48 @@ def _fingerprints(docs: DataFrame, kind: Kind) -> DataFrame:
     return by_batch(docs, run, f"doc_id {key}, text_hash long, start int, n int, name long, content long, weight int")
 
 
+def stretches(parts: list[dict]) -> list[list[dict]]:
+    """Wanted segments of one document; those of one chain and copy that follow each other stand together.
+
+    Both copies of a chain lie at one distance in all segments, so they are cut alike.
+    """
+    out = [[part] for part in parts if part["chain"] is None]
+    chained = [part for part in parts if part["chain"] is not None]
+    last: list[dict] = []
+    for part in sorted(chained, key=lambda p: (p["chain"], p["copy"], p["start"])):
+        end = part["start"] + part["n"]
+        if (
+            last
+            and (last[-1]["chain"], last[-1]["copy"]) == (part["chain"], part["copy"])
+            and last[-1]["start"] + last[-1]["n"] == part["start"]
+            and end - last[0]["start"] <= STRETCH
+        ):
+            last.append(part)
+        else:
+            last = [part]
+            out.append(last)
+    return out
+
+
 def _cut_out(docs: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
-    """Text of the wanted standing places of each content."""
+    """Text of the wanted standing places of each content, a row a stretch of them."""
     lists = wanted.groupBy("doc_id", "text_hash").agg(
-        F.collect_list(F.struct("start", "n", "name", "share", "content", "copy", "first")).alias("parts")
+        F.collect_list(F.struct("start", "n", "name", "share", "content", "copy", "first", "chain")).alias("parts")
     )
     held = docs.alias("d").join(
         lists.hint("shuffle_hash").alias("w"),
         F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_hash") == F.col("w.text_hash")),
     )
 
-    names = ["name", "share", "content", "copy", "first", "n", "letters"]
+    names = ["name", "share", "copy", "first", "names", "contents", "counts", "letters"]
 
     def cut(batch: pa.RecordBatch, done: set[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[] for _ in names]
         size = 0
 
         def give() -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+            longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), longs, longs, ints, pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
         for cell, parts in zip(batch.column(0), batch.column(1)):
@@ -137,10 +166,12 @@ def _cut_out(docs: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
             data = (cell.as_py() or "").encode()
             if kind.words:
                 data = data.split()
-            for part in parts.as_py():
-                letters = data[part["start"] : part["start"] + part["n"] + kind.window - 1]
+            for stretch in stretches(parts.as_py()):
+                head, tail = stretch[0], stretch[-1]
+                letters = data[head["start"] : tail["start"] + tail["n"] + kind.window - 1]
                 letters = b" ".join(letters) if kind.words else letters
-                for column, value in zip(out, (*(part[c] for c in names[:-1]), letters)):
+                members = ([part[c] for part in stretch] for c in ("name", "content", "n"))
+                for column, value in zip(out, (*(head[c] for c in names[:4]), *members, letters)):
                     column.append(value)
                 size += len(letters)
             if size > CHUNK_BYTES:
@@ -154,7 +185,10 @@ def _cut_out(docs: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
         for batch in batches:
             yield from cut(batch, done)
 
-    schema = "name long, share int, content long, copy int, first long, n int, letters binary"
+    schema = (
+        "name long, share int, copy int, first long, names array<long>, contents array<long>, counts array<int>, "
+        "letters binary"
+    )
     return held.select("d.text", "w.parts").mapInArrow(run, schema)
 
 
@@ -180,9 +214,13 @@ def _search_all(texts: DataFrame, tasks: int, search: Search) -> DataFrame:
     def work(rows: list[tuple]) -> pa.RecordBatch | None:
         if not rows:
             return None
-        names, shares, contents, copies, firsts, counts, letters = zip(*rows)
-        counts = np.array(counts, np.int64)
-        found = search(list(letters), counts, np.array(firsts, np.int64))
+        _, shares, copies, firsts, names, contents, counts, letters = zip(*rows)
+        totals = np.array([sum(c) for c in counts], np.int64)
+        found = search(list(letters), totals, np.array(firsts, np.int64))
+        # From here on by segment: those of a stretch lie side by side, as their windows do.
+        members = [len(c) for c in counts]
+        shares, copies, firsts = (np.repeat(np.array(c, np.int64), members) for c in (shares, copies, firsts))
+        names, contents, counts = (np.fromiter(itertools.chain.from_iterable(c), np.int64) for c in (names, contents, counts))
         base = np.concatenate(([0], np.cumsum(counts)))
         owner = np.repeat(np.arange(len(counts)), counts)
         marked = found.marked
@@ -193,14 +231,14 @@ def _search_all(texts: DataFrame, tasks: int, search: Search) -> DataFrame:
         begin, stop = np.flatnonzero(begin), np.flatnonzero(stop)
         of = owner[begin]
         runs = np.searchsorted(of, np.arange(len(counts) + 1))
-        dealt = np.array(shares) > 0
+        dealt = shares > 0
         keep = dealt[owner[found.open_at]]
         at, hashes = found.open_at[keep], found.open_hash[:, keep]
         opened = np.searchsorted(owner[at], np.arange(len(counts) + 1))
         lists = lambda ends, values, to: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.astype(to)))
         return pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.int64()), pa.array(shares, pa.int32()), pa.array(contents, pa.int64()),
-             pa.array(copies, pa.int32()), pa.array(firsts, pa.int64()), lists(runs, begin - base[of], np.int32),
+            [pa.array(names), pa.array(shares.astype(np.int32)), pa.array(contents),
+             pa.array(copies.astype(np.int32)), pa.array(firsts), lists(runs, begin - base[of], np.int32),
              lists(runs, stop - begin + 1, np.int32), lists(opened, at - base[owner[at]], np.int32),
              lists(opened, hashes[0], np.int64), lists(opened, hashes[1], np.int64)],
             [c.split()[0] for c in schema.split(", ")],
@@ -209,14 +247,14 @@ def _search_all(texts: DataFrame, tasks: int, search: Search) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size, last = {}, 0, None
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(8))):
                 if size > SEARCH_BYTES and row[:2] != last:
                     yield work(list(rows.values()))
                     rows, size = {}, 0
                 last = row[:2]
                 # Equal rows in several tasks hand in their parts once each.
-                if rows.setdefault(row[:4], row) is row:
-                    size += len(row[6])
+                if rows.setdefault((*row[:3], row[5][0]), row) is row:
+                    size += len(row[7])
         if rows:
             yield work(list(rows.values()))
 
@@ -240,32 +278,39 @@ def marked_runs(
 
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) if ordered else F.lit(0).cast("long")
     letter = 8 if kind.words else 1
-    place = ("doc_id", "text_hash", "start")
+    place = F.struct("doc_id", "text_hash", "start")
     contents = pin(
         stands.withColumn("own", order)
         .groupBy("name", "content")
         .agg(
             F.count("*").alias("times"), F.min("own").alias("first"), F.max("own").alias("last"), F.first("n").alias("n"),
-            *[F.first(c).alias(c) for c in place], *[F.last(c).alias(f"{c}_2") for c in place],
+            F.min(place).alias("one"), F.max(place).alias("two"),
         )
     )
     # Copy 0 stands for the smallest document that holds a content, copy 1 for all later ones.
     twice = F.col("last") > F.col("first") if ordered else F.col("times") > 1
     copies = [
-        F.struct(F.lit(i).alias("copy"), F.col(own).alias("first"), *[F.col(f"{c}{tail}").alias(c) for c in place])
-        for i, own, tail in ((0, "first", ""), (1, "last", "_2"))
+        F.struct(F.lit(i).alias("copy"), F.col(own).alias("first"), f"{at}.doc_id", f"{at}.text_hash", f"{at}.start")
+        for i, own, at in ((0, "first", "one"), (1, "last", "two"))
     ]
     names = contents.groupBy("name").agg(
-        F.sum((F.col("n") + kind.window) * F.when(twice, 2).otherwise(1)).alias("letters")
+        F.sum((F.col("n") + kind.window) * F.when(twice, 2).otherwise(1)).alias("letters"), F.count("*").alias("kinds")
     )
     # Share 0 is a name that one task searches whole; others are dealt out as shares 1, 2, ...
     shares = F.expr(f"ceil(letters * {letter} / {share_bytes})")
-    dealt = F.when(shares <= 1, 0).otherwise(F.pmod(F.xxhash64("content"), shares) + 1)
+    alone = F.col("kinds") == 1
+    dealt = F.when(alone | (shares <= 1), 0).otherwise(F.pmod(F.xxhash64("content"), shares) + 1)
+    # No other segment holds a window of a content that is alone: it needs only its own second place.
+    chain = F.xxhash64(
+        "one.doc_id", "one.text_hash", "two.doc_id", "two.text_hash", F.expr("two.start - one.start"), "first", "last"
+    )
     wanted = (
-        contents.select("name", "content", "n", F.explode(F.when(twice, F.array(*copies)).otherwise(F.array(copies[0]))).alias("c"))
-        .select("name", "content", "n", "c.*")
-        .join(names, "name")
-        .withColumn("share", dealt.cast("int"))
+        contents.join(names, "name")
+        .select(
+            "name", "content", "n", dealt.cast("int").alias("share"), F.when(alone & twice, chain).alias("chain"),
+            F.explode(F.when(twice, F.array(*copies)).otherwise(F.array(copies[0]))).alias("c"),
+        )
+        .select("name", "content", "n", "share", "chain", "c.*")
     )
     total = names.agg(F.sum("letters")).first()[0] or 0
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total * letter // TASK_BYTES))

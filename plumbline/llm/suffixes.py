@@ -2,8 +2,8 @@
 
 Suffixes are classified as larger or smaller than their right neighbour; substrings between
 leftmost-smaller positions are sorted (by packed letters; where equal ones are very long, by
-inducing), named, and sorted as a shorter text by the same function; one more pass of inducing gives
-the whole array. Inducing walks the buckets in order, as many at once as do not feed each other, so
+inducing), named, and sorted as a shorter text by the same function, or by doubling where that text
+is short and steps would cost more than letters; one more pass of inducing gives the whole array. Inducing walks the buckets in order, as many at once as do not feed each other, so
 each step is a vector operation.
 """
 
@@ -13,6 +13,8 @@ import numpy as np
 
 #: Letters by which substrings are sorted with packed keys before inducing sorts them.
 KEY_LETTERS = 112
+#: Texts of names up to this length are sorted by doubling.
+SHORT = 1 << 18
 
 
 def _inside(keys: np.ndarray) -> np.ndarray:
@@ -175,6 +177,17 @@ class _Inducer:
         return names, int(len(place) - same.sum())
 
 
+def _split(before: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by rank and key: ranks that the keys tell apart, and how many rows share each."""
+    group = np.concatenate(([True], before[1:] != before[:-1]))
+    part = group.copy()
+    part[1:] |= key[1:] != key[:-1]
+    first = np.flatnonzero(part)
+    size = np.diff(np.append(first, len(key)))
+    first, size = np.repeat(first, size), np.repeat(size, size)
+    return before + first - np.maximum.accumulate(np.where(group, np.arange(len(key)), 0)), size
+
+
 def _keyed_names(text: np.ndarray, place: np.ndarray, letters: int) -> tuple[np.ndarray, int] | None:
     """Names of the leftmost-smaller substrings, sorted by as many letters at once as a key holds.
 
@@ -207,22 +220,41 @@ def _keyed_names(text: np.ndarray, place: np.ndarray, letters: int) -> tuple[np.
         key = keys(live, at)
         order = np.lexsort((key, rank[live])) if at else np.argsort(key)
         live, key = live[order], key[order]
-        before = rank[live]
-        group = np.concatenate(([True], before[1:] != before[:-1]))
-        part = group.copy()
-        part[1:] |= key[1:] != key[:-1]
-        inside = np.arange(len(live))
-        first = np.flatnonzero(part)
-        size = np.diff(np.append(first, len(live)))
-        rank[live] = before + np.repeat(first, size) - np.maximum.accumulate(np.where(group, inside, 0))
+        rank[live], size = _split(rank[live], key)
         at += step
-        live = live[np.repeat(size > 1, size) & (length[live] >= at)]
+        live = live[(size > 1) & (length[live] >= at)]
     seen = np.zeros(len(place), np.int32)
     seen[rank] = 1
     dense = np.cumsum(seen, dtype=np.int32)
     return dense[rank] - 1, int(dense[-1])
 
 
+def _doubled(text: np.ndarray, letters: int) -> np.ndarray:
+    """Suffix array by doubling: suffixes that share some letters are told apart by as many after them."""
+    n = len(text)
+    bits = letters.bit_length()
+    shared = min(n, 64 // bits)
+    digits = np.concatenate((text.astype(np.uint64) + np.uint64(1), np.zeros(shared, np.uint64)))
+    key = np.zeros(n, np.uint64)
+    for i in range(shared):
+        key = (key << np.uint64(bits)) | digits[i : i + n]
+    rank = np.zeros(n + 1, np.int64)  # how many suffixes are smaller; the empty one is before all
+    rank[n] = -1
+    live = np.argsort(key)
+    rank[live], size = _split(np.zeros(n, np.int64), key[live])
+    live = live[size > 1]
+    while len(live):
+        key = (rank[live] << 32) | (rank[np.minimum(live + shared, n)] + 1)
+        by_key = np.argsort(key)
+        live, key = live[by_key], key[by_key]
+        rank[live], size = _split(key >> 32, key)
+        live = live[size > 1]
+        shared *= 2
+    order = np.empty(n, np.int32)
+    order[rank[:n]] = np.arange(n, dtype=np.int32)
+    return order
+
+
 def suffix_array(text: np.ndarray, letters: int = 256) -> np.ndarray:
     """Places of all suffixes in order; a suffix that ends sorts before one that goes on."""
     n = len(text)
@@ -239,7 +271,7 @@ def suffix_array(text: np.ndarray, letters: int = 256) -> np.ndarray:
         names, kinds = named
         order = np.empty_like(places)
         if kinds < len(places):
-            order = places[suffix_array(names, kinds)]
+            order = places[(_doubled if len(places) <= SHORT else suffix_array)(names, kinds)]
         else:
             order[names] = places
     else:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from plumbline.llm import substring_dedup, suffix_dedup
-from plumbline.llm.repeats import Found, least_in_windows
+from plumbline.llm.repeats import STRETCH, Found, Kind, identified, least_in_windows, marked_runs, stretches
 from plumbline.llm.suffixes import permuted_common_prefixes, suffix_array
 from pyspark.sql import functions as F
 from tests.llm import brute
@@ -163,3 +163,55 @@ def test_suffix_arrays_of_repeats_and_of_many_letters(monkeypatch):
     listed = words.tolist()
     wanted = sorted(range(len(listed)), key=lambda i: listed[i:])
     assert suffixes.suffix_array(words, int(words.max()) + 1).tolist() == wanted
+
+
+def test_suffix_arrays_of_reduced_texts_long_and_short(monkeypatch):
+    from plumbline.llm import suffixes
+
+    draw = np.random.default_rng(5)
+    texts = [np.tile(draw.integers(0, 4, int(draw.integers(1, 300))), 3).astype(np.uint8) for _ in range(60)]
+    texts += [draw.integers(0, 5, 4000).astype(np.uint8), np.tile([1, 0], 2000).astype(np.uint8)]
+    for short in (0, 50, suffixes.SHORT):  # inducing at every level, at the first ones, at the first alone
+        monkeypatch.setattr(suffixes, "SHORT", short)
+        for text in texts:
+            data = text.tobytes()
+            assert suffix_array(text).tolist() == sorted(range(len(data)), key=lambda i: data[i:])
+    for text in texts:
+        letters = text.tolist()
+        wanted = sorted(range(len(letters)), key=lambda i: letters[i:])
+        assert suffixes._doubled(text.astype(np.int32), 5).tolist() == wanted
+
+
+def test_stretches_of_both_copies_are_cut_alike():
+    random.seed(6)
+    at, parts = 0, []
+    for name in range(300):
+        n = random.randint(1, 300)
+        parts.append({"name": name, "start": at, "n": n, "chain": random.choice([1, 1, 1, 1, 2, None]), "copy": 0})
+        at += n if random.random() < 0.95 else n + 1
+    later = [{**p, "start": p["start"] + 1000, "copy": 1} for p in parts]
+    both = parts + later
+    random.shuffle(both)
+    found = stretches(both)
+    assert sorted(p["name"] for s in found for p in s) == sorted(p["name"] for p in both)
+    for s in found:
+        assert all(a["start"] + a["n"] == b["start"] and a["chain"] == b["chain"] for a, b in zip(s[:-1], s[1:]))
+        assert sum(p["n"] for p in s) <= STRETCH
+    cuts = [sorted([p["name"] for p in s] for s in found if s[0]["copy"] == i) for i in (0, 1)]
+    assert cuts[0] == cuts[1] and len(cuts[0]) < 250
+
+
+def test_copies_are_searched_without_the_overlap_of_their_segments(spark):
+    random.seed(7)
+    text = "".join(random.choice("abcdefgh") for _ in range(20000))
+    docs = identified(spark.createDataFrame([(1, text), (2, text), (3, "x" + text[:9000])], SCHEMA), "doc_id", "text")
+    seen = spark.sparkContext.accumulator(0)
+
+    def search(letters, counts, firsts):
+        seen.add(sum(map(len, letters)))
+        return suffix_dedup.search(400, letters, counts, firsts)
+
+    runs = {r.doc_id: r.runs for r in marked_runs(docs, Kind(False, 400, 128), search, ordered=False).collect()}
+    assert {key: sum(r.length for r in found) for key, found in runs.items()} == {1: 19601, 2: 19601, 3: 8601}
+    # Two copies, four or five stretches each; segment by segment it is 155,904 bytes.
+    assert seen.value <= 2 * (20000 + 5 * 400) + 2000
