@@ -169,6 +169,74 @@ def test_forest_in_parts_keeps_lists_in_their_tasks(spark, monkeypatch):
     assert np.mean([abs(found[k] / exact[k] - 1) for k in exact]) < 0.01
 
 
+def wide_and_narrow(rows: int) -> np.ndarray:
+    """Eight columns of which three are wide, as keys and prices beside shares; copies, ties and far rows too."""
+    random = np.random.default_rng(21)
+    points = random.uniform(size=(rows, 8)) * [1000, 800, 1200, 60, 9, 1, 0.1, 0.1]
+    points[:200] = np.round(points[:200] / 40) * 40
+    points[200:260] = points[200]
+    points[260:270] *= 1e5
+    return points
+
+
+@pytest.mark.parametrize("cuts", ["asked", "cut again"])
+def test_forest_is_exact_where_boxes_keep_rows_apart(spark, monkeypatch, cuts):
+    """Over many parts no neighbour is missed, in a part or beyond its border, and trees are not needed."""
+    from plumbline.operators import neighbours
+
+    points = wide_and_narrow(3000)
+    names = [f"c{i}" for i in range(8)]
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)],
+                               "k long, " + ", ".join(f"{c} double" for c in names))
+    monkeypatch.setattr(neighbours, "FOREST_PART_ROWS", 400)
+    if cuts == "cut again":
+        monkeypatch.setattr(neighbours, "FOREST_VISITS", 0)
+        monkeypatch.setattr(neighbours, "FOREST_CUTS", 8)
+    if hasattr(neighbours, "_useful_boxes"):
+        monkeypatch.setattr(neighbours, "BOX_ROWS", 16)
+    config = QualityConfig(anomaly_neighbour_search="forest")
+    found = np.array([r["lof_score"] for r in anomalies.lof_scores(df, names, 3000, config, leaf_rows=50).orderBy("k").collect()])
+    exact = np.array([r["lof_score"] for r in anomalies.lof_scores(df, names, 3000, CONFIG).orderBy("k").collect()])
+    off = np.abs(found / exact - 1)
+    if cuts == "asked":
+        assert off.max() < 1e-9
+    else:
+        # Few rows a part: some neighbours lie across a border of all cuts.
+        assert np.mean(off < 1e-9) > 0.25 and np.median(off) < 0.01
+
+
+def test_boxes_find_what_brute_force_finds():
+    """Ties go to the smaller position; squares that vanish or overflow in single precision count too."""
+    from plumbline.operators import neighbours
+
+    random = np.random.default_rng(2)
+    for points in (
+        wide_and_narrow(900), random.integers(0, 9, size=(900, 3)).astype(float), random.normal(size=(300, 2)) * 1e20,
+        random.normal(size=(300, 2)) * 1e-25, np.concatenate((random.normal(size=(200, 3)), [[1e14, 0, 0], [np.inf, 0, 0]])),
+        random.normal(size=(12, 3)), random.normal(size=(400, 3)) + 1e9,
+    ):
+        points = np.unique(points, axis=0)
+        best, far = neighbours._in_part(points, 20, neighbours._directions(points.shape[1], 8, 17), 1024)
+        for i, row in enumerate(points):
+            squared = np.zeros(len(points))
+            for axis in range(points.shape[1]):
+                squared += (row[axis] - points[:, axis]) ** 2
+            squared[i] = np.inf
+            near = np.lexsort((np.arange(len(points)), squared))[:20]
+            near = near[np.isfinite(squared[near])]
+            assert list(best[i][best[i] >= 0]) == list(near) and list(far[i][: len(near)]) == list(squared[near])
+
+
+def test_medians_only_where_something_is_missing(spark, monkeypatch):
+    asked = []
+    medians = anomalies.medians
+    monkeypatch.setattr(anomalies, "medians", lambda df, names, **kinds: asked.extend(names) or medians(df, names, **kinds))
+    df = spark.createDataFrame([(1, 1.0, 2.0), (2, 3.0, None), (3, 5.0, 4.0)], "k long, a double, b double")
+    filled, names, rows = anomalies.anomaly_input(df, "k")
+    assert asked == ["b"] and names == ["a", "b"] and rows == 3
+    assert sorted(tuple(r) for r in filled.collect()) == [(1, 1.0, 2.0), (2, 3.0, 3.0), (3, 5.0, 4.0)]
+
+
 def planted(spark, n=500, bad=10):
     rows = [
         (i, 1000.0 + 40 * i, -900.0 - 30 * i) if i < bad
