@@ -255,6 +255,32 @@ def test_isolation_forest_flags_planted_rows(spark):
     assert len(ids) == 50
 
 
+def test_descent_of_all_rows_at_once_equals_a_walk_from_node_to_node():
+    """Trees of unequal depth, one of a single leaf, and missing or infinite values; only plain arrays are sent."""
+    import pickletools
+
+    from pyspark import cloudpickle
+
+    from plumbline.operators import isolation
+
+    random = np.random.default_rng(6)
+    points = random.normal(size=(300, 3)) * [1e6, 1, 1e-6]
+    samples = [points[random.choice(300, n, replace=False)] for n in (1, 2, 30, 256)] + [np.ones((9, 3))]
+    trees = [{k: np.array(v) for k, v in isolation._fit_tree(rows, [1, i]).items()} for i, rows in enumerate(samples)]
+    points[0, 1], points[1, 0], points[2, 2] = np.nan, np.inf, -np.inf
+
+    def walk(tree, row):
+        at = 0
+        while tree["axis"][at] >= 0:
+            at = tree["left" if row[tree["axis"][at]] <= tree["value"][at] else "right"][at]
+        return tree["depth"][at]
+
+    ways = isolation._descents(isolation.Forest(trees, 1.0))
+    assert list(isolation._depths(points, ways)) == [sum(walk(tree, row) for tree in trees) for row in points]
+    named = [str(arg) for _, arg, _ in pickletools.genops(cloudpickle.dumps(ways)) if arg is not None]
+    assert not any("plumbline" in arg for arg in named)
+
+
 def test_isolation_forest_does_not_depend_on_partitions(spark):
     df = planted(spark)
     one = isolation_scores(df.coalesce(1), ["a", "b"], "id", 500, CONFIG).orderBy("id").collect()
